@@ -1,0 +1 @@
+"""The engine has no streams: the inventory names none. Long jobs resume from marker tables (`sievework.sources.runs`)."""
