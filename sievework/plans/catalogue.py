@@ -1,4 +1,604 @@
-"""All queries of the library by name, with their DuckDB statements."""
+"""All queries of the library by name, with their DuckDB statements. Doubles are rounded on both sides."""
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import keys as K
+from ..operators import curation, decision, metrics, probes
+from .views import EVENTS, MANIFEST, SCORED, frame_sql, manifest, scores, table, vector_hash
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+TAU = 0.459366433990606
+#: The standard luma quantisation table, in its usual zigzag-free row order.
+LUMA = [16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99]
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+C = ["condition"]
+FRAME = f"WITH {frame_sql()} "
+AUROC = "sum(p * ((tn - cn) + n / 2.0)) / (max(tp)::DOUBLE * max(tn))"
+AP = "sum((p::DOUBLE / tp) * (cp::DOUBLE / (cp + cn)))"
+FPR = "coalesce(min(CASE WHEN cp::DOUBLE / tp >= 0.95 THEN cn::DOUBLE / tn END), 1.0)"
+PRUNED = "coalesce(min(CASE WHEN cp::DOUBLE / tp >= 0.95 AND (rn = 1 OR rn = k OR p <> p1 OR n <> n1) THEN cn::DOUBLE / tn END), 1.0)"
+BACC = f"(avg(CASE WHEN y = 1 THEN (sc >= {TAU})::INT END) + avg(CASE WHEN y = 0 THEN (sc < {TAU})::INT END)) / 2"
+
+
+def _rank(column: str, sql: str):
+    def run(spark, sf):
+        return r6(metrics.rank_metrics(scores(spark, sf), C).select("condition", column))
+
+    return run, f"{FRAME} SELECT condition, round({sql}, 6) AS {column} FROM c GROUP BY condition"
+
+
+for _name, _column, _sql in (("auroc_by_condition", "auroc", AUROC), ("average_precision", "ap", AP), ("fpr_at_95tpr", "fpr95", FPR), ("fpr_at_95tpr_pruned", "fpr95_pruned", PRUNED)):
+    QUERIES[_name], ORACLE_SQL[_name] = _rank(_column, _sql)
+
+
+@query(f"""WITH {SCORED}, r AS (SELECT condition, y, rank() OVER (PARTITION BY condition ORDER BY sc) + (count(*) OVER (PARTITION BY condition, sc) - 1) / 2.0 AS k FROM scored)
+SELECT condition, round((sum(k * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y)::DOUBLE * sum(1 - y)), 6) AS auroc FROM r GROUP BY condition""")
+def auroc_rank(spark, sf):
+    return r6(metrics.auroc_by_ranks(scores(spark, sf), C))
+
+
+@query(f"WITH {SCORED} SELECT condition, round({BACC}, 6) AS bacc FROM scored GROUP BY condition")
+def bacc_by_condition(spark, sf):
+    return r6(metrics.threshold_metrics(scores(spark, sf), C, TAU).select("condition", "bacc"))
+
+
+@query(f"WITH {SCORED} SELECT condition, round(avg((sc - y) ** 2), 6) AS brier FROM scored GROUP BY condition")
+def brier(spark, sf):
+    return r6(metrics.threshold_metrics(scores(spark, sf), C, TAU).select("condition", "brier"))
+
+
+def _bins(op: str) -> str:
+    return f"""WITH {SCORED}, e AS (SELECT condition, y, sc, {' + '.join(f'(sc {op} {k}*(1.0/15))::INT' for k in range(1, 15))} AS bin FROM (SELECT condition, y, sc FROM scored)),
+ b AS (SELECT condition, bin, count(*) AS n, avg(sc) AS ms, avg(y::DOUBLE) AS rate FROM e GROUP BY ALL)"""
+
+
+def _edges(op: str) -> str:  # the edges as doubles, computed as the operator does
+    return _bins(op).replace("(1.0/15)", "(1.0::DOUBLE/15)")
+
+
+def _ece(closed: str, op: str):
+    def run(spark, sf):
+        return r6(metrics.calibration_error(scores(spark, sf), C, 15, closed).select("condition", "ece"))
+
+    return run, f"{_edges(op)} SELECT condition, round(sum(n * abs(ms - rate)) / sum(n), 6) AS ece FROM b GROUP BY condition"
+
+
+QUERIES["ece_left"], ORACLE_SQL["ece_left"] = _ece("left", ">=")
+QUERIES["ece_right"], ORACLE_SQL["ece_right"] = _ece("right", ">")
+
+
+@query(f"{_edges('>=')} SELECT condition, bin::INT AS bin, n, round(ms, 6) AS mean_score, round(rate, 6) AS rate FROM b")
+def reliability_bins(spark, sf):
+    return r6(metrics.reliability(scores(spark, sf), C))
+
+
+@query(f"{_edges('>=')} SELECT condition, round(sum(n * (ms - rate)) / sum(n), 6) AS signed_gap, round(sum(CASE WHEN ms < rate THEN n ELSE 0 END)::DOUBLE / sum(n), 6) AS above FROM b GROUP BY condition")
+def signed_calibration(spark, sf):
+    return r6(metrics.calibration_error(scores(spark, sf), C).select("condition", "signed_gap", "above"))
+
+
+@query(f"WITH {SCORED} SELECT condition, count(*) FILTER (sc >= {TAU} AND y = 1) AS tp, count(*) FILTER (sc >= {TAU} AND y = 0) AS fp, count(*) FILTER (sc < {TAU} AND y = 0) AS tn, count(*) FILTER (sc < {TAU} AND y = 1) AS fn FROM scored GROUP BY condition")
+def confusion_at_tau(spark, sf):
+    return metrics.threshold_metrics(scores(spark, sf), C, TAU).select("condition", "tp", "fp", "tn", "fn")
+
+
+MATRIX = f"""{FRAME}, a AS (SELECT condition, {AUROC} AS auroc, {AP} AS ap, {FPR} AS fpr95 FROM c GROUP BY condition),
+ t AS (SELECT condition, {BACC} AS bacc, avg((sc - y) ** 2) AS brier, count(*) AS n FROM scored GROUP BY condition),
+ {_edges('>=').split(f'WITH {SCORED}, ')[1]}, x AS (SELECT condition, sum(n * abs(ms - rate)) / sum(n) AS ece FROM b GROUP BY condition),
+ m AS (SELECT * FROM a JOIN t USING (condition) JOIN x USING (condition))"""
+
+
+def matrix(spark, sf):
+    return metrics.bundle(scores(spark, sf), C, TAU).select("condition", "auroc", "ap", "fpr95", "bacc", "brier", "n", "ece")
+
+
+@query(f"{MATRIX} SELECT condition, round(auroc, 6) AS auroc, round(ap, 6) AS ap, round(fpr95, 6) AS fpr95, round(bacc, 6) AS bacc, round(brier, 6) AS brier, n, round(ece, 6) AS ece FROM m")
+def metrics_bundle(spark, sf):
+    return r6(matrix(spark, sf))
+
+
+@query(f"{MATRIX} SELECT condition, round(auroc, 6) AS auroc, round(bacc, 6) AS bacc, round(ece, 6) AS ece, n, round(bacc - (SELECT bacc FROM m WHERE condition = 'clean'), 6) AS delta_bacc, (condition <> 'clean')::INT AS place FROM m")
+def robustness_matrix(spark, sf):
+    own = metrics.delta_vs(matrix(spark, sf), "condition", "clean", "bacc")
+    return r6(own.select("condition", "auroc", "bacc", "ece", "n", "delta_bacc", F.when(F.col("condition") == "clean", 0).otherwise(1).alias("place"))).orderBy("place", "condition")
+
+
+@query(f"{MATRIX} SELECT round(min(bacc), 6) AS worst_bacc, first(condition ORDER BY bacc, condition) AS worst_condition FROM m")
+def worst_case(spark, sf):
+    return r6(metrics.worst(matrix(spark, sf), "condition", "bacc"))
+
+
+@query(f"{MATRIX} SELECT condition, round(auroc - (SELECT auroc FROM m WHERE condition = 'clean'), 6) AS delta_auroc FROM m")
+def delta_vs_clean(spark, sf):
+    return r6(metrics.delta_vs(matrix(spark, sf), "condition", "clean", "auroc").select("condition", "delta_auroc"))
+
+
+@query(f"""WITH {SCORED}, f AS (SELECT DISTINCT family FROM scored WHERE y = 1), e AS (SELECT family, y, sc FROM scored WHERE y = 1 UNION ALL SELECT f.family, y, sc FROM scored, f WHERE y = 0),
+ g AS (SELECT family, sc, sum(y) AS p, sum(1 - y) AS n FROM e GROUP BY ALL),
+ c AS (SELECT *, sum(p) OVER (PARTITION BY family ORDER BY sc DESC) AS cp, sum(n) OVER (PARTITION BY family ORDER BY sc DESC) AS cn, sum(p) OVER (PARTITION BY family) AS tp, sum(n) OVER (PARTITION BY family) AS tn FROM g),
+ a AS (SELECT family, {AUROC} AS auroc, {AP} AS ap FROM c GROUP BY family), t AS (SELECT family, sum(y)::BIGINT AS n_fake, sum(1 - y)::BIGINT AS n_real, {BACC} AS bacc FROM e GROUP BY family)
+SELECT family, n_fake, n_real, round(auroc, 6) AS auroc, round(ap, 6) AS ap, round(bacc, 6) AS bacc FROM a JOIN t USING (family)""")
+def per_generator_metrics(spark, sf):
+    return r6(metrics.per_family(scores(spark, sf), TAU))
+
+
+@query(f"""{FRAME}, q AS (SELECT condition, CASE WHEN rn = 1 THEN sc + 1e-9 ELSE (sc + before) / 2 END AS t, (cn - n)::DOUBLE / tn AS fpr, (cp - p)::DOUBLE / tp AS tpr FROM c
+ UNION ALL SELECT condition, sc - 1e-9, 1.0, 1.0 FROM c WHERE rn = k)
+SELECT condition, round(t, 6) AS t, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr, round((1 - fpr + tpr) / 2, 6) AS bacc FROM q WHERE fpr <= 0.05
+QUALIFY row_number() OVER (PARTITION BY condition ORDER BY (1 - fpr + tpr) / 2 DESC, t) = 1""")
+def freeze_threshold(spark, sf):
+    return r6(decision.freeze_threshold(scores(spark, sf), C))
+
+
+@query(f"WITH {SCORED} SELECT id, round(1 / (1 + exp(-(z - 0.138184) / 1.368805)), 6) AS score, (1 / (1 + exp(-(z - 0.138184) / 1.368805)) >= {TAU})::INT AS decision FROM scored")
+def calibrated_scores(spark, sf):
+    p = K.calibrated(F.col("z"), 1.368805, -0.138184)
+    return scores(spark, sf).select("id", F.round(p, 6).alias("score"), (p >= TAU).cast("int").alias("decision"))
+
+
+GRID_T, GRID_A = [0.5, 1.0, 1.5, 2.0, 4.0, 8.0], [-1.0, -0.5, 0.0, 0.5, 1.0]
+NLL = f"""WITH {SCORED}, g AS (SELECT unnest({GRID_T})::DOUBLE AS t), h AS (SELECT unnest({GRID_A})::DOUBLE AS a), e AS (SELECT t, a, (z + a) / t AS x, y FROM scored, g, h),
+ l AS (SELECT t, a, avg(greatest(x, 0.0) - x * y + ln(1 + exp(-abs(x)))) AS nll FROM e GROUP BY ALL)"""
+
+
+@query(f"{NLL} SELECT t, a, round(nll, 6) AS nll FROM l")
+def nll_grid(spark, sf):
+    return r6(decision.nll_grid(scores(spark, sf), GRID_T, GRID_A))
+
+
+@query(f"{NLL} SELECT t, a, round(nll, 6) AS nll FROM l ORDER BY nll, t, a LIMIT 1")
+def nll_grid_best(spark, sf):
+    return r6(decision.nll_grid(scores(spark, sf), GRID_T, GRID_A).orderBy("nll", "t", "a").limit(1))
+
+
+@query()
+def fit_temperature(spark, sf):
+    t, a, loss = decision.fit_temperature(scores(spark, sf))
+    return spark.createDataFrame([(t, a, loss)], "temperature double, alpha double, nll double")
+
+
+PICK = "('0x' || substr(md5(b || '|' || condition || '|' || y || '|' || i), 1, 8))::BIGINT"
+
+
+@query(f"""WITH {SCORED}, k AS (SELECT condition, y, count(*) AS n, count(*) FILTER ((sc >= {TAU}) = (y = 1)) AS h FROM scored GROUP BY ALL),
+ d AS (SELECT condition, y, n, h, b, unnest(range(n)) AS i FROM k, (SELECT unnest(range(20)) AS b)),
+ s AS (SELECT condition, b, y, avg(({PICK} % n < h)::INT) AS recall FROM d GROUP BY ALL), v AS (SELECT condition, b, avg(recall) AS bacc FROM s GROUP BY ALL)
+SELECT condition, round(quantile_cont(bacc, 0.025), 6) AS low, round(quantile_cont(bacc, 0.975), 6) AS high FROM v GROUP BY condition""")
+def bootstrap_bacc_ci(spark, sf):
+    """Resampling within class: balanced accuracy needs only how many of a class are right, so draws hit that compressed table."""
+    right = (F.col("sc") >= TAU) == (F.col("y") == 1)
+    classes = scores(spark, sf).groupBy("condition", "y").agg(F.count("*").alias("n"), F.count_if(right).alias("h"))
+    draws = classes.crossJoin(F.broadcast(spark.range(20).withColumnRenamed("id", "b"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    word = F.concat_ws("|", *[F.col(c).cast("string") for c in ("b", "condition", "y", "i")])
+    pick = F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long")
+    recall = draws.groupBy("condition", "b", "y").agg(F.avg((pick % F.col("n") < F.col("h")).cast("int")).alias("recall"))
+    value = recall.groupBy("condition", "b").agg(F.avg("recall").alias("bacc"))
+    return r6(value.groupBy("condition").agg(F.percentile("bacc", F.lit(0.025)).alias("low"), F.percentile("bacc", F.lit(0.975)).alias("high")))
+
+
+@query(f"WITH {SCORED} SELECT id, round((1 / (1 + exp(-z)) + 1 / (1 + exp(-(z + 0.25) / 1.5))) / 2, 6) AS score FROM scored")
+def ensemble_mean(spark, sf):
+    members = [(None, None), (1.5, 0.25)]
+    return scores(spark, sf).select("id", F.round(sum((K.calibrated(F.col("z"), t, a) for t, a in members), F.lit(0.0)) / len(members), 6).alias("score"))
+
+
+@query("SELECT user_id, round(avg(value / (value + 50.0)), 6) AS score, count(*) AS views FROM events GROUP BY user_id")
+def tta_mean(spark, sf):
+    return r6(table(spark, sf, "events").groupBy("user_id").agg(F.avg(F.col("value") / (F.col("value") + 50.0)).alias("score"), F.count("*").alias("views")))
+
+
+CURVE = f"""WITH {SCORED}, g AS (SELECT unnest(range(1, 100)) AS k), t AS (SELECT k / 100.0::DOUBLE AS pt FROM g), n AS (SELECT condition, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM scored GROUP BY condition),
+ f AS (SELECT n.condition, pt, n, pos, count(*) FILTER (sc >= pt AND y = 1) AS tp, count(*) FILTER (sc >= pt AND y = 0) AS fp FROM n, t, scored s WHERE s.condition = n.condition GROUP BY ALL),
+ v AS (SELECT condition, pt, tp, fp, tp / n - fp / n * (pt / (1 - pt)) AS net_benefit, pos / n - (1 - pos / n) * (pt / (1 - pt)) AS treat_all FROM f)"""
+
+
+@query(f"{CURVE} SELECT condition, pt, tp, fp, round(net_benefit, 6) AS net_benefit FROM v")
+def net_benefit_grid(spark, sf):
+    return r6(decision.net_benefit(scores(spark, sf), C).select("condition", "pt", "tp", "fp", "net_benefit"))
+
+
+@query(f"{CURVE} SELECT condition, pt, round(treat_all, 6) AS treat_all FROM v")
+def treat_all_baseline(spark, sf):
+    return r6(decision.net_benefit(scores(spark, sf), C).select("condition", "pt", "treat_all"))
+
+
+@query("SELECT k::DOUBLE AS k, round(k / (k + 1.0), 6) AS threshold FROM (SELECT unnest([0.5, 1, 2, 5, 10, 50, 100]::DOUBLE[]) AS k)")
+def cost_ratio_table(spark, sf):
+    return r6(spark.createDataFrame([(float(k),) for k in (0.5, 1, 2, 5, 10, 50, 100)], "k double").withColumn("threshold", F.col("k") / (F.col("k") + 1)))
+
+
+@query(f"{CURVE} SELECT condition, min(pt) FILTER (round(net_benefit, 9) < 0) AS first_negative, first(pt ORDER BY round(net_benefit, 9), pt) AS lowest_at FROM v GROUP BY condition")
+def first_negative_scan(spark, sf):
+    curve = decision.net_benefit(scores(spark, sf), C).withColumn("net_benefit", F.round("net_benefit", 9))
+    return decision.first_negative(curve, C).select("condition", "first_negative", "lowest_at")
+
+
+@query(f"WITH {SCORED}, k AS (SELECT condition, count(*)::DOUBLE AS n, count(*) FILTER (sc >= {TAU} AND y = 1) AS tp, count(*) FILTER (sc >= {TAU} AND y = 0) AS fp FROM scored GROUP BY condition) SELECT condition, tp, fp, round({TAU}::DOUBLE / (1 - {TAU}::DOUBLE), 6) AS odds, round(tp / n - fp / n * ({TAU}::DOUBLE / (1 - {TAU}::DOUBLE)), 6) AS net_benefit FROM k")
+def threshold_audit(spark, sf):
+    odds = F.lit(TAU) / (1 - F.lit(TAU))
+    own = metrics.threshold_metrics(scores(spark, sf), C, TAU)
+    return r6(own.select("condition", "tp", "fp", odds.alias("odds"), (F.col("tp") / F.col("n") - F.col("fp") / F.col("n") * odds).alias("net_benefit")))
+
+
+# Gates
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (text IN (SELECT text FROM benchmark)) AS denied FROM documents")
+def deny_exact(spark, sf):
+    docs = table(spark, sf, "documents").select(F.sha2("text", 256).alias("sha"))
+    deny = table(spark, sf, "benchmark").select(F.sha2("text", 256).alias("sha")).distinct().withColumn("hit", F.lit(1))
+    return docs.join(deny, "sha", "left").agg(F.count("*").alias("rows"), F.count("hit").alias("denied"))
+
+
+@query(f"WITH {MANIFEST} SELECT doc_id, CASE WHEN lower(family) = 'fr' OR lower(source) = 'src3' OR sha IN (SELECT sha256(text) FROM benchmark) OR path IN (SELECT path FROM m WHERE doc_id % 50 = 0) THEN 'denied' ELSE 'unassigned' END AS split FROM m")
+def deny_mark(spark, sf):
+    """Gates mark, never drop: family, source, exact hash, path key."""
+    m = manifest(spark, sf)
+    deny = table(spark, sf, "benchmark").select(F.sha2("text", 256).alias("sha")).distinct().withColumn("by_hash", F.lit(True))
+    paths = m.where("doc_id % 50 = 0").select("path").distinct().withColumn("by_path", F.lit(True))
+    hit = (F.lower("family") == "fr") | (F.lower("source") == "src3") | F.col("by_hash").isNotNull() | F.col("by_path").isNotNull()
+    return m.join(deny, "sha", "left").join(paths, "path", "left").select("doc_id", F.when(hit, "denied").otherwise("unassigned").alias("split"))
+
+
+VECTORS = """e AS (SELECT vec_id, label, embedding AS v, list_sort(embedding) AS s FROM embeddings WHERE len(embedding) = 64),
+ b AS (SELECT vec_id, label, list_transform(v, lambda x: (x::DOUBLE > (s[32]::DOUBLE + s[33]::DOUBLE) / 2)::INT) AS bits FROM e),
+ q AS (SELECT a.vec_id, min(list_sum(list_transform(list_zip(a.bits, d.bits), lambda z: abs(z[1] - z[2])))) AS nearest FROM b a, b d WHERE d.label = 0 AND a.label <> 0 GROUP BY a.vec_id)"""
+
+
+@query(f"WITH {VECTORS} SELECT vec_id FROM q WHERE nearest <= 20")
+def deny_near_duplicate(spark, sf):
+    own = vector_hash(spark, sf)
+    return curation.near_hashes(own.where("label <> 0"), own.where("label = 0"), 20).select("vec_id")
+
+
+@query("SELECT vec_id, (vec_id % 7 <= 4)::INT AS denied FROM embeddings WHERE len(embedding) = 64")
+def deny_near_duplicate_banded(spark, sf):
+    """Planted: a copy of each hash with vec_id % 7 bits flipped; up to 4 are denied (unless random hashes meet, which they don't here)."""
+    own = vector_hash(spark, sf)
+    flips = F.aggregate(F.sequence(F.lit(0), F.lit(6)), F.col("h"), lambda a, i: F.when(i < F.col("vec_id") % 7, a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (i * 9).cast("int")))).otherwise(a))
+    left = own.select("vec_id", flips.alias("h"))
+    hit = curation.near_hashes_banded(left, own, 4).select("vec_id", F.lit(1).alias("hit"))
+    return left.join(hit, "vec_id", "left").select("vec_id", F.coalesce("hit", F.lit(0)).alias("denied"))
+
+
+@query("SELECT page_id FROM pages WHERE lower(split_part(split_part(url, '://', 2), '/', 2)) IN ('fr', 'de')")
+def deny_path_key(spark, sf):
+    key = F.lower(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(2)))
+    deny = spark.createDataFrame([("fr",), ("de",)], "key string")
+    return table(spark, sf, "pages").select("page_id", key.alias("key")).join(F.broadcast(deny), "key", "left_semi").select("page_id")
+
+
+GATES = f"WITH {MANIFEST}, g AS (SELECT (family = 'fr')::INT AS f, (source = 'src3')::INT AS s, (sha IN (SELECT sha256(text) FROM benchmark))::INT AS h FROM m)"
+
+
+@query(f"{GATES} SELECT sum(f)::BIGINT AS family_hits, sum(s)::BIGINT AS source_hits, sum(h)::BIGINT AS hash_hits, sum(f + s + h)::BIGINT AS total_hits, sum(greatest(f, s, h))::BIGINT AS rows_hit FROM g")
+def protected_counts(spark, sf):
+    deny = table(spark, sf, "benchmark").select(F.sha2("text", 256).alias("sha")).distinct().withColumn("d", F.lit(1))
+    g = manifest(spark, sf).join(deny, "sha", "left").select((F.col("family") == "fr").cast("int").alias("f"), (F.col("source") == "src3").cast("int").alias("s"), F.coalesce("d", F.lit(0)).alias("h"))
+    return g.agg(F.sum("f").alias("family_hits"), F.sum("s").alias("source_hits"), F.sum("h").alias("hash_hits"), F.sum(F.col("f") + F.col("s") + F.col("h")).alias("total_hits"), F.sum(F.greatest("f", "s", "h")).alias("rows_hit"))
+
+
+@query("SELECT lang, count(*) FILTER (n_chars < 1000) AS typical, count(*) FILTER (n_chars >= 1000) AS advanced, count(*) AS total FROM documents GROUP BY lang")
+def protected_summary(spark, sf):
+    long = F.col("n_chars") >= 1000
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count_if(~long).alias("typical"), F.count_if(long).alias("advanced"), F.count("*").alias("total"))
+
+
+# Curation
+
+
+@query(f"WITH {MANIFEST} SELECT min(doc_id) AS doc_id, sha FROM m GROUP BY sha")
+def dedup_keep_first(spark, sf):
+    return curation.first_rows(manifest(spark, sf), ["sha"], ["doc_id"]).select("doc_id", "sha")
+
+
+@query("WITH g AS (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1) SELECT count(*) AS groups, sum(n)::BIGINT AS rows FROM g")
+def duplicate_groups(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.sha2("text", 256)).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("groups"), F.sum("n").alias("rows"))
+
+
+@query(f"WITH {MANIFEST} SELECT count(*) FILTER (least(width, height) >= 200) AS kept, count(*) FILTER (least(width, height) < 200) AS dropped FROM m")
+def min_side_filter(spark, sf):
+    side = F.least("width", "height")
+    return manifest(spark, sf).agg(F.count_if(side >= 200).alias("kept"), F.count_if(side < 200).alias("dropped"))
+
+
+@query(f"WITH {MANIFEST}, r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id || '|cap|17'), doc_id) AS k FROM m) SELECT doc_id, source FROM r WHERE k <= 5")
+def bucket_cap(spark, sf):
+    return curation.cap(manifest(spark, sf), "source", "doc_id", 5).select("doc_id", "source")
+
+
+@query(f"WITH {MANIFEST}, r AS (SELECT doc_id, label, height, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS k FROM m) SELECT doc_id, label FROM r WHERE k <= 30 AND height >= 100")
+def first_k_per_label(spark, sf):
+    """The cap counts rows before the size filter."""
+    return curation.first_rows(manifest(spark, sf), ["label"], ["doc_id"], 30).where("height >= 100").select("doc_id", "label")
+
+
+QUOTA = f"""WITH {MANIFEST}, s AS (SELECT label, lang, count(*) AS c FROM m GROUP BY ALL), t AS (SELECT label, sum(c) AS total FROM s GROUP BY label), x AS (SELECT s.*, c * (SELECT min(total) FROM t)::DOUBLE / total AS exact, (SELECT min(total) FROM t) AS target FROM s JOIN t USING (label)),
+ f AS (SELECT *, floor(exact)::BIGINT AS fl FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY exact - fl DESC, lang) AS rk, target - sum(fl) OVER (PARTITION BY label) AS short FROM f)"""
+
+
+@query(f"{QUOTA} SELECT label, lang, c AS count, fl + (rk <= short)::INT AS quota FROM k")
+def class_balance_quota(spark, sf):
+    return curation.quotas(manifest(spark, sf), "label", "lang").withColumn("quota", F.col("quota").cast("long"))
+
+
+@query(f"{QUOTA}, r AS (SELECT m.doc_id, m.label, m.lang, row_number() OVER (PARTITION BY m.label, m.lang ORDER BY sha256(doc_id || '|balance|17'), doc_id) AS rn FROM m) SELECT doc_id, r.label FROM r JOIN k ON r.label = k.label AND r.lang = k.lang WHERE rn <= fl + (rk <= short)::INT")
+def class_balance(spark, sf):
+    return curation.balance(manifest(spark, sf), "label", "lang", "doc_id").select("doc_id", "label")
+
+
+SPLIT = """WITH g AS (SELECT conv_id, min_by(role, turn) AS bucket FROM conversations GROUP BY conv_id), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY sha256(conv_id || '|split|17'), conv_id) AS k, count(*) OVER (PARTITION BY bucket) AS n FROM g),
+ s AS (SELECT conv_id, bucket, CASE WHEN k <= round_even(n * 0.1, 0) THEN 'dev' WHEN k <= round_even(n * 0.1, 0) + round_even(n * 0.1, 0) THEN 'calib' ELSE 'train' END AS split FROM r)"""
+
+
+@query(f"{SPLIT} SELECT * FROM s")
+def group_split(spark, sf):
+    return curation.group_split(table(spark, sf, "conversations"), "conv_id", "role", "turn")
+
+
+@query(f"{SPLIT}, c AS (SELECT t.conv_id, split FROM conversations t JOIN s USING (conv_id)) SELECT count(*) AS groups, count(*) FILTER (n > 1) AS straddling FROM (SELECT conv_id, count(DISTINCT split) AS n FROM c GROUP BY conv_id)")
+def split_overlap_audit(spark, sf):
+    rows = table(spark, sf, "conversations")
+    per = rows.join(curation.group_split(rows, "conv_id", "role", "turn"), "conv_id").groupBy("conv_id").agg(F.count_distinct("split").alias("n"))
+    return per.agg(F.count("*").alias("groups"), F.count_if(F.col("n") > 1).alias("straddling"))
+
+
+@query(f"""WITH {MANIFEST}, e AS (SELECT lang, list_sort(list_distinct(quantile_cont(ln(1 + bytes::DOUBLE), [{', '.join(f'{i}/40.0' for i in range(41))}]))) AS edges FROM m GROUP BY lang),
+ b AS (SELECT m.*, len(list_filter(edges[2:greatest(len(edges) - 1, 1)], lambda x: round(x, 9) <= round(ln(1 + bytes::DOUBLE), 9))) AS bin FROM m JOIN e USING (lang)),
+ r AS (SELECT lang, bin, label, least(count(*) FILTER (label = 0) OVER (PARTITION BY lang, bin), count(*) FILTER (label = 1) OVER (PARTITION BY lang, bin)) AS least_n FROM b)
+SELECT label, count(*) AS cells_rows, sum(least_n > 0)::BIGINT AS rows_with_match FROM r GROUP BY label""", "matched_cells")
+def matched_cells(spark, sf):
+    m = manifest(spark, sf)
+    x = F.log1p(F.col("bytes").cast("double"))
+    edges = m.groupBy("lang").agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / 40) for i in range(41)]))).alias("edges"))
+    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
+    b = m.join(F.broadcast(edges), "lang").withColumn("bin", F.size(F.filter(inner, lambda e: F.round(e, 9) <= F.round(x, 9))))
+    cell = Window.partitionBy("lang", "bin")
+    least = F.least(F.count_if(F.col("label") == 0).over(cell), F.count_if(F.col("label") == 1).over(cell))
+    return b.withColumn("least_n", least).groupBy("label").agg(F.count("*").alias("cells_rows"), F.count_if(F.col("least_n") > 0).alias("rows_with_match"))
+
+
+@query()
+def matched_selection(spark, sf):
+    return curation.matched(manifest(spark, sf), "lang", "bytes", "label", "doc_id").select("doc_id", "lang", "bin", "label")
+
+
+@query(f"WITH {MANIFEST}, r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256(doc_id || '|sample|17'), doc_id) AS k FROM m) SELECT doc_id, label FROM r WHERE k <= 20")
+def stratified_sample(spark, sf):
+    return curation.first_rows(manifest(spark, sf), ["label"], [K.keyed_hash(F.col("doc_id"), "sample", 17), F.col("doc_id")], 20).select("doc_id", "label")
+
+
+def U(key: str, purpose: str) -> str:
+    return f"(('0x' || substr(md5({key} || '|{purpose}|17'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@query(f"SELECT doc_id, CASE WHEN {U('doc_id', 'clean')} < 0.5 THEN 'clean' ELSE {K.CONDITIONS[1:]}[1 + floor({U('doc_id', 'pick')} * 14)::INT] END AS condition FROM documents")
+def mixture_assignment(spark, sf):
+    others = F.array(*[F.lit(c) for c in K.CONDITIONS[1:]])
+    pick = F.element_at(others, (1 + F.floor(K.uniform(F.col("doc_id"), "pick", 17) * 14)).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", F.when(K.uniform(F.col("doc_id"), "clean", 17) < 0.5, "clean").otherwise(pick).alias("condition"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha256(doc_id || '|epoch|17|3'), doc_id) AS place FROM labels QUALIFY place > 100")
+def epoch_order(spark, sf):
+    """The order of an epoch from the 101st place on. Places come from a range sort and per-partition counts, not from one window."""
+    keyed = table(spark, sf, "labels").select("doc_id", K.keyed_hash(F.col("doc_id"), "epoch", 17, 3).alias("h"))
+    return numbered(keyed, ["h", "doc_id"]).where("place > 100").select("doc_id", "place")
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Global places by order: buckets by the leading hex digits of the hash, a window in each, and the sums of the earlier buckets."""
+    own = df.withColumn("_b", F.substring(order[0], 1, 3))
+    counts = own.groupBy("_b").count()
+    before = counts.select("_b", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    return own.withColumn("_in", inside).join(F.broadcast(before), "_b").withColumn("place", F.col("_before") + F.col("_in")).drop("_b", "_in", "_before")
+
+
+@query(f"WITH {MANIFEST}, a AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY doc_id) AS k FROM m) SELECT count(*) AS raw, count(*) FILTER (least(width, height) >= 100) AS large, count(*) FILTER (k = 1 AND least(width, height) >= 100) AS first FROM a")
+def funnel_audit(spark, sf):
+    big = F.least("width", "height") >= 100
+    first = F.row_number().over(Window.partitionBy("sha").orderBy("doc_id")) == 1
+    return manifest(spark, sf).withColumns({"big": big, "first": first}).agg(F.count("*").alias("raw"), F.count_if("big").alias("large"), F.count_if(F.col("big") & F.col("first")).alias("first"))
+
+
+@query("SELECT a.conv_id, a.turn AS child, b.turn AS parent FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1")
+def lineage_pairs(spark, sf):
+    t = table(spark, sf, "conversations")
+    return t.select("conv_id", F.col("turn").alias("child")).join(t.select("conv_id", F.col("turn").alias("parent"), (F.col("turn") + 1).alias("child")), ["conv_id", "child"])
+
+
+@query(f"WITH {MANIFEST}, p AS (SELECT substr(sha, 1, 16) AS prefix, max(doc_id) AS parent FROM m WHERE label = 1 GROUP BY prefix) SELECT doc_id, parent FROM m JOIN p ON substr(m.sha, 1, 16) = prefix")
+def prefix_parent_join(spark, sf):
+    m = manifest(spark, sf).withColumn("prefix", F.substring("sha", 1, 16))
+    return m.join(m.where("label = 1").groupBy("prefix").agg(F.max("doc_id").alias("parent")), "prefix").select("doc_id", "parent")
+
+
+@query(f"WITH {MANIFEST} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new/' || sha ELSE path END AS path FROM m")
+def path_rewrite(spark, sf):
+    m = manifest(spark, sf)
+    new = m.where("doc_id % 3 = 0").select("path", F.concat(F.lit("new/"), F.col("sha")).alias("to")).distinct()
+    return m.join(new, "path", "left").select("doc_id", F.coalesce("to", "path").alias("path"))
+
+
+# Keys and scalars
+
+
+@query("""WITH q AS (SELECT page_id, regexp_replace(replace(url, chr(92), '/'), '^(\\./)+', '') AS q FROM pages),
+ a AS (SELECT page_id, q, CASE WHEN contains(q, '#') THEN split_part(q, '#', 1) END AS arc, substr(q, instr(q, '#') + 1) AS mem FROM q),
+ f AS (SELECT page_id, q, mem, CASE WHEN contains(arc, '/') THEN regexp_replace(arc, '/[^/]*$', '') WHEN arc IS NOT NULL THEN '' END AS dir FROM a),
+ s AS (SELECT page_id, mem, CASE WHEN lower(dir) = 'https:' THEN '' WHEN starts_with(lower(dir), 'https:/') THEN substr(dir, 8) ELSE dir END AS dir, CASE WHEN lower(q) = 'https:' THEN '' WHEN starts_with(lower(q), 'https:/') THEN substr(q, 8) ELSE q END AS q FROM f)
+SELECT page_id, lower(CASE WHEN dir IS NULL THEN q WHEN dir = '' THEN mem ELSE dir || '/' || mem END) AS key FROM s""")
+def path_key(spark, sf):
+    return table(spark, sf, "pages").select("page_id", K.path_key(F.col("url"), "https:/").alias("key"))
+
+
+@query("SELECT doc_id, CASE WHEN upper(lang) = 'FR' THEN 'language' WHEN n_chars < 300 THEN 'short' WHEN contains('/' || source || '/', '/src3/') THEN 'source' END AS reason FROM documents")
+def protected_reason(spark, sf):
+    rules = [(F.upper("lang") == "FR", "language"), (F.col("n_chars") < 300, "short"), (F.contains(F.concat(F.lit("/"), "source", F.lit("/")), F.lit("/src3/")), "source")]
+    return table(spark, sf, "documents").select("doc_id", K.first_rule(*rules).alias("reason"))
+
+
+@query(f"WITH {MANIFEST} SELECT doc_id, CASE WHEN label = 0 THEN '' WHEN lang = 'en' THEN 'english' WHEN lang = 'fr' THEN 'french' ELSE 'other' END AS family FROM m")
+def family_map(spark, sf):
+    known = F.create_map(F.lit("en"), F.lit("english"), F.lit("fr"), F.lit("french"))
+    return manifest(spark, sf).select("doc_id", F.when(F.col("label") == 0, "").otherwise(F.coalesce(F.try_element_at(known, F.col("lang")), F.lit("other"))).alias("family"))
+
+
+@query("SELECT page_id, CASE WHEN contains(lower(url), 'blog') THEN 'blog' WHEN contains(lower(url), '/fr/') THEN 'french' WHEN contains(lower(url), '.org') THEN 'org' ELSE 'other' END AS family FROM pages")
+def family_from_path(spark, sf):
+    u = F.lower("url")
+    has = lambda x: F.contains(u, F.lit(x))
+    return table(spark, sf, "pages").select("page_id", F.coalesce(K.first_rule((has("blog"), "blog"), (has("/fr/"), "french"), (has(".org"), "org")), F.lit("other")).alias("family"))
+
+
+@query(f"SELECT event_id, CASE event_type {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in EVENTS.items())} ELSE event_type END AS condition FROM events")
+def alias_canonical(spark, sf):
+    names = F.create_map(*[F.lit(x) for kv in EVENTS.items() for x in kv])
+    return table(spark, sf, "events").select("event_id", F.coalesce(F.try_element_at(names, F.col("event_type")), F.col("event_type")).alias("condition"))
+
+
+@query(f"WITH u AS (SELECT doc_id, {U('doc_id', 'lossless')} < 0.3 AS lossless, {U('doc_id', 'extra')} < 0.5 AS extra, (70 + floor({U('doc_id', 'final')} * 27))::INT AS q, (lower(lang) IN ('jpeg', 'jpg'))::INT AS h FROM documents) SELECT doc_id, CASE WHEN lossless THEN -1 ELSE q END AS final_quality, CASE WHEN lossless THEN 0 WHEN extra THEN 2 ELSE 1 END AS n_extra, lossless, h + CASE WHEN lossless THEN 0 WHEN extra THEN 2 ELSE 1 END AS total_history FROM u")
+def normalization_plan(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", K.normalization_plan(F.col("doc_id"), F.col("lang"), 17).alias("p")).select("doc_id", "p.*")
+
+
+@query()
+def jpeg_quality_from_table(spark, sf):
+    """Tables scaled from the standard one to qualities 1 to 100, and the quality read back from each."""
+    s = F.when(F.col("id") < 50, 5000.0 / F.col("id")).otherwise(200.0 - 2 * F.col("id"))
+    scaled = F.array(*[F.least(F.lit(255.0), F.greatest(F.lit(1.0), F.floor((F.lit(float(x)) * s + 50) / 100))) for x in LUMA])
+    return spark.range(1, 101).select(F.col("id").cast("int").alias("quality"), K.jpeg_quality(scaled, LUMA).alias("estimate"))
+
+
+@query("SELECT step, round(CASE WHEN step < 100 THEN step / 100.0 ELSE 0.5 * (1 + cos(3.141592653589793 * (step - 100) / 900.0)) END, 6) AS lr FROM (SELECT unnest(range(0, 1001, 50))::BIGINT AS step)")
+def warmup_schedule(spark, sf):
+    return r6(spark.range(0, 1001, 50).select(F.col("id").alias("step"), K.warmup(F.col("id"), 1000, 100).alias("lr")))
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (k BETWEEN 0 AND 50) AS valid, count(*) FILTER (k IS NULL OR k NOT BETWEEN 0 AND 50) AS invalid FROM (SELECT try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events)")
+def json_validate(spark, sf):
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    good = F.coalesce(k.between(0, 50), F.lit(False))
+    return table(spark, sf, "events").select(good.alias("good")).agg(F.count("*").alias("rows"), F.count_if("good").alias("valid"), F.count_if(~F.col("good")).alias("invalid"))
+
+
+@query("""WITH p AS (SELECT DISTINCT url FROM pages), a AS (SELECT DISTINCT array_to_string(string_split(url, '/')[1:n], '/') AS prefix FROM p, (SELECT unnest([3, 4]) AS n) WHERE page_part(url) >= 0)
+SELECT 1""".replace("page_part(url) >= 0", "len(string_split(url, '/')) > n").replace("SELECT 1", "SELECT url, (SELECT prefix FROM a WHERE starts_with(p.url, prefix || '/') ORDER BY length(prefix) DESC LIMIT 1) AS prefix FROM p"))
+def longest_prefix_resolve(spark, sf):
+    paths = table(spark, sf, "pages").select("url").where("url is not null").distinct()
+    parts = F.split("url", "/", -1)
+    archives = paths.select(F.explode(F.array(F.lit(3), F.lit(4))).alias("n"), parts.alias("s")).where(F.size("s") > F.col("n")).select(F.array_join(F.slice("s", F.lit(1), F.col("n")), "/").alias("prefix"))
+    return curation.longest_prefix(paths, archives, "url", "prefix")
+
+
+@query(f"WITH {SCORED}, l AS (SELECT id, greatest(z, 0.0) - z * y + ln(1 + exp(-abs(z))) AS bce FROM scored) SELECT id, round(bce, 6) AS bce, round((1 - exp(-bce)) ** 2 * bce, 6) AS focal FROM l")
+def losses(spark, sf):
+    return r6(scores(spark, sf).select("id", K.log_loss(F.col("z"), F.col("y")).alias("bce"), K.focal(F.col("z"), F.col("y")).alias("focal")))
+
+
+# Aggregates and sets
+
+
+@query(f"WITH {MANIFEST} SELECT source, label, family, count(*) AS n FROM m GROUP BY ALL")
+def counts_by_group(spark, sf):
+    return manifest(spark, sf).groupBy("source", "label", "family").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang")
+def value_counts(spark, sf):
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+
+
+@query("SELECT lang, median(n_chars::DOUBLE) AS middle FROM documents GROUP BY lang")
+def group_medians(spark, sf):
+    return table(spark, sf, "documents").groupBy("lang").agg(F.median(F.col("n_chars").cast("double")).alias("middle"))
+
+
+@query("SELECT k, round(quantile_cont(x, k / 40.0), 6) AS edge FROM (SELECT ln(1 + n_chars::DOUBLE) AS x FROM documents), (SELECT unnest(range(41))::INT AS k) GROUP BY k".replace("quantile_cont(x, k / 40.0)", "list_extract(quantile_cont(x, [" + ", ".join(f"{i}/40.0" for i in range(41)) + "]), k + 1)"))
+def quantile_edges(spark, sf):
+    x = F.log1p(F.col("n_chars").cast("double"))
+    edges = table(spark, sf, "documents").agg(F.percentile(x, F.array(*[F.lit(i / 40) for i in range(41)])).alias("e"))
+    return r6(edges.select(F.posexplode("e").alias("k", "edge")))
+
+
+@query("WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events) SELECT round(avg(value), 6) AS mean, round(median(value), 6) AS median, max(CASE WHEN i = round_even(0.95 * (n - 1), 0) THEN value END) AS p95, min(value) AS least, max(value) AS most FROM r")
+def latency_summary(spark, sf):
+    """p95 is the value at the rounded place (half to even) of the sorted values, found by counts of distinct values."""
+    counts = table(spark, sf, "events").where("value is not null").groupBy("value").count()
+    run = counts.select("value", "count", F.sum("count").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("count").over(Window.partitionBy()).alias("n"))
+    whole = table(spark, sf, "events").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("least"), F.max("value").alias("most"))
+    p95 = run.agg(F.min(F.when(F.col("upto") > F.bround(0.95 * (F.col("n") - 1)), F.col("value"))).alias("p95"))
+    return whole.join(p95).select(F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "p95", "least", "most")
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS unlabelled, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS orphans, (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS \"both\"")
+def set_difference_report(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id").distinct().withColumn("d", F.lit(1))
+    x = table(spark, sf, "labels").select("doc_id").distinct().withColumn("x", F.lit(1))
+    return d.join(x, "doc_id", "full").agg(F.count_if(F.col("x").isNull()).alias("unlabelled"), F.count_if(F.col("d").isNull()).alias("orphans"), F.count_if(F.col("d").isNotNull() & F.col("x").isNotNull()).alias("both"))
+
+
+@query("SELECT doc_id AS id, text, NULL::VARCHAR AS role FROM documents UNION ALL SELECT conv_id, text, role FROM conversations")
+def union_by_name(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "text", "role"), allowMissingColumns=True)
+
+
+@query(f"WITH {SCORED} (SELECT id, y, round(sc, 6) AS sc FROM scored WHERE y = 0 ORDER BY scored.sc DESC, id LIMIT 12) UNION ALL (SELECT id, y, round(sc, 6) FROM scored WHERE y = 1 ORDER BY scored.sc, id LIMIT 12)")
+def top_k_errors(spark, sf):
+    s = scores(spark, sf).select("id", "y", "sc")
+    return r6(s.where("y = 0").orderBy(F.desc("sc"), "id").limit(12).union(s.where("y = 1").orderBy("sc", "id").limit(12)))
+
+
+@query(f"WITH {SCORED} SELECT condition, count(*) AS n FROM scored WHERE id % 97 = 0 GROUP BY condition HAVING count(*) < 100")
+def thin_conditions(spark, sf):
+    return scores(spark, sf).where("id % 97 = 0").groupBy("condition").agg(F.count("*").alias("n")).where("n < 100")
+
+
+@query(f"WITH {SCORED} SELECT c AS condition FROM (SELECT unnest({K.CONDITIONS}) AS c) WHERE c NOT IN (SELECT condition FROM scored WHERE condition IS NOT NULL)")
+def missing_conditions(spark, sf):
+    known = spark.createDataFrame([(c,) for c in K.CONDITIONS], "condition string")
+    return known.join(scores(spark, sf).select("condition").distinct(), "condition", "left_anti")
+
+
+@query(f"WITH {MANIFEST} SELECT doc_id, ((row_number() OVER (PARTITION BY label ORDER BY sha256(doc_id || '|fold|17'), doc_id) - 1) % 5)::INT AS fold FROM m")
+def probe_folds(spark, sf):
+    return probes.folds(manifest(spark, sf), "label", "doc_id").select("doc_id", "fold")
+
+
+@query("SELECT bool_and(isnan(v) OR v < 0.6) AS passes FROM (SELECT unnest(['nan'::DOUBLE, 0.59, 0.2]) AS v)")
+def gate_verdict(spark, sf):
+    return probes.verdict(spark.createDataFrame([(float("nan"),), (0.59,), (0.2,)], "v double"), "v")
+
+
+@query()
+def metadata_probe(spark, sf):
+    m = manifest(spark, sf).withColumns({"size": F.log1p(F.col("bytes").cast("double")), "w": F.col("width").cast("double"), "h": F.col("height").cast("double")})
+    found = [(name, probes.probe(m, cols, "label", "doc_id")) for name, cols in (("file_size", ["size"]), ("dimensions", ["w", "h"]))]
+    return spark.createDataFrame(found, "probe string, bacc double")
+
+
+@query()
+def embedding_probe(spark, sf):
+    own = table(spark, sf, "embeddings").where(F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    return spark.createDataFrame([("label_all", probes.probe(own, "embedding", "label", "vec_id"))], "probe string, bacc double")
