@@ -35,7 +35,7 @@ def spelled(word: str) -> str:
 class Units(dict):
     """Ids of units, as little-endian unsigned 32-bit bytes, by unit. Two generations of at most `most` units bound its memory."""
 
-    def __init__(self, encoder, prefix: str = "", most: int = 400_000):
+    def __init__(self, encoder, prefix: str = "", most: int = 150_000):
         self.encoder, self.prefix, self.most, self.old = encoder, prefix, most, {}
 
     def __missing__(self, unit: str) -> bytes:
