@@ -88,7 +88,7 @@ class Encoder:
             return list(map(self.first.__getitem__, ascii_words(text)))
         if not self.byte:
             return [self.whole(text)] if text else []
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:
+        if text.split() == text.replace("\n", " ").split(" "):  # lone spaces and line ends are its only white space
             out: list[bytes] = []
             first, then, end = self.first.__getitem__, self.next.__getitem__, self.lines
             for line in text.split("\n"):
