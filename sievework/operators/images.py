@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import LUMA
+
 #: Kind and parameter of each evaluation condition, the last one outside the standard fifteen.
 CONDITIONS = {
     "clean": ("clean", 0.0),
@@ -230,17 +232,11 @@ def seed_of(key: str, condition: str, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}|{condition}|{key}".encode(), digest_size=4).digest(), "big")
 
 
-def luma_standard():
-    from ..plans.catalogue import LUMA
-
-    return LUMA
-
-
 def apply(pixels: np.ndarray, condition: str, seed: int) -> np.ndarray:
     kind, x = CONDITIONS[condition]
     rng = np.random.Generator(np.random.PCG64(seed))
     if kind == "jpeg":
-        return jpeg(pixels, x, luma_standard())
+        return jpeg(pixels, x, LUMA)
     if kind == "blur":
         return blur(pixels, x)
     if kind == "resize":
@@ -267,7 +263,7 @@ def _distortion(name: str, pixels: np.ndarray, rng: np.random.Generator) -> np.n
     height, width, _ = pixels.shape
     if name == "jpeg":
         for _ in range(1 + int(rng.random() < 0.5)):
-            pixels = jpeg(pixels, int(rng.integers(25, 101)), luma_standard())
+            pixels = jpeg(pixels, int(rng.integers(25, 101)), LUMA)
         return pixels
     if name == "resize":
         factor = rng.uniform(0.2, 1.0)

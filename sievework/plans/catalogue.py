@@ -12,8 +12,6 @@ from .views import EVENTS, MANIFEST, SCORED, frame_sql, manifest, scores, table,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 TAU = 0.459366433990606
-#: The standard luma quantisation table, in its usual zigzag-free row order.
-LUMA = [16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99]
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -487,8 +485,8 @@ def normalization_plan(spark, sf):
 def jpeg_quality_from_table(spark, sf):
     """Tables scaled from the standard one to qualities 1 to 100, and the quality read back from each."""
     s = F.when(F.col("id") < 50, 5000.0 / F.col("id")).otherwise(200.0 - 2 * F.col("id"))
-    scaled = F.array(*[F.least(F.lit(255.0), F.greatest(F.lit(1.0), F.floor((F.lit(float(x)) * s + 50) / 100))) for x in LUMA])
-    return spark.range(1, 101).select(F.col("id").cast("int").alias("quality"), K.jpeg_quality(scaled, LUMA).alias("estimate"))
+    scaled = F.array(*[F.least(F.lit(255.0), F.greatest(F.lit(1.0), F.floor((F.lit(float(x)) * s + 50) / 100))) for x in K.LUMA])
+    return spark.range(1, 101).select(F.col("id").cast("int").alias("quality"), K.jpeg_quality(scaled, K.LUMA).alias("estimate"))
 
 
 @query("SELECT step, round(CASE WHEN step < 100 THEN step / 100.0 ELSE 0.5 * (1 + cos(3.141592653589793 * (step - 100) / 900.0)) END, 6) AS lr FROM (SELECT unnest(range(0, 1001, 50))::BIGINT AS step)")

@@ -1,6 +1,7 @@
-"""Files through Hadoop's file systems on the driver, and plain reads of shared files on executors."""
+"""Files through Hadoop's file systems on the driver, and reads and writes of shared files on executors."""
 
 import contextlib
+import os
 
 from pyspark.sql import SparkSession
 
@@ -76,3 +77,19 @@ def open_shared(uri: str):
 
     store, path = fs.FileSystem.from_uri(uri)
     return store.open_input_file(path)
+
+
+def write_shared(uri: str, body: bytes) -> None:
+    """A whole file from a task; a task that runs again writes the same bytes again."""
+    if "://" in uri and not uri.startswith("file:"):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        store.create_dir(path.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(path) as out:
+            out.write(body)
+        return
+    path = "/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as out:
+        out.write(body)
