@@ -62,9 +62,9 @@ def demo_subset(spark, sf):
     return scans.demo_subset(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")[1]
 
 
-@query("SELECT doc_id, quality, text IS NOT NULL AS first FROM (SELECT doc_id, NULL::INT AS quality, text FROM documents WHERE n_chars > 500 UNION ALL SELECT doc_id, quality, NULL FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 500))")
+@query("SELECT doc_id, quality, text IS NOT NULL AS first FROM (SELECT doc_id, -1 AS quality, text FROM documents WHERE n_chars > 500 UNION ALL SELECT doc_id, quality, NULL FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 500))")
 def prefer_first_root(spark, sf):
-    first = table(spark, sf, "documents").where("n_chars > 500").select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(True).alias("first"))
+    first = table(spark, sf, "documents").where("n_chars > 500").select("doc_id", F.lit(-1).alias("quality"), F.lit(True).alias("first"))
     second = table(spark, sf, "labels").select("doc_id", "quality", F.lit(False).alias("first"))
     return scans.prefer_first(first, second, "doc_id")
 
