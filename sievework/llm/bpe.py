@@ -9,6 +9,8 @@ row, keep the stretch around it as one unit for the library. Special tokens cont
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -29,7 +31,22 @@ LETTERS = _byte_letters()
 
 
 def spelled(word: str) -> str:
-    return "".join(map(LETTERS.__getitem__, word.encode()))
+    return word if word.isascii() and word.isalpha() else "".join(map(LETTERS.__getitem__, word.encode()))
+
+
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
+
+
+#: In an ASCII text: white space in a row, and white space that is neither a space nor a line end.
+ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def lone_spaces(text: str) -> bool:
+    """Whether lone spaces and line ends between other characters are all the white space of a text with any character."""
+    if text.isascii():
+        return text[:1] not in " \n" and text[-1:] not in " \n" and not any(x in text for x in ODD)
+    return text.split() == text.replace("\n", " ").split(" ")
 
 
 class Units(dict):
@@ -73,14 +90,17 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids_of(self, prefix: str, unit: str) -> bytes:
-        plain = PLAIN.fullmatch(unit)
-        if not plain:
-            return self.whole(prefix + unit)
-        letters, marks = plain.groups()
-        if marks:
-            return (self.next if prefix else self.first)[letters] + self.first[marks]
-        letters = prefix + (letters.lower() if self.word else letters)
-        return np.asarray([t.id for t in self.model.tokenize(spelled(letters))], "<u4").tobytes()
+        if unit.isascii() and unit.isalpha():
+            letters = unit
+        else:
+            plain = PLAIN.fullmatch(unit)
+            if not plain:
+                return self.whole(prefix + unit)
+            letters, marks = plain.groups()
+            if marks:
+                return (self.next if prefix else self.first)[letters] + self.first[marks]
+        letters = (LETTERS[32] if prefix else "") + spelled(letters.lower() if self.word else letters)
+        return packed([t.id for t in self.model.tokenize(letters)])
 
     def pieces(self, text: str) -> list[bytes]:
         """The ids of a text, in stretches."""
@@ -88,7 +108,7 @@ class Encoder:
             return list(map(self.first.__getitem__, ascii_words(text)))
         if not self.byte:
             return [self.whole(text)] if text else []
-        if text.split() == text.replace("\n", " ").split(" "):  # lone spaces and line ends are its only white space
+        if lone_spaces(text):
             out: list[bytes] = []
             first, then, end = self.first.__getitem__, self.next.__getitem__, self.lines
             for line in text.split("\n"):
