@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.curation import first_rows
+from .store import read_text
 
 RESULT = "condition string, n long, threshold double, calibration struct<temperature:double,alpha:double,threshold:double>, predictions array<struct<image_id:string,path:string,label:int,generator_family:string,pred:double>>"
 
@@ -108,6 +109,24 @@ def condition_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("stem", "condition", F.coalesce("calibration.threshold", "threshold").alias("threshold"), F.explode_outer("predictions").alias("p")).select("stem", "condition", "threshold", "p.*")
 
 
+def load_config(spark: SparkSession, path: str) -> dict:
+    """A configuration from JSON, or from YAML where a YAML reader is installed; it must be a mapping."""
+    text = read_text(spark, path)
+    if text is None:
+        raise FileNotFoundError(path)
+    if path.endswith(".json"):
+        config = json.loads(text)
+    else:
+        try:
+            import yaml
+        except ImportError:
+            raise RuntimeError("YAML configurations need the package yaml") from None
+        config = yaml.safe_load(text)
+    if not isinstance(config, dict):
+        raise ValueError(f"{path} is no mapping")
+    return config
+
+
 def config_hash(config: dict) -> str:
     """Twelve hex digits of the SHA-256 of the compact JSON with sorted keys."""
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import images, validation
+from sievework.functions.keys import LUMA
+from sievework.operators import headers, images, validation
 from sievework.sources import archives, scans, sinks, store
 
 
@@ -169,3 +170,46 @@ def test_image_tables(spark):
     assert done.count() == 75 and done.where("error is not null").count() == 30
     assert [(r.n, r.e) for r in images.describe(own, "key", "content").agg(F.count("phash").alias("n"), F.count("error").alias("e")).collect()] == [(3, 2)]
     assert images.five_views(own, "key", "content", 8).count() == 15
+
+
+def _segment(kind, body):
+    return b"\xff" + bytes([kind]) + struct.pack(">H", len(body) + 2) + body
+
+
+def test_headers(spark):
+    assert headers.ZIGZAG[:10] == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and headers.ZIGZAG[-3:] == [55, 62, 63]
+
+    def jpeg(quality, width, height, wide=False):
+        scale = 5000 // quality if quality < 50 else 200 - 2 * quality
+        table = [min(255, max(1, (x * scale + 50) // 100)) for x in LUMA]
+        values = [table[p] for p in headers.ZIGZAG]
+        body = struct.pack(">64H" if wide else ">64B", *values)
+        return b"\xff\xd8" + _segment(0xE0, b"JFIF\0") + b"\xff" + _segment(0xDB, bytes([16 if wide else 0]) + body) + _segment(0xC0, struct.pack(">BHHB", 8, height, width, 3)) + _segment(0xDA, b"") + b"\xff\xd9"
+
+    lossless = b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + struct.pack("<I", 639 | 479 << 14) + bytes(8)
+    whole = {
+        "j90": (jpeg(90, 640, 480), "jpeg", 640, 480, 90), "j30": (jpeg(30, 70000 % 65536, 9, True), "jpeg", 4464, 9, 30),
+        "png": (images.png_encode(np.zeros((5, 7, 3), np.uint8)), "png", 7, 5, -1), "webp": (lossless, "webp", 640, 480, -1),
+        "lossy": (b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 320, 200), "webp", 320, 200, -1),
+        "large": (b"RIFF\0\0\0\0WEBPVP8X" + bytes(8) + (999).to_bytes(3, "little") + (499).to_bytes(3, "little"), "webp", 1000, 500, -1),
+        "bmp": (b"BM" + bytes(16) + struct.pack("<ii", 12, -34), "bmp", 12, 34, -1),
+    }
+    wrong = {"null": None, "empty": b"", "text": b"hello", "cut": jpeg(90, 640, 480)[:40], "none": b"\xff\xd8\xff\xd9", "short": b"BM"}
+    rows = spark.createDataFrame([*[(k, bytearray(v[0])) for k, v in whole.items()], *[(k, v if v is None else bytearray(v)) for k, v in wrong.items()]], "key string, content binary")
+    found = {r.key: r for r in headers.image_headers(rows, "key", "content").collect()}
+    assert {k: (found[k].format, found[k].width, found[k].height, found[k].jpeg_quality, found[k].file_bytes, found[k].error) for k in whole} == {k: (*v[1:], len(v[0]), None) for k, v in whole.items()}
+    assert all(found[k].error and found[k].format is None and found[k].jpeg_quality == -1 for k in wrong)
+    assert headers.image_headers(rows.where("false"), "key", "content").count() == 0
+
+
+def test_configurations(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"b": [1, 2], "a": {"c": null}}')
+    assert scans.load_config(spark, str(tmp_path / "a.json")) == {"b": [1, 2], "a": {"c": None}}
+    (tmp_path / "b.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        scans.load_config(spark, str(tmp_path / "b.json"))
+    with pytest.raises(FileNotFoundError):
+        scans.load_config(spark, str(tmp_path / "none.json"))
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("a: 1\nb: [x, y]\n")
+    assert scans.load_config(spark, str(tmp_path / "c.yaml")) == {"a": 1, "b": ["x", "y"]}
