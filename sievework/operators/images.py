@@ -1,8 +1,8 @@
 """Image transforms on bytes: a PNG codec, evaluation conditions, training distortions, crops and views.
 
 Pixels are uint8 arrays of height x width x 3. Transforms are pure functions of (pixels, parameters, seed), so a lost task
-gives the same bytes again. There is no JPEG codec here: `jpeg` gives the pixels after colour conversion, 4:2:0 subsampling
-and quantised 8x8 cosine blocks, and every condition is encoded as PNG.
+gives the same bytes again. Pictures come in as PNG or JPEG. `jpeg` gives the pixels after colour conversion, 4:2:0
+subsampling and quantised 8x8 cosine blocks, and every condition is encoded as PNG; `jpeg_bytes` makes a JPEG file.
 """
 
 import hashlib
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import LUMA
+from .jpeg import COSINE, jpeg_decode, jpeg_encode
 
 #: Kind and parameter of each evaluation condition, the last one outside the standard fifteen.
 CONDITIONS = {
@@ -46,7 +47,7 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
 class Unreadable(ValueError):
-    """Bytes that are no PNG of eight bits a channel."""
+    """Bytes that are no PNG of eight bits a channel and no baseline JPEG."""
 
 
 def png_encode(pixels: np.ndarray) -> bytes:
@@ -96,6 +97,16 @@ def png_decode(content: bytes | None) -> np.ndarray:
     return np.repeat(own[:, :, :1], 3, 2) if channels < 3 else own[:, :, :3].copy()
 
 
+def decode(content: bytes | None) -> np.ndarray:
+    """Pixels of a PNG or a baseline JPEG."""
+    if not content or content[:2] != b"\xff\xd8":
+        return png_decode(content)
+    try:
+        return jpeg_decode(content)
+    except (ValueError, IndexError, KeyError, struct.error) as e:
+        raise Unreadable(f"JPEG: {e}") from None
+
+
 def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
     if kind == 0:
         return line
@@ -211,23 +222,24 @@ def jpeg(pixels: np.ndarray, quality: float, luma_standard) -> np.ndarray:
     p = np.pad(pixels, ((0, -height % 16), (0, -width % 16), (0, 0)), "edge").astype(np.float64)
     y = p @ [0.299, 0.587, 0.114]
     planes = [y, (p[:, :, 2] - y) / 1.772, (p[:, :, 0] - y) / 1.402]
-    k = np.arange(8)
-    cosine = np.cos((2 * k + 1) * k[:, None] * np.pi / 16) / 2
-    cosine[0] /= 2**0.5
     for i, plane in enumerate(planes):
         if i:
             plane = np.rint(plane.reshape(plane.shape[0] // 2, 2, -1, 2).mean((1, 3)))
         table = quantisation(quality, chroma_standard() if i else luma_standard)
         shift = 0.0 if i else 128.0
         blocks = plane.reshape(plane.shape[0] // 8, 8, -1, 8).swapaxes(1, 2) - shift
-        kept = np.rint(cosine @ blocks @ cosine.T / table) * table
-        plane = np.rint((cosine.T @ kept @ cosine).swapaxes(1, 2).reshape(plane.shape) + shift)
-        planes[i] = plane.repeat(2, 0).repeat(2, 1) if i else np.clip(plane, 0, 255)
+        kept = np.rint(COSINE @ blocks @ COSINE.T / table) * table
+        plane = np.clip(np.rint((COSINE.T @ kept @ COSINE).swapaxes(1, 2).reshape(plane.shape)), -128, 127) + shift
+        planes[i] = plane.repeat(2, 0).repeat(2, 1) if i else plane
     y, blue, red = planes
     green = y - (0.114 * 1.772 * blue + 0.299 * 1.402 * red) / 0.587
     return _byte(np.rint(np.stack([y + 1.402 * red, green, y + 1.772 * blue], 2)))[:height, :width]
 
 
+def jpeg_bytes(pixels: np.ndarray, quality: float, luma_standard) -> bytes:
+    return jpeg_encode(pixels, quantisation(quality, luma_standard), quantisation(quality, chroma_standard()))
+
+
 def seed_of(key: str, condition: str, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}|{condition}|{key}".encode(), digest_size=4).digest(), "big")
 
@@ -313,7 +325,7 @@ def fan_out(images: DataFrame, key: str, content: str, seed: int = 17, standard:
             for name, body, condition in zip(frame["key"], frame["content"], frame["condition"]):
                 try:
                     if last is None or body != last:
-                        pixels, last = png_decode(body), body
+                        pixels, last = decode(body), body
                     got = apply(pixels, condition, seed_of(name, condition, seed))
                     rows.append((name, condition, png_encode(got), got.shape[1], got.shape[0], None))
                     held += len(rows[-1][2])
@@ -350,7 +362,7 @@ def describe(images: DataFrame, key: str, content: str) -> DataFrame:
             out = []
             for name, body in zip(frame["key"], frame["content"]):
                 try:
-                    pixels = png_decode(body)
+                    pixels = decode(body)
                     out.append((name, hashlib.sha256(body).hexdigest(), f"{perceptual_hash(pixels):016x}", pixels.shape[1], pixels.shape[0], len(body), None))
                 except Unreadable as e:
                     out.append((name, hashlib.sha256(body).hexdigest() if body is not None else None, None, None, None, len(body or b""), str(e)))
@@ -367,7 +379,7 @@ def five_views(images: DataFrame, key: str, content: str, side: int) -> DataFram
         for frame in frames:
             for name, body in zip(frame["key"], frame["content"]):
                 try:
-                    pixels = png_decode(body)
+                    pixels = decode(body)
                 except Unreadable:
                     continue
                 yield pd.DataFrame([(name, i, png_encode(v)) for i, v in enumerate(views(pixels, side))], columns=["key", "view", "content"])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions.keys import LUMA
-from sievework.operators import headers, images, validation
+from sievework.operators import headers, images, jpeg, validation
 from sievework.sources import archives, scans, sinks, store
 
 
@@ -213,3 +213,59 @@ def test_configurations(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "c.yaml").write_text("a: 1\nb: [x, y]\n")
     assert scans.load_config(spark, str(tmp_path / "c.yaml")) == {"a": 1, "b": ["x", "y"]}
+
+
+def _by_java(spark, body):
+    """The pixels that the JVM's own reader gives."""
+    jvm = spark.sparkContext._jvm
+    read = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(body))
+    width, height = read.getWidth(), read.getHeight()
+    rows = [[read.getRGB(x, y) & 0xFFFFFF for x in range(width)] for y in range(height)]
+    return np.array([[(v >> 16, v >> 8 & 255, v & 255) for v in row] for row in rows])
+
+
+def _from_java(spark, pixels):
+    """The same picture as the JVM's own writer encodes it."""
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(pixels.shape[1], pixels.shape[0], 1)
+    for y, row in enumerate(pixels.tolist()):
+        for x, (r, g, b) in enumerate(row):
+            image.setRGB(x, y, r << 16 | g << 8 | b)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def _alike(own, other):
+    """The JVM's reader smooths the halved chroma planes; luma is the same wherever no channel met its end in either picture."""
+    inside = ((own > 0) & (own < 255) & (other > 0) & (other < 255)).all(2)
+    assert np.abs((own - other)[inside] @ [0.299, 0.587, 0.114]).max(initial=0) <= 3
+
+
+def test_jpeg(spark):
+    rng = np.random.default_rng(5)
+    smooth = images.scaled(rng.integers(0, 256, (4, 5, 3), np.uint8), 37, 21)
+    rough = rng.integers(0, 256, (33, 18, 3), np.uint8)
+    for picture in (smooth, rough, np.full((1, 1, 3), 200, np.uint8), np.zeros((16, 16, 3), np.uint8)):
+        for quality in (100, 90, 30, 1):
+            body = images.jpeg_bytes(picture, quality, LUMA)
+            own = jpeg.jpeg_decode(body).astype(int)
+            assert headers.read_header(body)[:3] == ("jpeg", picture.shape[1], picture.shape[0]) and own.shape == picture.shape
+            assert np.abs(own - images.jpeg(picture, quality, LUMA)).max() <= 1
+            _alike(own, _by_java(spark, body))
+            plain = images.jpeg_bytes(np.repeat(picture[:, :, :1], 3, 2), quality, LUMA)
+            assert np.abs(jpeg.jpeg_decode(plain).astype(int) - _by_java(spark, plain)).max() <= 2
+        grey = np.repeat(picture[:, :, :1], 3, 2)
+        assert np.abs(jpeg.jpeg_decode(images.jpeg_bytes(grey, 100, LUMA)).astype(int) - grey).max() <= 2
+    written = _from_java(spark, smooth)
+    _alike(jpeg.jpeg_decode(written).astype(int), _by_java(spark, written))
+    whole = images.jpeg_bytes(rough, 90, LUMA)
+    for n in (0, 3, 30, 200, len(whole) // 2):
+        with pytest.raises(images.Unreadable):
+            images.decode(whole[:n])
+    skewed = {s: 2 ** max(0, 30 - s) for s in range(60)}
+    sizes, symbols = jpeg._code(jpeg.Counter(skewed))
+    assert sum(sizes) == 60 and sum(n / 2**i for i, n in enumerate(sizes, 1)) < 1 and sorted(symbols) == list(range(60))
+    rows = spark.createDataFrame([("a", bytearray(whole)), ("b", bytearray(whole[:99]))], "key string, content binary")
+    found = {r.key: (r.width, r.height, r.error is None) for r in images.describe(rows, "key", "content").collect()}
+    assert found == {"a": (18, 33, True), "b": (None, None, False)}
