@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat earlier ones; n_chars follows."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, **line_dedup.WHOLE)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

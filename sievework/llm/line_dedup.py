@@ -1,7 +1,9 @@
 """Line deduplication (operator 7): a segment-partition edit join.
 
 A line of at least `min_chars` characters is removed where an earlier line, by (doc_id, line number), is at most
-`most` edits away (0: an exact repeat). Lines are cut into most + 1 even segments; two lines within `most` edits have a
+`most` edits away (0: an exact repeat); exact repeats go from `exact_chars` characters on, `min_chars` if it is not
+given. The least `min_chars` is most + 1, a character for each segment; the query and the pipeline take it, and 1 for
+`exact_chars`. Lines are cut into most + 1 even segments; two lines within `most` edits have a
 segment of one as a substring of the other, at nearly the same place. Each distinct line leaves its segments, keyed by
 (length, segment number, content), and the substrings that lines of its own or a slightly smaller length could have as a
 segment, at the places that the multi-match rule leaves. Keys meet in a stream sorted by key. A line's id holds, beside 40
@@ -11,7 +13,8 @@ bits of hash, the parities of its characters in 23 classes: an edit changes two
 Texts of candidate lines come from a second scan through a bitmap of fixed size (2 MB) of wanted ids; the exact join
 follows, so a full bitmap only costs time. Exact repeats are counted by 128 bits of hash.
 
-Defined cases: a null text has no lines; lines shorter than min_chars are never removed; rows that share a doc_id (or
+Defined cases: a null text has no lines; lines shorter than both limits are never removed, nor lines of white space
+alone under 32 characters (they part paragraphs); rows that share a doc_id (or
 have none) are one document for the order, each keeps or loses its lines as that document; a text whose lines all go is
 empty, its row stays; columns named like a result are replaced, others pass through; an empty table gives no rows.
 """
@@ -30,6 +33,9 @@ RESULTS = ("n_lines", "n_exact", "n_near", "n_links", "removed")
 MAP_BITS = 1 << 24
 SKETCH = np.int64(0xFFFFFE)
 SEEN = 500_000
+BLANK = 32
+#: The limits of the query and the pipeline: near repeats from most + 1 characters on, exact ones at every length.
+WHOLE = {"most": 2, "min_chars": 3, "exact_chars": 1}
 
 
 def line_ids(text: str) -> tuple[list[str], list[int]]:
@@ -43,6 +49,10 @@ def line_ids(text: str) -> tuple[list[str], list[int]]:
     return lines, [v - (1 << 64) if v >> 63 else v for v in out]
 
 
+def counts(line: str, least: int) -> bool:
+    return len(line) >= least and (len(line) >= BLANK or not line.isspace())
+
+
 def segments(length: int, most: int) -> list[tuple[int, int]]:
     """Places and sizes of most + 1 even segments of a line of this length."""
     size, more = divmod(length, most + 1)
@@ -54,10 +64,10 @@ def segments(length: int, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def probes(length: int, most: int) -> list[tuple[int, int, int, bool]]:
-    """(seed, start, size, is a segment of its own) of each substring that a line of this length leaves."""
+def probes(length: int, most: int, least: int = 1) -> list[tuple[int, int, int, bool]]:
+    """(seed, start, size, is a segment of its own) of each substring that a line of this length leaves; no line is shorter than `least`."""
     out = []
-    for short in range(length - most, length + 1):
+    for short in range(max(length - most, least), length + 1):
         shift = length - short
         for i, (at, n) in enumerate(segments(short, most)):
             low, high = max(0, at - i, at + shift - (most - i)), min(length - n, at + i, at + shift + (most - i))
@@ -102,15 +112,15 @@ def within(a: str, b: str, most: int) -> int | None:
     return next((e for e in range(most + 1) if reach[e] & goal), None)
 
 
-def occurrences(docs: DataFrame, min_chars: int, text: str) -> DataFrame:
-    """id, check (64 more bits of hash), doc_id and line_no of each long line."""
+def occurrences(docs: DataFrame, least: int, text: str) -> DataFrame:
+    """id, check (64 more bits of hash), doc_id and line_no of each line of at least `least` characters."""
 
     def run(batches):
         for batch in slices(batches):
             rows = []
             for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for n, (line, i) in enumerate(zip(*line_ids(body.decode("utf-8")))) if body else ():
-                    if len(line) >= min_chars:
+                    if counts(line, least):
                         rows.append((i, xxhash.xxh3_64_intdigest(line.encode("utf-8"), 7) - (1 << 63), doc_id, n))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), kind_of(batch), pa.int32()))], names=["id", "check", "doc_id", "line_no"])
@@ -131,7 +141,7 @@ def candidate_pairs(docs: DataFrame, min_chars: int, most: int, text: str) -> Da
             keys, ids = [], []
             for body in batch.column(1).to_pylist():
                 for line, i in zip(*line_ids(body.decode("utf-8"))) if body else ():
-                    if len(line) < min_chars or i in seen:
+                    if i in seen or not counts(line, min_chars):
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
@@ -139,7 +149,7 @@ def candidate_pairs(docs: DataFrame, min_chars: int, most: int, text: str) -> Da
                     wide = line.encode("utf-32-le", "surrogatepass")
                     plan = plans.get(len(line))
                     if plan is None:
-                        plan = plans[len(line)] = [(seed, 4 * p, 4 * (p + n), own) for seed, p, n, own in probes(len(line), most)]
+                        plan = plans[len(line)] = [(seed, 4 * p, 4 * (p + n), own) for seed, p, n, own in probes(len(line), most, min_chars)]
                     for seed, p, q, own in plan:
                         keys.append(digest(wide[p:q], seed))
                         ids.append(i | own)
@@ -201,7 +211,7 @@ def line_links(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str =
             for body in batch.column(1).to_pylist():
                 for line, i in zip(*line_ids(body.decode("utf-8"))) if body else ():
                     p = i >> 24 & MAP_BITS - 1
-                    if bits[p >> 5] >> (p & 31) & 1 and len(line) >= min_chars and i not in seen:
+                    if bits[p >> 5] >> (p & 31) & 1 and counts(line, min_chars) and i not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(i)
@@ -220,9 +230,9 @@ def line_links(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str =
     return verified.where("edits is not null").groupBy("a", "b").agg(F.min("edits").alias("edits"))
 
 
-def repeats(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "text", exact_chars: int | None = None) -> DataFrame:
     """doc_id, n_exact, n_near, n_links and removed (line numbers) of each document with a line that repeats or links."""
-    seen = materialize(occurrences(docs, min_chars, text), "occurrences")
+    seen = materialize(occurrences(docs, min(min_chars, exact_chars or min_chars), text), "occurrences")
     links = materialize(line_links(docs, most, min_chars, text), "links")
     place = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "line_no")
     exact = seen.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("n"))
@@ -241,7 +251,7 @@ def repeats(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "te
     )
 
 
-def dedup_lines(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "text", exact_chars: int | None = None) -> DataFrame:
     """docs with the lines that stay, and n_lines, n_exact, n_near, n_links and removed (the line numbers taken out)."""
 
     def keep(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -254,7 +264,7 @@ def dedup_lines(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str =
                 out.append(body)
             yield pa.array(out, pa.string())
 
-    found = repeats(docs, most, min_chars, text).withColumnRenamed("doc_id", "_id")
+    found = repeats(docs, most, min_chars, text, exact_chars).withColumnRenamed("doc_id", "_id")
     docs = without(docs, *[c for c in RESULTS if c != text])
     joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     body = F.col(f"`{text}`")

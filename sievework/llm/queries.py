@@ -39,7 +39,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), **line_dedup.WHOLE)
     kept = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_exact", "n_near", "n_links", F.size("removed").alias("n_removed"), F.octet_length(kept).alias("kept_bytes"), F.crc32(kept.cast("binary")).alias("kept_crc32"))
 

@@ -3,6 +3,8 @@
 import numpy as np
 
 import corpus_pipeline
+from sievework.llm import line_dedup
+from sievework.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,3 +47,34 @@ def test_near_duplicates_reach_a_similarity_of_0_8(spark):
     docs = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOCS)
     assert {x["doc_id"] for x in corpus_pipeline.copies(spark, docs, "").collect()} == want
     assert len(want) < len(texts) < 6 * len(want)
+
+
+def edits(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        q = [i + 1]
+        for j, y in enumerate(b):
+            q.append(min(p[j] + (x != y), p[j + 1] + 1, q[j] + 1))
+        p = q
+    return p[-1]
+
+
+def test_short_lines_repeat_too(spark, tmp_path):
+    r = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnop"))
+    texts = ["\n".join("".join(r.choice(letters, n)) for n in r.integers(1, 14, 12)) for _ in range(30)]
+    texts += ["Les.\n\n  \nA.", "Les.\n\n  \nA.\nA.\na line of its own, unlike any other"]
+    spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    first, want = {}, {}
+    for d, t in enumerate(texts):
+        for n, line in enumerate(t.split("\n")):
+            if line.strip():
+                first.setdefault(line, (d, n))
+    near = {a for a in first for b in first if min(len(a), len(b)) > 2 and abs(len(a) - len(b)) <= 2 and first[b] < first[a] and edits(a, b) <= 2}
+    for d, t in enumerate(texts):
+        want[d] = "\n".join(x for n, x in enumerate(t.split("\n")) if not x.strip() or (first[x] == (d, n) and x not in near))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {x["doc_id"]: x["text"] for x in corpus_pipeline.lines(spark, docs, "").collect()} == want
+    sizes = {x["doc_id"]: x["kept_bytes"] for x in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert sizes == {d: len(t) for d, t in want.items()}
+    assert near and line_dedup.WHOLE["min_chars"] == line_dedup.WHOLE["most"] + 1
