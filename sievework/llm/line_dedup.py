@@ -15,7 +15,8 @@ follows, so a full bitmap only costs time. Exact repeats are counted by 128 bits
 
 Defined cases: a null text has no lines; lines shorter than both limits are never removed, nor lines of white space
 alone under 32 characters (they part paragraphs); rows that share a doc_id (or
-have none) are one document for the order, each keeps or loses its lines as that document; a text whose lines all go is
+have none) are one document for the order, and of lines at the same number the one of the lower row number is earlier;
+each row (numbered in a written copy) loses its own lines only; a text whose lines all go is
 empty, its row stays; columns named like a result are replaced, others pass through; an empty table gives no rows.
 """
 
@@ -32,7 +33,7 @@ from .common import doc_text, key_runs, materialize, slices, without
 RESULTS = ("n_lines", "n_exact", "n_near", "n_links", "removed")
 MAP_BITS = 1 << 24
 SKETCH = np.int64(0xFFFFFE)
-SEEN = 500_000
+SEEN = 200_000
 BLANK = 32
 #: The limits of the query and the pipeline: near repeats from most + 1 characters on, exact ones at every length.
 WHOLE = {"most": 2, "min_chars": 3, "exact_chars": 1}
@@ -113,21 +114,21 @@ def within(a: str, b: str, most: int) -> int | None:
 
 
 def occurrences(docs: DataFrame, least: int, text: str) -> DataFrame:
-    """id, check (64 more bits of hash), doc_id and line_no of each line of at least `least` characters."""
+    """id, check (64 more bits of hash), doc_id, row and line_no of each line of at least `least` characters."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 1 << 20):
             rows = []
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, row, body in zip(*[c.to_pylist() for c in batch.columns]):
                 for n, (line, i) in enumerate(zip(*line_ids(body.decode("utf-8")))) if body else ():
                     if counts(line, least):
-                        rows.append((i, xxhash.xxh3_64_intdigest(line.encode("utf-8"), 7) - (1 << 63), doc_id, n))
+                        rows.append((i, xxhash.xxh3_64_intdigest(line.encode("utf-8"), 7) - (1 << 63), doc_id, row, n))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), kind_of(batch), pa.int32()))], names=["id", "check", "doc_id", "line_no"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), kind_of(batch), pa.int64(), pa.int32()))], names=["id", "check", "doc_id", "row", "line_no"])
 
     kind_of = lambda batch: batch.schema.field(0).type
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return doc_text(docs, text=text).mapInArrow(run, f"id long, check long, doc_id {kind}, line_no int")
+    return doc_text(docs, "_row", text=text).mapInArrow(run, f"id long, check long, doc_id {kind}, row long, line_no int")
 
 
 def candidate_pairs(docs: DataFrame, min_chars: int, most: int, text: str) -> DataFrame:
@@ -137,7 +138,7 @@ def candidate_pairs(docs: DataFrame, min_chars: int, most: int, text: str) -> Da
         seen: set[int] = set()
         plans: dict[int, list] = {}
         digest = xxhash.xxh64_intdigest
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, 1 << 19):
             keys, ids = [], []
             for body in batch.column(1).to_pylist():
                 for line, i in zip(*line_ids(body.decode("utf-8"))) if body else ():
@@ -206,7 +207,7 @@ def line_links(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str =
 
     def fetch(batches):
         bits, seen = sent.value, set()
-        for batch in slices(batches):
+        for batch in slices(batches, 1 << 20):
             rows = []
             for body in batch.column(1).to_pylist():
                 for line, i in zip(*line_ids(body.decode("utf-8"))) if body else ():
@@ -230,11 +231,16 @@ def line_links(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str =
     return verified.where("edits is not null").groupBy("a", "b").agg(F.min("edits").alias("edits"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, written, with a number for each row (`_row`) that later scans find again."""
+    return materialize(without(docs, "_row").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def repeats(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "text", exact_chars: int | None = None) -> DataFrame:
-    """doc_id, n_exact, n_near, n_links and removed (line numbers) of each document with a line that repeats or links."""
+    """_row, n_exact, n_near, n_links and removed (line numbers) of each row of numbered docs with a line that repeats or links."""
     seen = materialize(occurrences(docs, min(min_chars, exact_chars or min_chars), text), "occurrences")
     links = materialize(line_links(docs, most, min_chars, text), "links")
-    place = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "line_no")
+    place = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "line_no", "row")
     exact = seen.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     first = exact.groupBy("id").agg(F.min("first").alias("first"))
     at = lambda name: first.select(F.col("id").alias(name), F.col("first").alias(f"first_{name}"))
@@ -243,7 +249,7 @@ def repeats(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "te
     linked = ends.groupBy("x.id").agg(F.max("x.near").alias("near"), F.count("*").alias("links"))
     marks = exact.join(linked, "id", "left").where("n > 1 or links is not null").select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
     hits = seen.join(marks, ["id", "check"]).withColumn("again", place != F.col("first"))
-    return hits.groupBy("doc_id").agg(
+    return hits.groupBy(F.col("row").alias("_row")).agg(
         F.count_if("again").alias("n_exact"),
         F.count_if(F.expr("near and not again")).alias("n_near"),
         F.sum("links").alias("n_links"),
@@ -264,9 +270,8 @@ def dedup_lines(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str =
                 out.append(body)
             yield pa.array(out, pa.string())
 
-    found = repeats(docs, most, min_chars, text, exact_chars).withColumnRenamed("doc_id", "_id")
-    docs = without(docs, *[c for c in RESULTS if c != text])
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    docs = numbered(without(docs, *[c for c in RESULTS if c != text]))
+    joined = docs.join(repeats(docs, most, min_chars, text, exact_chars), "_row", "left").drop("_row")
     body = F.col(f"`{text}`")
     out = joined.withColumns({"n_lines": F.coalesce(F.size(F.split(body, "\n", -1)), F.lit(0)), **{c: F.coalesce(c, F.lit(0)) for c in ("n_exact", "n_near", "n_links")}, "removed": F.coalesce("removed", F.expr("cast(array() as array<int>)"))})
     return out.withColumn(text, F.arrow_udf(keep, "string")(body, F.col("removed")))

@@ -78,3 +78,13 @@ def test_short_lines_repeat_too(spark, tmp_path):
     sizes = {x["doc_id"]: x["kept_bytes"] for x in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
     assert sizes == {d: len(t) for d, t in want.items()}
     assert near and line_dedup.WHOLE["min_chars"] == line_dedup.WHOLE["most"] + 1
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    long = "a line that more than one of the rows holds, word for word"
+    rows = [doc(1, long + "\nfirst line of its own in row one, kept"), doc(None, "something that only the second row says\n" + long), doc(None, long + "\nwhat only the third row says, at line two"), doc(None, long), doc(2, long + "\nx"), doc(2, long + "\ny1234")]
+    for whole in (rows, [(2, *r[1:]) for r in rows]):
+        docs = spark.createDataFrame(whole, DOCS).coalesce(1)
+        got = sorted(x["text"] for x in corpus_pipeline.lines(spark, docs, "").collect())
+        assert sum(x.split("\n").count(long) for x in got) == 1
+        assert sorted(line for x in got for line in x.split("\n") if line not in ("", long)) == sorted(line for r in whole for line in r[1].split("\n") if line != long)
