@@ -13,10 +13,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. Rows that share an id are judged as one: all stay or all go."""
-    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*COLUMNS)
+    """Documents that the rules keep, row by row, whether or not rows share an id."""
+    return quality_rules.judge(docs, table(spark, sf_dir, "labels"), carry=tuple(COLUMNS)).where("kept").select("carried.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,13 +17,15 @@ no rows; columns named like a result are not carried.
 """
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, slices
+from .common import SPACE, by_bytes, materialize
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits")
@@ -79,17 +81,21 @@ def text_features(body: bytes) -> tuple[int, ...]:
     return len(words), chars, without(SYMBOLS), len(full) - len(set(full)), repeated_words(words), len(full), without(UPPER), without(MARKS), without(DIGITS)
 
 
-def features(docs: DataFrame, stratum: str = "lang", text: str = "text") -> DataFrame:
-    """doc_id, stratum and the counts of `FEATURES` of each whole text."""
+def features(docs: DataFrame, stratum: str = "lang", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, stratum and the counts of `FEATURES` of each whole text, and the columns `carry` of its row as a struct `carried`."""
 
-    def run(batches):
-        for batch in slices(batches):
-            rows = [text_features(x or b"") for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in zip(*rows)]], names=["doc_id", "stratum", *FEATURES])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = np.zeros((len(texts), len(FEATURES)), np.int64)
+            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+            for a, b in by_bytes(sizes, 8 << 20):
+                out[a:b] = [text_features(x or b"") for x in texts.slice(a, b - a).to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=list(FEATURES))
 
-    rows = docs.select("doc_id", F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"), F.col(f"`{text}`").cast("binary").alias("body"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, stratum string, {', '.join(f'{c} long' for c in FEATURES)}")
+    found = F.arrow_udf(run, f"struct<{', '.join(f'{c}: bigint' for c in FEATURES)}>")(F.col(f"`{text}`").cast("binary"))
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    rows = docs.select("doc_id", F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"), *more, found.alias("found"))
+    return rows.select("doc_id", "stratum", "found.*", *(["carried"] if carry else []))
 
 
 def binomial_tail(x: int, n: int, p: float) -> float:
@@ -154,14 +160,15 @@ def fit_cutoffs(feats: DataFrame, labels: DataFrame, risk: float = 0.02, error:
     return found
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", risk: float = 0.02, error: float = 0.05) -> DataFrame:
-    """doc_id, stratum, the features, base_failed, the rules that reject (`failed_rules`) and kept, for each row of docs."""
-    feats = materialize(features(docs, stratum, text), "features")
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", risk: float = 0.02, error: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, stratum, the features, base_failed, the rules that reject (`failed_rules`) and kept, for each row of docs;
+    with `carry`, those columns of the row too, as a struct `carried`."""
+    feats = materialize(features(docs, stratum, text, carry), "features")
     found = fit_cutoffs(feats, labels, risk, error)
     cuts = feats.sparkSession.createDataFrame([(f["stratum"], f["rule"], f["cutoff"]) for f in found], "stratum string, rule string, cutoff double")
     wide = cuts.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
     wide = wide.select("stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
     failed = F.array_compact(F.array(*[F.when(F.expr(e) > F.col(f"cut_{r}"), F.lit(r)) for r, e in RULES.items()]))
-    out = feats.join(wide, "stratum", "left").withColumn("failed_rules", failed)
+    out = feats.join(F.broadcast(wide), "stratum", "left").withColumn("failed_rules", failed)
     base = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
-    return out.select("doc_id", "stratum", *FEATURES, base.alias("base_failed"), "failed_rules").withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return out.select("doc_id", "stratum", *FEATURES, base.alias("base_failed"), "failed_rules", *(["carried"] if carry else [])).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))

@@ -88,3 +88,11 @@ def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
         got = sorted(x["text"] for x in corpus_pipeline.lines(spark, docs, "").collect())
         assert sum(x.split("\n").count(long) for x in got) == 1
         assert sorted(line for x in got for line in x.split("\n") if line not in ("", long)) == sorted(line for r in whole for line in r[1].split("\n") if line != long)
+
+
+def test_a_rejected_row_takes_no_other_of_its_id(spark, sf):
+    clean = " ".join(f"word{i}" for i in range(60))
+    rows = [doc(None, clean), doc(None, "too short"), doc(None, clean + " more"), doc(7, "short too"), doc(7, clean + " of seven"), (None, None, None, None, None)]
+    kept = corpus_pipeline.quality(spark, spark.createDataFrame(rows, DOCS), sf)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (rows[0], rows[2], rows[4])))
