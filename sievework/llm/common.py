@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else one made here (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else one made here, in local runs only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sievework-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/sievework-{spark.sparkContext.applicationId}"
@@ -48,6 +51,68 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, written, with a number for each row (`_row`) that later scans find again; its high bits name the written file."""
+    return materialize(without(docs, "_row").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def write_beside(rows: DataFrame, label: str) -> str:
+    """Writes rows that have a `_row` of numbered documents, one folder for each file of those: so a scan of the documents
+    finds what belongs to its rows by itself, and texts need not be shuffled to meet it. Returns the path."""
+    path = new_path(rows.sparkSession, label)
+    own = rows.withColumn("_part", F.shiftright("_row", 33))
+    own.repartition("_part").sortWithinPartitions("_part", "_row").write.partitionBy("_part").parquet(path)
+    return path
+
+
+class Beside:
+    """What `write_beside` left for the rows of a batch, read folder by folder in a task."""
+
+    def __init__(self, path: str):
+        self.path, self.part, self.rows, self.table = path, None, None, None
+
+    def _load(self, part: int) -> None:
+        import pyarrow.parquet as pq
+
+        store, path = file_system(self.path)
+        from pyarrow import fs
+
+        files = store.get_file_info(fs.FileSelector(f"{path}/_part={part}", allow_not_found=True))
+        found = [pq.read_table(f.path, filesystem=store, partitioning=None) for f in files if f.path.endswith(".parquet")]
+        self.part, self.table = part, pa.concat_tables(found) if found else None
+        self.rows = np.asarray(self.table["_row"]) if found else np.zeros(0, np.int64)
+
+    def places(self, rows: np.ndarray):
+        """(place in `table` or -1) of each row number; `rows` are of one file."""
+        at = np.searchsorted(self.rows, rows)
+        at[at == len(self.rows)] = 0
+        return np.where(self.rows[at] == rows, at, -1) if len(self.rows) else np.full(len(rows), -1)
+
+    def runs(self, rows: np.ndarray):
+        """(start, end, places) of each stretch of a batch that comes from one file."""
+        parts = rows >> 33
+        cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(rows)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                if self.part != parts[a]:
+                    self._load(int(parts[a]))
+                yield a, b, self.places(rows[a:b])
+
+
+def in_beside(path: str):
+    """An Arrow function: whether a row number was written there."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        beside = Beside(path)
+        for rows in batches:
+            out = np.zeros(len(rows), bool)
+            for a, b, places in beside.runs(np.asarray(rows)):
+                out[a:b] = places >= 0
+            yield pa.array(out)
+
+    return F.arrow_udf(run, "boolean")
+
+
 def clean_shared(spark: SparkSession) -> None:
     """Removes every intermediate table of this application."""
     remove_path(spark, shared_dir(spark))
@@ -60,13 +125,18 @@ def local_path(uri: str) -> str | None:
     return uri if "://" not in uri else None
 
 
+def file_system(uri: str):
+    """A pyarrow file system and the path in it."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), path) if (path := local_path(uri)) else fs.FileSystem.from_uri(uri)
+
+
 def open_read(uri: str):
     """A seekable file of the shared folder, for executors."""
     if path := local_path(uri):
         return open(path, "rb")
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = file_system(uri)
     return store.open_input_file(path)
 
 
@@ -74,9 +144,7 @@ def open_write(uri: str):
     if path := local_path(uri):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         return open(path, "wb")
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = file_system(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     return store.open_output_stream(path)
 
@@ -114,12 +182,16 @@ def slices(batches, most: int = 8 << 20):
             yield batch.slice(a, b - a)
 
 
-def key_runs(batches, key: str = "key"):
-    """Batches sorted by `key` come back cut where the key changes, so that no key straddles two batches."""
+def key_runs(batches, key: str = "key", most: int | None = None):
+    """Batches sorted by `key` come back cut where the key changes, so that no key straddles two batches; but a key of more
+    than `most` rows comes in several batches that hold nothing else."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
+        if most and sum(b.num_rows for b in held) > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
         keys = np.asarray(batch.column(batch.schema.get_field_index(key)))
         cut = int(np.searchsorted(keys != keys[-1], False)) if keys[0] == keys[-1] else int(len(keys) - np.argmax((keys != keys[-1])[::-1]))
         if cut:
@@ -137,5 +209,3 @@ def key_runs(batches, key: str = "key"):
 def is_held_out(doc_id: Column) -> Column:
     """The fold of the language model: crc32 of the id as text, remainder 2 modulo 7; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
-
-

@@ -7,11 +7,16 @@ given. The least `min_chars` is most + 1, a character for each segment; the quer
 segment of one as a substring of the other, at nearly the same place. Each distinct line leaves its segments, keyed by
 (length, segment number, content), and the substrings that lines of its own or a slightly smaller length could have as a
 segment, at the places that the multi-match rule leaves. Keys meet in a stream sorted by key. A line's id holds, beside 40
-bits of hash, the parities of its characters in 23 classes: an edit changes two at most, so candidates with more than
-2 * most differing parities fall out before a pair is made. Pairs are verified by a banded bit-parallel edit distance.
+bits of hash, the parities of its characters in 23 classes: an edit changes two at most, so a line stays in a key's group
+only if the parities of another one there differ in at most 2 * most classes.
 
-Texts of candidate lines come from a second scan through a bitmap of fixed size (2 MB) of wanted ids; the exact join
-follows, so a full bitmap only costs time. Exact repeats are counted by 128 bits of hash.
+No pair becomes a row. The lines of a group meet again with their texts (from a second scan, through a bitmap of fixed
+size of wanted ids), are verified there by a banded bit-parallel edit distance, and leave one row each: how many links
+were counted there, and whether one leads to an earlier line. A pair that shares several keys counts in the least segment
+that matches, which its two texts tell, so the sums over all groups are exact. A group of more than `BLOCK` lines is dealt
+into blocks, and each pair of blocks is a group of its own. A line is named by its id and 64 more bits of hash.
+
+Which lines a row loses is written beside the numbered documents, so texts are not shuffled.
 
 Defined cases: a null text has no lines; lines shorter than both limits are never removed, nor lines of white space
 alone under 32 characters (they part paragraphs); rows that share a doc_id (or
@@ -28,12 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, key_runs, materialize, slices, without
+from .common import Beside, doc_text, key_runs, materialize, numbered, slices, without, write_beside
 
 RESULTS = ("n_lines", "n_exact", "n_near", "n_links", "removed")
 MAP_BITS = 1 << 24
 SKETCH = np.int64(0xFFFFFE)
-SEEN = 200_000
+SEEN = 100_000
+#: Lines of a key up to which their parities are compared in one task, and lines of a block beyond it.
+HOT, BLOCK = 8192, 1024
+#: The low bits of a key: the number of the segment.
+SEGMENT = 7
 BLANK = 32
 #: The limits of the query and the pipeline: near repeats from most + 1 characters on, exact ones at every length.
 WHOLE = {"most": 2, "min_chars": 3, "exact_chars": 1}
@@ -76,19 +85,48 @@ def probes(length: int, most: int, least: int = 1) -> list[tuple[int, int, int,
     return out
 
 
+def common(a: str, b: str) -> int:
+    """The length of the common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def first_match(short: str, long: str, most: int, end: int) -> int:
+    """The number of the first of the `end` first segments of `short` that is a substring of `long` at a permitted place; `end` if none is."""
+    shift = len(long) - len(short)
+    for i, (at, n) in enumerate(segments(len(short), most)[:end]):
+        low, high = max(0, at - i, at + shift - (most - i)), min(len(long) - n, at + i, at + shift + (most - i))
+        if long.find(short[at : at + n], low, high + n) >= 0:
+            return i
+    return end
+
+
+def counts_here(owner: str, other: str, first: bool, segment: int, most: int) -> bool:
+    """Whether the pair counts in this group: its least segment is the owner's `segment`. Of lines of one length the first
+    goes before the other as owner."""
+    if len(owner) > len(other):
+        return False
+    if first_match(owner, other, most, segment + 1) != segment:
+        return False
+    return len(owner) < len(other) or first_match(other, owner, most, segment + (not first)) == segment + (not first)
+
+
 def within(a: str, b: str, most: int) -> int | None:
     """The edit distance if it is at most `most`: bit-parallel over the 2 * most + 1 diagonals of the band."""
     if abs(len(a) - len(b)) > most:
         return None
     if a == b:
         return 0
-    head, end = 0, min(len(a), len(b))
-    while head < end and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < end - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    head = common(a, b)
+    a, b = a[head:], b[head:]
+    tail = common(a[::-1], b[::-1])
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     full = (1 << 2 * most + 1) - 1
     reach = [0] * (most + 1)  # reach[e], bit k: with e edits, b read so far against k - most more characters of a
     reach[0] = 1 << most
@@ -122,7 +160,7 @@ def occurrences(docs: DataFrame, least: int, text: str) -> DataFrame:
             for doc_id, row, body in zip(*[c.to_pylist() for c in batch.columns]):
                 for n, (line, i) in enumerate(zip(*line_ids(body.decode("utf-8")))) if body else ():
                     if counts(line, least):
-                        rows.append((i, xxhash.xxh3_64_intdigest(line.encode("utf-8"), 7) - (1 << 63), doc_id, row, n))
+                        rows.append((i, check_of(line), doc_id, row, n))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), kind_of(batch), pa.int64(), pa.int32()))], names=["id", "check", "doc_id", "row", "line_no"])
 
@@ -131,8 +169,8 @@ def occurrences(docs: DataFrame, least: int, text: str) -> DataFrame:
     return doc_text(docs, "_row", text=text).mapInArrow(run, f"id long, check long, doc_id {kind}, row long, line_no int")
 
 
-def candidate_pairs(docs: DataFrame, min_chars: int, most: int, text: str) -> DataFrame:
-    """Pairs (a < b) of ids of distinct lines that share a key and fit by their parities."""
+def candidates(docs: DataFrame, min_chars: int, most: int, text: str) -> DataFrame:
+    """key and id (its low bit: the key is of a segment of the line itself) of each line that fits another of the key by parities."""
 
     def keyed(batches):
         seen: set[int] = set()
@@ -150,90 +188,168 @@ def candidate_pairs(docs: DataFrame, min_chars: int, most: int, text: str) -> Da
                     wide = line.encode("utf-32-le", "surrogatepass")
                     plan = plans.get(len(line))
                     if plan is None:
+                        if len(plans) >= 4096:
+                            plans.clear()
                         plan = plans[len(line)] = [(seed, 4 * p, 4 * (p + n), own) for seed, p, n, own in probes(len(line), most, min_chars)]
                     for seed, p, q, own in plan:
-                        keys.append(digest(wide[p:q], seed))
+                        keys.append(digest(wide[p:q], seed) & ~SEGMENT | seed % (most + 1))
                         ids.append(i | own)
+                if len(keys) > 400_000:
+                    yield key_batch(keys, ids)
+                    keys, ids = [], []
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(ids, np.int64))], names=["key", "id"])
+                yield key_batch(keys, ids)
+
+    def key_batch(keys, ids):
+        return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(ids, np.int64))], names=["key", "id"])
 
     def matched(batches):
-        for batch in key_runs(batches):
+        hot = np.int64(0)
+        for batch in key_runs(batches, most=HOT):
             keys, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             sizes = np.diff(np.append(starts, len(keys)))
-            own = ids & 1
-            useful = (sizes > 1) & (np.add.reduceat(own, starts) > 0) if len(starts) else np.zeros(0, bool)
-            found = []
+            own = np.add.reduceat(ids & 1, starts)
+            stays = np.zeros(len(ids), bool)
+            useful = (sizes > 1) & (own > 0)
             two = starts[useful & (sizes == 2)]
             x, y = ids[two] & ~np.int64(1), ids[two + 1] & ~np.int64(1)
             fits = (x != y) & (np.bitwise_count((x ^ y) & SKETCH) <= 2 * most)
-            if fits.any():
-                found.append(np.stack([x[fits], y[fits]], 1))
-            for s, n in zip(starts[useful & (sizes > 2)].tolist(), sizes[useful & (sizes > 2)].tolist()):
-                group = np.unique(ids[s : s + n])
-                index, probe = group[(group & 1) == 1] & ~np.int64(1), np.unique(group & ~np.int64(1))
-                for k in range(0, len(index), step := max(1, (1 << 22) // len(probe))):  # blocks of bounded size
+            stays[two[fits]] = stays[two[fits] + 1] = True
+            more = (sizes > 2) & (own > 0) | (sizes > HOT) | (keys[starts] == hot)
+            for s, n in zip(starts[more].tolist(), sizes[more].tolist()):
+                if n > HOT or keys[s] == hot:  # all stay, and meet block by block
+                    hot = keys[s]
+                    stays[s : s + n] = True
+                    continue
+                group = ids[s : s + n]
+                index, probe = np.unique(group[(group & 1) == 1] & ~np.int64(1)), np.unique(group & ~np.int64(1))
+                keep = np.zeros(len(probe), bool)
+                for k in range(0, len(index), step := max(1, (1 << 20) // len(probe))):  # blocks of bounded size
                     part = index[k : k + step]
-                    differ = np.bitwise_count((part[:, None] ^ probe[None, :]) & SKETCH) <= 2 * most
-                    r, c = np.nonzero(differ & (part[:, None] != probe[None, :]))
-                    if len(r):
-                        found.append(np.stack([part[r], probe[c]], 1))
-            if found:
-                pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+                    fit = (np.bitwise_count((part[:, None] ^ probe[None, :]) & SKETCH) <= 2 * most) & (part[:, None] != probe[None, :])
+                    keep |= fit.any(0)
+                    keep[np.searchsorted(probe, part[fit.any(1)])] = True
+                stays[s : s + n] = keep[np.searchsorted(probe, group & ~np.int64(1))]
+            if stays.any():
+                yield pa.RecordBatch.from_arrays([pa.array(keys[stays]), pa.array(ids[stays])], names=["key", "id"])
 
     rows = doc_text(docs, text=text).mapInArrow(keyed, "key long, id long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(matched, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(matched, "key long, id long").distinct()
 
 
-def wanted_map(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of MAP_BITS bits of the ids in pairs; at most MAP_BITS / 32 rows reach the driver."""
+def wanted_map(ids: DataFrame) -> np.ndarray:
+    """A bitmap of MAP_BITS bits of the ids; at most MAP_BITS / 32 rows reach the driver."""
     place = F.shiftright(F.col("id"), 24).bitwiseAND(F.lit(MAP_BITS - 1))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(place.alias("p")).distinct()
-    words = ids.groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("bits"))
+    places = ids.select(place.alias("p")).distinct()
+    words = places.groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("bits"))
     out = np.zeros(MAP_BITS // 32, np.uint32)
     for r in words.toLocalIterator():
         out[r["w"]] = r["bits"]
     return out
 
 
-def line_links(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "text") -> DataFrame:
-    """Pairs (a, b) of ids of distinct lines within `most` edits, with their distance."""
-    if not 0 < most < min_chars:
-        raise ValueError("a line needs more characters than edits")
-    pairs = materialize(candidate_pairs(docs, min_chars, most, text), "pairs")
-    sent = docs.sparkSession.sparkContext.broadcast(wanted_map(pairs))
+def wanted_lines(docs: DataFrame, ids: DataFrame, min_chars: int, text: str) -> DataFrame:
+    """id, check, line and first (has_id, doc_id, line_no, row) of the distinct lines whose id is wanted; rows come from numbered docs."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted_map(ids))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def fetch(batches):
-        bits, seen = sent.value, set()
+        bits = sent.value
+        best: dict[tuple[int, int], tuple] = {}
+        size, doc_kind = 0, None
+
+        def out():
+            rows = [(i, check, line, *place) for (i, check), (place, line) in best.items()]
+            types = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), doc_kind, pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["id", "check", "line", "has_id", "doc_id", "line_no", "row"])
+
         for batch in slices(batches, 1 << 20):
-            rows = []
-            for body in batch.column(1).to_pylist():
-                for line, i in zip(*line_ids(body.decode("utf-8"))) if body else ():
+            doc_kind = batch.schema.field(0).type
+            for doc_id, row, body in zip(*[c.to_pylist() for c in batch.columns]):
+                for n, (line, i) in enumerate(zip(*line_ids(body.decode("utf-8")))) if body else ():
                     p = i >> 24 & MAP_BITS - 1
-                    if bits[p >> 5] >> (p & 31) & 1 and counts(line, min_chars) and i not in seen:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(i)
-                        rows.append((i, line))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["id", "line"])
+                    if bits[p >> 5] >> (p & 31) & 1 and counts(line, min_chars):
+                        name, place = (i, check_of(line)), (doc_id is not None, doc_id, n, row)
+                        held = best.get(name)
+                        if held is None:
+                            size += len(line)
+                        if held is None or before(place, held[0]):
+                            best[name] = (place, line)
+                if size > 4 << 20 or len(best) > 50_000:
+                    yield out()
+                    best.clear()
+                    size = 0
+        if best:
+            yield out()
 
-    def distance(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            yield pa.array([within(x, y, most) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.int32())
+    rows = doc_text(docs, "_row", text=text).mapInArrow(fetch, f"id long, check long, line string, has_id boolean, doc_id {kind}, line_no int, row long")
+    wanted = rows.join(ids, "id", "left_semi")
+    return wanted.groupBy("id", "check").agg(F.min(F.struct("has_id", "doc_id", "line_no", "row")).alias("first"), F.first("line").alias("line"))
 
-    lines = materialize(doc_text(docs, text=text).mapInArrow(fetch, "id long, line string").distinct(), "lines")
-    left = lines.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
-    right = lines.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-    verified = pairs.join(left, "a").join(right, "b").select("a", "b", F.arrow_udf(distance, "int")("line_a", "line_b").alias("edits"))
-    return verified.where("edits is not null").groupBy("a", "b").agg(F.min("edits").alias("edits"))
 
+def check_of(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"), 7) - (1 << 63)
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs, written, with a number for each row (`_row`) that later scans find again."""
-    return materialize(without(docs, "_row").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+def before(a: tuple, b: tuple) -> bool:
+    """Whether a place is before another one; a document without id is before those with one."""
+    return (a[:1] + a[2:] if a[1] is None else a) < (b[:1] + b[2:] if b[1] is None else b) if a[0] == b[0] else a[0] < b[0]
+
+
+def line_links(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "text") -> DataFrame:
+    """id, check, near (an earlier line is within `most` edits) and links (how many distinct lines are) of each distinct line
+    of numbered docs that has a link."""
+    if not 0 < most < min(min_chars, SEGMENT + 1):
+        raise ValueError("a line needs more characters than edits")
+    members = materialize(candidates(docs, min_chars, most, text).withColumn("own", F.col("id").bitwiseAND(F.lit(1)) == 1).withColumn("id", F.col("id").bitwiseAND(F.lit(-2))), "members")
+    lines = materialize(wanted_lines(docs, members.select("id").distinct(), min_chars, text), "lines")
+    large = members.groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(large, "key", "left").withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(0))
+    small = dealt.where("blocks is null").select("key", "id", "own", "block", F.lit(False).alias("cross"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    split = dealt.where("blocks is not null").select("key", "id", "own", "block", other)
+    name = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).bitwiseAND(F.lit(~SEGMENT)).bitwiseOR(F.col("key").bitwiseAND(F.lit(SEGMENT)))
+    groups = small.unionByName(split.select(name.alias("key"), "id", "own", "block", (F.col("block") != F.col("other")).alias("cross")))
+
+    def verified(batches):
+        for batch in key_runs(batches):
+            keys = np.asarray(batch.column(0))
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            sizes = np.diff(np.append(starts, len(keys)))
+            out: list[tuple] = []
+            for s, n in zip(starts.tolist(), sizes.tolist()):
+                if n > 1:
+                    out += verified_group(batch.slice(s, n), int(keys[s]) & SEGMENT, most)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], names=["id", "check", "near", "links"])
+
+    rows = groups.join(lines, "id").select("key", "id", "own", "block", "cross", "check", "line", "first")
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(verified, "id long, check long, near boolean, links long")
+    return found.groupBy("id", "check").agg(F.max("near").alias("near"), F.sum("links").alias("links"))
+
+
+def verified_group(rows: pa.RecordBatch, segment: int, most: int) -> list[tuple]:
+    """(id, check, near, links) of the lines of one key that have links counted there."""
+    lines: dict[tuple[int, int], list] = {}
+    for i, own, block, cross, check, line, first in zip(*[rows.column(k).to_pylist() for k in range(1, 8)]):
+        held = lines.setdefault((i, check), [line, (first["has_id"], first["doc_id"], first["line_no"], first["row"]), block, cross, False])
+        held[4] |= own
+    names = list(lines)
+    ids = np.array([i for i, _ in names], np.int64)
+    links, near = [0] * len(names), [False] * len(names)
+    for x, name in enumerate(names):
+        owner, place, block, cross, own = lines[name]
+        if not own:
+            continue
+        for y in np.flatnonzero(np.bitwise_count((ids ^ ids[x]) & SKETCH) <= 2 * most).tolist():
+            line, other, its_block, _, _ = lines[names[y]]
+            if x == y or (cross and block == its_block) or not counts_here(owner, line, name < names[y], segment, most) or within(owner, line, most) is None:
+                continue
+            links[x] += 1
+            links[y] += 1
+            near[y if before(place, other) else x] = True
+    return [(*name, near[k], links[k]) for k, name in enumerate(names) if links[k]]
 
 
 def repeats(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "text", exact_chars: int | None = None) -> DataFrame:
@@ -242,12 +358,7 @@ def repeats(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "te
     links = materialize(line_links(docs, most, min_chars, text), "links")
     place = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "line_no", "row")
     exact = seen.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    first = exact.groupBy("id").agg(F.min("first").alias("first"))
-    at = lambda name: first.select(F.col("id").alias(name), F.col("first").alias(f"first_{name}"))
-    both = links.select("a", "b").join(at("a"), "a").join(at("b"), "b")
-    ends = both.select(F.explode(F.array(F.struct(F.col("a").alias("id"), (F.col("first_b") < F.col("first_a")).alias("near")), F.struct(F.col("b").alias("id"), (F.col("first_a") < F.col("first_b")).alias("near")))).alias("x"))
-    linked = ends.groupBy("x.id").agg(F.max("x.near").alias("near"), F.count("*").alias("links"))
-    marks = exact.join(linked, "id", "left").where("n > 1 or links is not null").select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
+    marks = exact.join(links, ["id", "check"], "left").where("n > 1 or links is not null").select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
     hits = seen.join(marks, ["id", "check"]).withColumn("again", place != F.col("first"))
     return hits.groupBy(F.col("row").alias("_row")).agg(
         F.count_if("again").alias("n_exact"),
@@ -257,21 +368,45 @@ def repeats(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "te
     )
 
 
-def dedup_lines(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "text", exact_chars: int | None = None) -> DataFrame:
-    """docs with the lines that stay, and n_lines, n_exact, n_near, n_links and removed (the line numbers taken out)."""
+KEPT = "struct<text: string, n_lines: int, n_exact: bigint, n_near: bigint, n_links: bigint, removed: array<int>>"
+
+
+def kept_lines(path: str):
+    """An Arrow function: the text without the lines that `repeats`, written at `path`, names for its row, and the row's numbers."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        beside = Beside(path)
+        for bodies, rows in batches:
+            numbers = np.zeros((len(rows), 4), np.int64)
+            gone: list[list[int]] = [[]] * len(rows)
+            for a, b, places in beside.runs(np.asarray(rows)):
+                hit = np.flatnonzero(places >= 0)
+                if len(hit):
+                    own = beside.table.take(pa.array(places[hit]))
+                    numbers[a + hit, 1:] = np.stack([np.asarray(own[c]) for c in ("n_exact", "n_near", "n_links")], 1)
+                    for k, lines in zip((a + hit).tolist(), own["removed"].to_pylist()):
+                        gone[k] = lines
+            texts = []
+            for k, body in enumerate(bodies):
+                body = body.as_py()
+                if body is not None:
+                    lines = body.split("\n")
+                    numbers[k, 0] = len(lines)
+                    if gone[k]:
+                        drop = set(gone[k])
+                        body = "\n".join(x for n, x in enumerate(lines) if n not in drop)
+                texts.append(body)
+            columns = [pa.array(texts, pa.string()), pa.array(numbers[:, 0].astype(np.int32)), *[pa.array(np.ascontiguousarray(numbers[:, c])) for c in (1, 2, 3)], pa.array(gone, pa.list_(pa.int32()))]
+            yield pa.StructArray.from_arrays(columns, names=["text", "n_lines", "n_exact", "n_near", "n_links", "removed"])
+
+    return F.arrow_udf(run, KEPT)
 
-    def keep(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for bodies, gone in batches:
-            out = []
-            for body, removed in zip(bodies.to_pylist(), gone.to_pylist()):
-                if body and removed:
-                    drop = set(removed)
-                    body = "\n".join(x for n, x in enumerate(body.split("\n")) if n not in drop)
-                out.append(body)
-            yield pa.array(out, pa.string())
 
+def dedup_lines(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "text", exact_chars: int | None = None) -> DataFrame:
+    """docs with the lines that stay, and n_lines, n_exact, n_near, n_links and removed (the line numbers taken out)."""
     docs = numbered(without(docs, *[c for c in RESULTS if c != text]))
-    joined = docs.join(repeats(docs, most, min_chars, text, exact_chars), "_row", "left").drop("_row")
-    body = F.col(f"`{text}`")
-    out = joined.withColumns({"n_lines": F.coalesce(F.size(F.split(body, "\n", -1)), F.lit(0)), **{c: F.coalesce(c, F.lit(0)) for c in ("n_exact", "n_near", "n_links")}, "removed": F.coalesce("removed", F.expr("cast(array() as array<int>)"))})
-    return out.withColumn(text, F.arrow_udf(keep, "string")(body, F.col("removed")))
+    path = write_beside(repeats(docs, most, min_chars, text, exact_chars), "removed")
+    passing = [F.col(f"`{c}`") for c in docs.columns if c not in ("_row", text)]
+    found = docs.select(*passing, kept_lines(path)(F.col(f"`{text}`"), F.col("_row")).alias("_kept"))
+    order = [F.col("_kept.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "_row"]
+    return found.select(*order, *[F.col(f"_kept.{c}") for c in RESULTS])

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from sievework.llm import line_dedup
+from sievework.llm import line_dedup, shingle_sets
 from sievework.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -96,3 +96,26 @@ def test_a_rejected_row_takes_no_other_of_its_id(spark, sf):
     kept = corpus_pipeline.quality(spark, spark.createDataFrame(rows, DOCS), sf)
     assert kept.columns == corpus_pipeline.COLUMNS
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (rows[0], rows[2], rows[4])))
+
+
+def test_large_groups_meet_block_by_block(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    near = []
+    for i in range(70):
+        line = list("every one of these lines is a near copy of the same sentence")
+        line[r.integers(0, len(line))] = chr(97 + r.integers(0, 26))
+        near.append("".join(line))
+    docs = spark.createDataFrame([doc(i, t + f"\nown {i * 7919 % 104729}") for i, t in enumerate(near)], DOCS)
+    columns = ("doc_id", "text", "n_exact", "n_near", "n_links")
+    whole = {tuple(x) for x in line_dedup.dedup_lines(docs).select(*columns).collect()}
+    texts = {" ".join(f"w{k}" for k in range(80)) + f" own{i // 2} end" for i in range(60)} | {f"text {i} alone " * 9 for i in range(5)}
+    more = spark.createDataFrame([doc(i, t) for i, t in enumerate(sorted(texts))], DOCS)
+    kept = {x["doc_id"] for x in corpus_pipeline.copies(spark, more, "").collect()}
+    monkeypatch.setattr(line_dedup, "HOT", 9)
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    monkeypatch.setattr(shingle_sets, "BLOCK", 4)
+    assert {tuple(x) for x in line_dedup.dedup_lines(docs).select(*columns).collect()} == whole
+    assert {x["doc_id"] for x in corpus_pipeline.copies(spark, more, "").collect()} == kept
+    distinct = set(near)
+    links = {a: sum(edits(a, b) <= 2 for b in distinct - {a}) for a in distinct}
+    assert {(i, n) for i, _, _, _, n in whole} == {(i, links[a]) for i, a in enumerate(near)}
