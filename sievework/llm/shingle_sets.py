@@ -1,47 +1,49 @@
-"""Near-duplicates by the similarity of word shingles: min-hash bands find candidates, whole shingle sets decide.
+"""Links by the similarity of word shingles, for operator 10: min-hash keys find candidates, whole shingle sets decide.
 
 A text is the set of its windows of `shingle` words (lower case, as 64-bit hashes); texts of fewer words are one window.
 Two texts link if their sets' Jaccard similarity is at least `least`. Each distinct set has 25 keys, each of 5 min-hashes;
 two sets of similarity s share a key with probability 1 - (1 - s^5)^25, which is 0.99995 at 0.8 and grows with s. Sets
 that share a key are compared item by item, so nothing below `least` links. A key leaves a spanning forest of its links:
-no more edges than members, however many pairs link. Edges join over all keys by stars (`components`).
+no more edges than members, however many pairs link.
 
 Distinct sets, not documents, are keyed, so a group of copies is one row there. Only sets that share a key travel with
-their items (32 bits of each hash), once for each different group of members.
+their items (32 bits of each hash), once for each different group of members. A group of more than `BLOCK` sets, or of
+more than `BLOCK_BYTES` of items, is dealt into blocks; each pair of blocks leaves a forest of its own, so no link is lost.
 
-Defined cases: null and empty texts have the empty set and link to each other; a null id counts only where a component
-has no other; an empty table gives no rows.
+Defined cases: null and empty texts have the empty set, which has no keys: they are one set anyway.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, doc_text, key_runs, materialize, slices
-from .components import components
+from .common import key_runs, materialize
 
 BANDS, ROWS = 25, 5
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
+HOT = 1 << 18
 _RANDOM = np.random.default_rng(42)
 TIMES, PLUS = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for _ in range(2))
 MIX = _RANDOM.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
 
 
-def shingles(body: bytes | None, size: int = 5) -> np.ndarray:
-    """The sorted distinct XXH64 hashes of the windows of `size` words."""
+def hashes(body: bytes | None, size: int) -> np.ndarray:
+    """The XXH64 hashes (seed 42) of the windows of `size` words, repeats included; fewer words are one window, no words none."""
     words = body.lower().split() if body else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     if len(words) <= size:
-        return np.array([digest(joined, 42)], np.uint64)
+        return np.array([digest(b" ".join(words), 42)] if words else [], np.uint64)
+    joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[: len(words) - size]]).tolist()
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], np.uint64))
+    del words
+    last = ends[size - 1 :] - 1
+    start = np.concatenate([[0], ends[: len(last) - 1]])
+    out = np.empty(len(last), np.uint64)
+    for k in range(0, len(last), 1 << 15):  # bounded lists for long texts
+        out[k : k + (1 << 15)] = [digest(joined[a:b], 42) for a, b in zip(start[k : k + (1 << 15)].tolist(), last[k : k + (1 << 15)].tolist())]
+    return out
 
 
 def set_name(items: np.ndarray) -> int:
@@ -59,32 +61,9 @@ def band_keys(items: np.ndarray) -> np.ndarray:
     return ((low.reshape(BANDS, ROWS) >> np.uint64(7)) * MIX).sum(1, dtype=np.uint64).view(np.int64)
 
 
-def sketches(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, print (the set's name), keys and items (32 bits of each hash, sorted) of each row."""
-
-    def run(batches):
-        for batch in slices(batches, 2 << 20):
-            sets = [shingles(x, shingle) for x in batch.column(1).to_pylist()]
-            items = [np.unique(s.astype(np.uint32)).tobytes() for s in sets]
-            columns = [batch.column(0), pa.array([set_name(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(items, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "print", "keys", "items"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return doc_text(docs, text=text).mapInArrow(run, f"doc_id {kind}, print long, keys array<long>, items binary")
-
-
-def name_of(shingle: int = 5):
-    """An Arrow function: the name of the shingle set of each text (as bytes)."""
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            out = []
-            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
-            for a, b in by_bytes(sizes, 2 << 20):
-                out += [set_name(shingles(x, shingle)) for x in texts.slice(a, b - a).to_pylist()]
-            yield pa.array(out, pa.int64())
-
-    return F.arrow_udf(run, "bigint")
+def packed(items: np.ndarray) -> bytes:
+    """The sorted distinct low 32 bits of the hashes."""
+    return np.unique(items.astype(np.uint32)).tobytes()
 
 
 def forest(names: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -105,25 +84,31 @@ def forest(names: np.ndarray, sets: list[np.ndarray], least: float) -> list[tupl
     return out
 
 
-def runs_of(keys: np.ndarray) -> list[tuple[int, int]]:
-    """Start and size of each run of at least two equal keys."""
+def runs_of(keys: np.ndarray, hot=None) -> list[tuple[int, int]]:
+    """Start and size of each run of at least two equal keys; of the key `hot` a run of one counts too."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
-    return list(zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()))
+    more = sizes > 1 if hot is None else (sizes > 1) | (keys[starts] == hot)
+    return list(zip(starts[more].tolist(), sizes[more].tolist()))
 
 
 def links(own: DataFrame, least: float = 0.8) -> DataFrame:
-    """Edges (a, b) between the names of distinct sets: a spanning forest of the links, group by group."""
+    """own (name, keys, items) -> edges (a, b) between the names of distinct sets: a spanning forest of the links, group by group."""
 
     def shared(batches):
-        for batch in key_runs(batches):
-            keys, names = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        hot = None
+        for batch in key_runs(batches, most=HOT):
+            keys, names, sizes = (np.asarray(c) for c in batch.columns)
             groups, members = [], []
-            for s, n in runs_of(keys):
-                groups.append(np.full(n, xxhash.xxh64_intdigest(names[s : s + n].tobytes()) - (1 << 63)))
-                members.append(names[s : s + n])
+            if batch.num_rows > HOT and keys[0] == keys[-1]:
+                hot = keys[0]
+            for s, n in runs_of(keys, hot):
+                name = keys[s] if keys[s] == hot else xxhash.xxh64_intdigest(names[s : s + n].tobytes()) - (1 << 63)
+                groups.append(np.full(n, name, np.int64))
+                members.append(np.arange(s, s + n))
             if groups:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(np.concatenate(members))], names=["key", "print"])
+                at = np.concatenate(members)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(names[at]), pa.array(sizes[at])], names=["key", "name", "size"])
 
     def verified(batches):
         for batch in key_runs(batches):
@@ -135,21 +120,15 @@ def links(own: DataFrame, least: float = 0.8) -> DataFrame:
                 a, b = np.array(edges, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    keys = own.select("print", "keys").dropDuplicates(["print"]).select(F.explode("keys").alias("key"), "print")
-    groups = materialize(keys.repartition("key").sortWithinPartitions("key", "print").mapInArrow(shared, "key long, print long").distinct(), "groups")
-    sets = own.select("print", "items").dropDuplicates(["print"])
-    rows = groups.join(sets, "print").select("key", "print", "items")
+    sets = own.select("name", "keys", "items").dropDuplicates(["name"])
+    keys = sets.select(F.explode("keys").alias("key"), "name", F.octet_length("items").cast("long").alias("size"))
+    groups = materialize(keys.repartition("key").sortWithinPartitions("key", "name").mapInArrow(shared, "key long, name long, size long").distinct(), "groups")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
+    large = groups.groupBy("key").agg(blocks.alias("blocks")).where("blocks > 1")
+    dealt = groups.join(large, "key", "left")
+    block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
+    split = dealt.where("blocks is not null").select("key", "name", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("block <> other")
+    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    members = dealt.where("blocks is null").select("key", "name").unionByName(split.select(pair.alias("key"), "name"))
+    rows = members.join(sets.select("name", "items"), "name").select("key", "name", "items")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(verified, "a long, b long").distinct()
-
-
-def keep_one(docs: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """docs with one document of each component: that of the smallest id (then name); of rows equal in both, one."""
-    own = materialize(sketches(docs, text, shingle), "sets")
-    nodes = components(links(own, least))
-    first = own.groupBy("print").agg(F.min("doc_id").alias("first"))
-    roots = first.join(nodes, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("root"), "first")
-    kept = roots.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "print")).alias("x"))
-    kept = materialize(kept.select(F.col("x.first").alias("_id"), F.col("x.print").alias("_own")), "kept")
-    marked = docs.withColumn("_print", name_of(shingle)(F.col(f"`{text}`").cast("binary")))
-    rows = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_own")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_print"]).drop("_print")
