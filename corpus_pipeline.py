@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontamination, line_dedup, packing, quality_rules, shingle_sets
+from sievework.llm import decontamination, line_dedup, packing, quality_rules, simhash_golay
 from sievework.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,8 +24,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: texts whose sets of five-word shingles have a similarity of 0.8."""
-    return shingle_sets.keep_one(docs, shingle=5, least=0.8).select(*COLUMNS)
+    """One document of each group of near-duplicates: fingerprints of five-word shingles within 4 bits, or a similarity of
+    0.8 between the sets of shingles."""
+    return simhash_golay.keep_one(docs, shingle=5, most=4, least=0.8).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable]] = [("quality_rules", quality), ("line_dedup", lines), ("near_duplicates", copies), ("decontamination", benchmark), ("packing", sequences)]
 
-#: SQL has no tokenizer, no edit join by segments and no min-hash; tests hold each stage against brute force.
+#: SQL has no tokenizer and no edit join by segments; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
