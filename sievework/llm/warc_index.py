@@ -1,18 +1,22 @@
 """WARC archives with a two-level capture index (operator 3).
 
-Keys are URLs with their hosts reversed (com,example)/path). One range shuffle by (key, page_id) brings the records into
-key order; each task writes one archive of gzip members and beside it the sorted index lines in compressed blocks, and
+Keys are URLs with their hosts reversed (com,example)/path). One range shuffle by (key, page_id, digest) brings the records
+into key order; each task writes one archive of gzip members and beside it the sorted index lines in compressed blocks, and
 returns one directory row a block (first and last key, place in the index file, place of its records in the archive).
-The directory is the sparse level: a look-up finds its block by binary search over the first keys of an index file, reads
-that byte range, searches the block, and reads the byte ranges of the records found.
+The directory is the sparse level. A look-up routes each key to the archives whose range of keys holds it, by binary search
+over one pair of keys an archive; there it finds its block by binary search over the directory's rows of that archive,
+reads that byte range, searches the block, and reads the byte ranges of the records found. Keys are looked up in their
+order, as a table of any size; the driver and the workers hold one pair of keys for each archive, one for each task that
+wrote. A key that straddles archives goes to each of them.
 
 Which record is the response and which revisit it is decided over digests and ids alone, before the payloads move: groups
 with one id leave no trace, each later record of a group leaves one decision row, which meets its page in the range
 shuffle. A task that runs again writes files of another name; only directory rows of tasks that succeeded are read.
 
 Defined cases: a null payload is empty; a null URL is the empty key; a page without id is a response that none refers to;
-pages that repeat id and payload are all responses; columns beside page_id, url and html don't travel; an empty table
-gives an empty directory.
+pages that repeat id and payload are all responses; pages that share URL and id but not the payload are decided each by its
+own payload; columns beside page_id, url and html don't travel; an empty table
+gives an empty directory. Rows equal in URL, id and payload pass through one task, one at a time.
 """
 
 import base64
@@ -46,11 +50,11 @@ def sort_key(url: Column) -> Column:
 
 
 def decisions(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """page_id and key of each page that revisits an earlier one, with that one's id."""
+    """key, page_id and sha of each page that revisits an earlier one, with that one's id."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     slim = pages.where(F.octet_length(body) >= min_bytes).select("page_id", sort_key(F.col("url")).alias("key"), F.sha1(body).alias("sha"))
     first = slim.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    return slim.join(first, "sha").where("page_id > first").select("key", "page_id", "first")
+    return slim.join(first, "sha").where("page_id > first").select("key", "page_id", "sha", "first").distinct()
 
 
 def record(page_id, url, body: bytes, digest: str, first) -> bytes:
@@ -96,7 +100,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, block_line
         name, out = None, []
         lines: list[str] = []
         at = block_from = index_at = 0
-        decided: dict = {}
+        place = decided = None
 
         def close_block():
             nonlocal index_at, block_from, lines
@@ -106,16 +110,17 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, block_line
             index_at, block_from, lines = index_at + len(data), at, []
 
         for batch in slices(batches):
-            for key, page_id, kind, first, url, body in zip(*[c.to_pylist() for c in batch.columns]):
+            for key, page_id, kind, first, sha, url, body in zip(*[c.to_pylist() for c in batch.columns]):
                 if name is None:
                     name = f"{folder}/{uuid.uuid4().hex}"
                     warc, cdx = open_write(f"{name}.warc.gz"), open_write(f"{name}.cdx.gz")
+                if place != (key, page_id, sha):
+                    place, decided = (key, page_id, sha), None
                 if kind == 0:
-                    decided = {(key, page_id): first}
+                    decided = first
                     continue
-                body = body or b""
-                digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
-                first = decided.get((key, page_id))
+                body, first = body or b"", decided
+                digest = base64.b32encode(bytes.fromhex(sha)).decode()
                 data = packed(record(page_id, url, body, digest, first))
                 warc.write(data)
                 lines.append(json.dumps([key, page_id, digest, at, len(data)], ensure_ascii=False))
@@ -130,10 +135,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, block_line
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=[x.split()[0] for x in DIRECTORY.split(", ")])
 
-    key = sort_key(F.col("url")).alias("key")
-    page = pages.select(key, F.col("page_id").cast("long").alias("page_id"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", F.col("html").cast("binary").alias("body"))
-    decision = decisions(pages, min_bytes).select("key", F.col("page_id").cast("long").alias("page_id"), F.lit(0).alias("kind"), F.col("first").cast("long").alias("first"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"))
-    rows = page.union(decision).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "kind")
+    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    page = pages.select(sort_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), F.sha1(body).alias("sha"), "url", body.alias("body"))
+    decision = decisions(pages, min_bytes).select("key", F.col("page_id").cast("long").alias("page_id"), F.lit(0).alias("kind"), F.col("first").cast("long").alias("first"), "sha", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"))
+    order = ("key", "page_id", "sha")
+    rows = page.union(decision).repartitionByRange(*order).sortWithinPartitions(*order, "kind")
     rows.mapInArrow(run, DIRECTORY).write.parquet(f"{folder}/directory")
     return directory(pages.sparkSession, folder)
 
@@ -147,61 +153,65 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in RECORD.split(", ")])
 
 
-def read_all(blocks: DataFrame) -> DataFrame:
-    """Every record, block by block: one range of the index, then one range of the archive."""
+def look_up(blocks: DataFrame, wanted: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
+    """The records of the URLs whose sort keys are in wanted (key): binary search over archives, blocks and lines, then range reads."""
+    spark = blocks.sparkSession
+    files = sorted(tuple(r) for r in blocks.groupBy("cdx", "warc").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).select("low", "high", "cdx", "warc").collect())
+    sent = spark.sparkContext.broadcast(files)
+    names = spark.createDataFrame([(i, f[2]) for i, f in enumerate(files)], "file int, cdx string")
 
-    def run(batches):
+    def route(batches):
+        low, high = [f[0] for f in sent.value], [f[1] for f in sent.value]
         for batch in batches:
-            for b in batch.to_pylist():
-                with open_read(b["cdx"]) as f:
-                    f.seek(b["offset"])
-                    lines = zlib.decompress(f.read(b["length"]), 31).decode().split("\n")
-                with open_read(b["warc"]) as f:
-                    f.seek(b["warc_from"])
-                    data = f.read(b["warc_to"] - b["warc_from"])
-                places = [json.loads(x)[3:] for x in lines]
-                yield _batch([parsed(zlib.decompress(data[at - b["warc_from"] : at - b["warc_from"] + n], 31)) for at, n in places])
-
-    return blocks.repartition(F.col("cdx"), F.col("offset")).mapInArrow(run, RECORD)
-
-
-def look_up(blocks: DataFrame, urls: list[str], most: int = 100_000) -> DataFrame:
-    """The records of the given URLs: binary search over each index file's first keys, then range reads. Queries are at most `most`."""
-    spark = blocks.sparkSession
-    if len(urls) > most:
-        raise ValueError(f"{len(urls)} URLs; join by sort_key beyond {most}")
-    wanted = sorted(r[0] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(sort_key(F.col("url"))).distinct().collect())
-    files = blocks.groupBy("cdx", "warc").agg(F.sort_array(F.collect_list(F.struct("offset", "first_key", "last_key", "length"))).alias("blocks"))
+            keys, found = [], []
+            for key in batch.column(0).to_pylist():
+                for i in range(bisect.bisect_left(high, key), bisect.bisect_right(low, key)):
+                    keys.append(key)
+                    found.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(keys, pa.string())], names=["file", "key"])
 
     def run(batches):
+        now, places, first = None, [], []
+        lines, opened, cdx, warc = [], None, None, None
+        out, size = [], 0
         for batch in batches:
-            for f in batch.to_pylist():
-                first = [b["first_key"] for b in f["blocks"]]
-                found, lines, opened = [], [], None
-                with open_read(f["cdx"]) as cdx, open_read(f["warc"]) as warc:
-                    for key in wanted:
-                        k = max(0, bisect.bisect_left(first, key) - 1)
-                        while k < len(first) and first[k] <= key:
-                            b = f["blocks"][k]
-                            if b["last_key"] >= key:
-                                if opened != k:
-                                    cdx.seek(b["offset"])
-                                    lines = [json.loads(x) for x in zlib.decompress(cdx.read(b["length"]), 31).decode().split("\n")]
-                                    opened = k
-                                i = bisect.bisect_left(lines, key, key=lambda x: x[0])
-                                while i < len(lines) and lines[i][0] == key:
-                                    warc.seek(lines[i][3])
-                                    found.append(parsed(zlib.decompress(warc.read(lines[i][4]), 31)))
-                                    i += 1
-                            k += 1
-                if found:
-                    yield _batch(found)
-
-    return files.mapInArrow(run, RECORD)
-
+            for i, is_key, offset, key, last, length in zip(*[c.to_pylist() for c in batch.columns]):
+                if i != now:
+                    for f in (cdx, warc):
+                        if f is not None:
+                            f.close()
+                    now, places, first, opened = i, [], [], None
+                    cdx, warc = (open_read(x) for x in sent.value[i][2:])
+                if not is_key:
+                    places.append((offset, length, last))
+                    first.append(key)
+                    continue
+                k = max(0, bisect.bisect_left(first, key) - 1)  # the block before may end with the key
+                while k < len(first) and first[k] <= key:
+                    if places[k][2] >= key:
+                        if opened != k:
+                            cdx.seek(places[k][0])
+                            lines, opened = [json.loads(x) for x in zlib.decompress(cdx.read(places[k][1]), 31).decode().split("\n")], k
+                        n = bisect.bisect_left(lines, key, key=lambda x: x[0])
+                        while n < len(lines) and lines[n][0] == key:
+                            warc.seek(lines[n][3])
+                            out.append(parsed(zlib.decompress(warc.read(lines[n][4]), 31)))
+                            size += len(out[-1][6] or b"") + 256
+                            n += 1
+                            if size >= batch_bytes:
+                                yield _batch(out)
+                                out, size = [], 0
+                    k += 1
+        if out:
+            yield _batch(out)
 
-def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes the pages into archives in the shared folder and reads every record back through the index."""
-    return read_all(write_archives(pages, new_path(pages.sparkSession, "warc"), min_bytes))
+    asked = wanted.select("key").mapInArrow(route, "file int, key string").select("file", F.lit(1).alias("is_key"), F.lit(0).cast("long").alias("offset"), "key", F.lit("").alias("last_key"), F.lit(0).cast("long").alias("length"))
+    sparse = blocks.join(names, "cdx").select("file", F.lit(0).alias("is_key"), "offset", F.col("first_key").alias("key"), "last_key", "length")
+    rows = asked.union(sparse).repartition(max(1, len(files)), "file").sortWithinPartitions("file", "is_key", "offset", "key")
+    return rows.mapInArrow(run, RECORD)
 
 
+def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """Writes the pages into archives in the shared folder and looks every page up by its URL through the index."""
+    blocks = write_archives(pages, new_path(pages.sparkSession, "warc"), min_bytes)
+    return look_up(blocks, pages.select(sort_key(F.col("url")).alias("key")).distinct())
