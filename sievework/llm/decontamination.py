@@ -2,8 +2,10 @@
 
 Texts are lower-cased (A-Z) and cut into words of ASCII digits, ASCII letters and characters beyond ASCII. Every `n`
 consecutive words of a benchmark item are a window; a shorter item is one window. The windows go to the executors as a
-broadcast whose size is checked: `block_windows` at most. A larger benchmark is scanned in blocks of that many windows,
-and what the blocks find is joined by row, so nothing of unbounded size is broadcast and nothing is left out. A training
+broadcast whose size is checked: about `block_bytes` of windows and item ids. A larger benchmark is scanned in blocks of
+that size, dealt by window and item, so that a window of very many items is spread, too. Each block's finds are written
+before its broadcast is released and the next one made; they meet the numbered documents beside their rows, without a
+shuffle of texts. So nothing of unbounded size is broadcast and nothing is left out. A training
 text is scanned with rolling hashes of its words (vectorised); every hash hit is verified against the window's words
 before it counts.
 
@@ -20,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialize, slices, without
+from .common import Beside, by_bytes, materialize, numbered, slices, without, write_beside
 
 #: Lower-cases A-Z and turns every other ASCII character that is neither digit nor letter into a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -104,6 +106,7 @@ class Scanner:
 _SCANNERS: dict[str, Scanner] = {}
 SCAN = "struct<n_words:bigint,places:array<struct<a:int,b:int>>,items:array<string>>"
 PLACES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+FOUND = pa.struct([("n_words", pa.int64()), ("places", PLACES), ("items", pa.list_(pa.string()))])
 
 
 def scanning(sent, token: str):
@@ -122,7 +125,28 @@ def scanning(sent, token: str):
                     words = words_of(body)
                     places, items = scanner.scan(words)
                     out.append({"n_words": len(words), "places": [{"a": a, "b": b} for a, b in merged(places)], "items": sorted(items)})
-            yield pa.array(out, pa.struct([("n_words", pa.int64()), ("places", PLACES), ("items", pa.list_(pa.string()))]))
+            yield pa.array(out, FOUND)
+
+    return scan
+
+
+def gathered(path: str):
+    """The Arrow function that gives each numbered text what all blocks found in it."""
+
+    def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        beside = Beside(path)
+        for texts, rows in batches:
+            hits: dict[int, dict] = {}
+            for a, _, places in beside.runs(np.asarray(rows)):
+                at = np.flatnonzero(places >= 0)
+                if len(at):
+                    hits.update(zip((a + at).tolist(), beside.table.take(pa.array(places[at])).to_pylist()))
+            out = []
+            for k, body in enumerate(texts):
+                hit = hits.get(k, {"places": [], "items": []})
+                spans = merged((x["a"], x["b"]) for x in hit["places"])
+                out.append({"n_words": len(words_of(body.as_py())), "places": [{"a": a, "b": b} for a, b in spans], "items": sorted(hit["items"])})
+            yield pa.array(out, FOUND)
 
     return scan
 
@@ -137,40 +161,37 @@ def merged(places) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", block_windows: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", block_bytes: int = 64 << 20) -> DataFrame:
     """docs with n_words, n_hit, n_items, items (sorted as strings), items_sha256, contaminated and spans (merged word ranges hit)."""
     spark = docs.sparkSession
     found = windows(benchmark, n, text)
-    total = found.agg(F.count_distinct("window")).first()[0]
-    blocks = max(1, -(-total // block_windows))
-    if blocks > 1:
-        found = materialize(found, "windows")
+    total = found.agg(F.sum(F.length("window") + F.octet_length("item") + 64)).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    docs = without(docs, *[c for c in RESULTS if c != text])
 
-    def scan_block(rows: DataFrame, block: int) -> DataFrame:
-        own = found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block) if blocks > 1 else found
+    def sent_block(block: int):
+        own = found.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == block) if blocks > 1 else found
         mine: dict[bytes, list[str]] = {}
         for r in own.toLocalIterator():
             mine.setdefault(bytes(r["window"]), []).append(r["item"])
-        scan = scanning(spark.sparkContext.broadcast(mine), uuid.uuid4().hex)
-        return rows.withColumn("_scan", F.arrow_udf(scan, SCAN)(F.col(f"`{text}`").cast("binary")))
-
-    out = without(docs, *[c for c in RESULTS if c != text])
-    for block in range(blocks):
-        out = scan_block(out, block)
-        if block:
-            both = F.array_union("_all.items", "_scan.items")
-            out = out.withColumn("_all", F.struct(F.col("_all.n_words").alias("n_words"), F.array_union("_all.places", "_scan.places").alias("places"), both.alias("items"))).drop("_scan")
-        else:
-            out = out.withColumnRenamed("_scan", "_all")
-    spans = F.aggregate(
-        F.array_sort("_all.places"),
-        F.expr("cast(array() as array<struct<a:int,b:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
-    ) if blocks > 1 else F.col("_all.places")
-    out = out.withColumn("spans", spans).withColumn("items", F.array_sort("_all.items"))
+        return spark.sparkContext.broadcast(mine)
+
+    body = F.col(f"`{text}`").cast("binary")
+    if blocks == 1:
+        out = docs.withColumn("_all", F.arrow_udf(scanning(sent_block(0), uuid.uuid4().hex), SCAN)(body))
+    else:
+        docs, found, hits = numbered(docs), materialize(found, "windows"), None
+        for block in range(blocks):
+            sent = sent_block(block)
+            scanned = docs.select("_row", F.arrow_udf(scanning(sent, uuid.uuid4().hex), SCAN)(body).alias("s"))
+            own = materialize(scanned.where(F.size("s.places") > 0).select("_row", "s.places", "s.items"), "hits")
+            sent.destroy()
+            hits = own if hits is None else hits.union(own)
+        path = write_beside(hits.groupBy("_row").agg(F.flatten(F.collect_list("places")).alias("places"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")), "found")
+        out = docs.withColumn("_all", F.arrow_udf(gathered(path), SCAN)(body, F.col("_row"))).drop("_row")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["b"] - x["a"]))
     return (
-        out.withColumn("n_words", F.col("_all.n_words"))
+        out.withColumns({"spans": F.col("_all.places"), "items": F.array_sort("_all.items"), "n_words": F.col("_all.n_words")})
         .withColumn("n_hit", hit)
         .withColumn("n_items", F.size("items").cast("long"))
         .withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256))
