@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, by_bytes, materialize
 
 SYMBOLS = b"#*$%&|<>"
+FEW = 100_000
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits")
 UPPER, MARKS, DIGITS = bytes(range(65, 91)), b"!?", bytes(range(48, 58))
 #: Ratios; each grows with what it holds against a text.
@@ -98,6 +99,11 @@ def features(docs: DataFrame, stratum: str = "lang", text: str = "text", carry:
     return rows.select("doc_id", "stratum", "found.*", *(["carried"] if carry else []))
 
 
+def small(table: DataFrame, n: int) -> DataFrame:
+    """A table that the driver made, broadcast up to `FEW` rows: texts' features need not be shuffled to meet it."""
+    return F.broadcast(table) if n <= FEW else table
+
+
 def binomial_tail(x: int, n: int, p: float) -> float:
     """P(X <= x) of a binomial, exactly summed in logarithms."""
     if x >= n:
@@ -143,7 +149,7 @@ def fit_cutoffs(feats: DataFrame, labels: DataFrame, risk: float = 0.02, error:
     out = F.lit(False)
     for r in RULES:
         out = out | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
-    tested = good.where("not proposes").join(table, "stratum").groupBy("stratum", "level").agg(F.count("*").alias("n"), F.count_if(out).alias("x")).collect()
+    tested = good.where("not proposes").join(small(table, len(rows)), "stratum").groupBy("stratum", "level").agg(F.count("*").alias("n"), F.count_if(out).alias("x")).collect()
     tests = {(r["stratum"], r["level"]): (r["x"], r["n"]) for r in tested}
     found = []
     for s in counts:
@@ -165,10 +171,11 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str =
     with `carry`, those columns of the row too, as a struct `carried`."""
     feats = materialize(features(docs, stratum, text, carry), "features")
     found = fit_cutoffs(feats, labels, risk, error)
-    cuts = feats.sparkSession.createDataFrame([(f["stratum"], f["rule"], f["cutoff"]) for f in found], "stratum string, rule string, cutoff double")
-    wide = cuts.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    wide = wide.select("stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
+    by_stratum: dict[str, dict] = {}
+    for f in found:
+        by_stratum.setdefault(f["stratum"], {})[f["rule"]] = f["cutoff"]
+    wide = feats.sparkSession.createDataFrame([(k, *[v.get(r) for r in RULES]) for k, v in by_stratum.items()], f"stratum string, {', '.join(f'cut_{r} double' for r in RULES)}")
     failed = F.array_compact(F.array(*[F.when(F.expr(e) > F.col(f"cut_{r}"), F.lit(r)) for r, e in RULES.items()]))
-    out = feats.join(F.broadcast(wide), "stratum", "left").withColumn("failed_rules", failed)
+    out = feats.join(small(wide, len(by_stratum)), "stratum", "left").withColumn("failed_rules", failed)
     base = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     return out.select("doc_id", "stratum", *FEATURES, base.alias("base_failed"), "failed_rules", *(["carried"] if carry else [])).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
