@@ -1,19 +1,22 @@
 """Quotation linking (operator 9, native): from quoting messages to reply-ordered conversations without quotes.
 
-Each line's quote level is its number of leading '>' marks. A quoted passage (a quoted line with its marks off, in lower
-case, punctuation and white space folded) is hashed and joined, within its conversation, to the earliest message that
-has the passage as a line of its own; only an earlier turn counts. Originals are reduced to one row a passage and
+Each line's quote level is its number of leading '>' marks. A passage is a stretch of consecutive lines of one level (lines
+without a letter or digit, as between paragraphs, don't end it), and each of its lines is a passage, too. Passages, with
+their marks off, in lower case, punctuation and white space folded, are hashed; quoted ones are joined, within their
+conversation, to the earliest message that has the same passage unquoted; only an earlier turn counts. A line of a
+passage that is found as a whole goes to that message, any other line to the one that its own words lead to. Originals are
+reduced to one row a passage and
 quotes to one row a passage and message before the join, so a line that everybody quotes makes no pairs. A message
-replies to the original of its outermost quotes (lowest level, most passages, latest turn). Roots and depths of the
+replies to the original of its outermost quotes (lowest level, most lines, latest turn). Roots and depths of the
 reply trees come from pointer doubling, one written table a round. A parent's turn is below its child's, so (thread,
-turn) is a reply order.
+turn) is a reply order, in which the conversations come out.
 
 Defined cases: a null text stays null and quotes nothing; rows with a null conversation or turn, and messages without a
 quote that is found, are threads of their own; rows that repeat conversation and turn are one message for linking and stay
 rows; columns named like a result are replaced, others pass through; an empty table gives no rows.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, without
@@ -29,21 +32,34 @@ def folded(line: Column) -> Column:
 
 
 def message_lines(messages: DataFrame, text: str) -> DataFrame:
-    """conv_id, turn, level, passage (a hash) of each line that has a letter or digit."""
-    lines = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.split(F.col(f"`{text}`"), "\r?\n")).alias("line"))
+    """conv_id, turn, level, the line (passage and proof, two hashes) and the stretch it stands in (whole) of each line that
+    has a letter or digit."""
+    named = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.monotonically_increasing_id().alias("message"), F.posexplode(F.split(F.col(f"`{text}`"), "\r?\n")).alias("place", "line"))
     mark = F.regexp_extract("line", QUOTE, 0)
-    own = lines.select("conv_id", "turn", F.length(F.regexp_replace(mark, r"[^>]", "")).alias("level"), folded(F.substr("line", F.length(mark) + 1)).alias("bare"))
-    return own.where("bare <> ''").select("conv_id", "turn", "level", F.xxhash64("bare").alias("passage"), F.crc32(F.col("bare").cast("binary")).alias("proof"))
+    level = F.length(F.regexp_replace(mark, r"[^>]", ""))
+    own = named.select("conv_id", "turn", "message", "place", level.alias("level"), folded(F.substr("line", F.length(mark) + 1)).alias("bare")).where("bare <> ''")
+    hashed = own.select("conv_id", "turn", "message", "place", "level", F.xxhash64("bare").alias("passage"), F.crc32(F.col("bare").cast("binary")).alias("proof"))
+    order = Window.partitionBy("conv_id", "turn", "message").orderBy("place")  # the lines of one message
+    changed = F.when(F.lag("level").over(order) == F.col("level"), 0).otherwise(1)
+    stretch = hashed.withColumn("changed", changed).withColumn("stretch", F.sum("changed").over(order))
+    key = ["conv_id", "turn", "message", "stretch"]
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "passage", "proof"))), lambda x: F.struct(x["passage"], x["proof"]))
+    whole = stretch.groupBy(*key).agg(F.first("level").alias("level"), lines.alias("lines"))
+    return whole.select("conv_id", "turn", "level", F.xxhash64("lines").alias("whole"), F.inline("lines").alias("passage", "proof"))
 
 
 def reply_links(messages: DataFrame, text: str = "text") -> DataFrame:
-    """conv_id, turn, parent_turn (null: not found), n_quoted and n_linked passages of each message that quotes."""
+    """conv_id, turn, parent_turn (null: not found), n_quoted and n_linked lines of each message that quotes."""
     lines = message_lines(messages, text)
+    own, quoted = lines.where("level = 0"), lines.where("level > 0")
     key = ["conv_id", "passage", "proof"]
-    first = lines.where("level = 0").groupBy(*key).agg(F.min("turn").alias("original"))
-    quotes = lines.where("level > 0").groupBy(*key, "turn").agg(F.min("level").alias("level"))
-    found = quotes.join(first, key, "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
-    by = found.groupBy("conv_id", "turn", "original").agg(F.min("level").alias("level"), F.count("*").alias("n"))
+    by_line = own.groupBy(*key).agg(F.min("turn").alias("by_line"))
+    by_whole = own.groupBy("conv_id", "whole").agg(F.min("turn").alias("by_whole"))
+    quotes = quoted.groupBy(*key, "turn", "whole").agg(F.min("level").alias("level"))
+    earlier = lambda c: F.when(F.col(c) < F.col("turn"), F.col(c))
+    found = quotes.join(by_line, key, "left").join(by_whole, ["conv_id", "whole"], "left").withColumn("original", F.coalesce(earlier("by_whole"), earlier("by_line")))
+    once = found.groupBy(*key, "turn").agg(F.min(F.struct(F.col("original").isNull().alias("lost"), "level", "original")).alias("x")).select("conv_id", "turn", "x.level", "x.original")
+    by = once.groupBy("conv_id", "turn", "original").agg(F.min("level").alias("level"), F.count("*").alias("n"))
     best = F.min(F.when(F.col("original").isNotNull(), F.struct("level", (-F.col("n")).alias("n"), (-F.col("original")).alias("o"))))
     return by.groupBy("conv_id", "turn").agg((-best["o"]).alias("parent_turn"), F.sum("n").alias("n_quoted"), F.coalesce(F.sum(F.when(F.col("original").isNotNull(), F.col("n"))), F.lit(0)).alias("n_linked"))
 
