@@ -16,6 +16,7 @@ were counted there, and whether one leads to an earlier line. A pair that shares
 that matches, which its two texts tell, so the sums over all groups are exact. A group of more than `BLOCK` lines is dealt
 into blocks, and each pair of blocks is a group of its own. A line is named by its id and 64 more bits of hash.
 
+Occurrences of common lines meet what is known of their line by a broadcast, of `COMMON` rows at most; all others by a join.
 Which lines a row loses is written beside the numbered documents, so texts are not shuffled.
 
 Defined cases: a null text has no lines; lines shorter than both limits are never removed, nor lines of white space
@@ -41,6 +42,8 @@ SKETCH = np.int64(0xFFFFFE)
 SEEN = 100_000
 #: Lines of a key up to which their parities are compared in one task, and lines of a block beyond it.
 HOT, BLOCK = 8192, 1024
+#: A line is common if it makes at least one in so many of all occurrences.
+COMMON = 10_000
 #: The low bits of a key: the number of the segment.
 SEGMENT = 7
 BLANK = 32
@@ -358,8 +361,11 @@ def repeats(docs: DataFrame, most: int = 2, min_chars: int = 32, text: str = "te
     links = materialize(line_links(docs, most, min_chars, text), "links")
     place = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "line_no", "row")
     exact = seen.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    marks = exact.join(links, ["id", "check"], "left").where("n > 1 or links is not null").select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
-    hits = seen.join(marks, ["id", "check"]).withColumn("again", place != F.col("first"))
+    marks = exact.join(links, ["id", "check"], "left").where("n > 1 or links is not null").select("id", "check", "n", "first", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
+    marks, total = materialize(marks, "marks"), seen.count()
+    common = marks.where(F.col("n") * COMMON >= total)  # COMMON lines at most, whose occurrences would be hot keys
+    rest = seen.join(F.broadcast(common.select("id", "check")), ["id", "check"], "left_anti").join(marks.where(F.col("n") * COMMON < total), ["id", "check"])
+    hits = seen.join(F.broadcast(common), ["id", "check"]).unionByName(rest).withColumn("again", place != F.col("first"))
     return hits.groupBy(F.col("row").alias("_row")).agg(
         F.count_if("again").alias("n_exact"),
         F.count_if(F.expr("near and not again")).alias("n_near"),
