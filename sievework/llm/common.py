@@ -1,6 +1,9 @@
 """What the operators share: reading tables, the shared folder, written intermediate tables, Arrow helpers."""
 
+import contextlib
+import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,8 +33,50 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sievework-{spark.sparkContext.applicationId}"
 
 
+#: Lists that take the paths given out while they are in force.
+_TAKERS: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for taker in _TAKERS:
+        taker.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def taking(paths: list[str]):
+    """Adds the paths of the intermediate tables made inside to a list."""
+    _TAKERS.append(paths)
+    try:
+        yield
+    finally:
+        _TAKERS.remove(paths)
+
+
+def read_paths(df: DataFrame) -> list[str]:
+    """The root paths of the tables that df reads, without scheme."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        relation = leaves.apply(i).relation() if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation" else None
+        if relation is not None and relation.getClass().getSimpleName() == "HadoopFsRelation":
+            roots = relation.location().rootPaths()
+            out += [roots.apply(k).toUri().getPath() for k in range(roots.size())]
+    return out
+
+
+def release(df: DataFrame, paths: list[str]) -> None:
+    """Removes those of the paths that df doesn't read, from the store and from the list; shuffle files of what nothing refers
+    to any more go as well."""
+    spark = df.sparkSession
+    held = read_paths(df)
+    for path in list(paths):
+        bare = "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.\-]*:/*", "", path).lstrip("/")
+        if not any(h == bare or h.startswith(bare + "/") for h in held):
+            remove_path(spark, path)
+            paths.remove(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

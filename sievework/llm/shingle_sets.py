@@ -6,8 +6,8 @@ two sets of similarity s share a key with probability 1 - (1 - s^5)^25, which is
 that share a key are compared item by item, so nothing below `least` links. A key leaves a spanning forest of its links:
 no more edges than members, however many pairs link.
 
-Distinct sets, not documents, are keyed, so a group of copies is one row there. Only sets that share a key travel with
-their items (32 bits of each hash), once for each different group of members. A group of more than `BLOCK` sets, or of
+Distinct sets, not documents, are keyed, so a group of copies is one row there. Only sets that share a key are made again
+from their texts, one row a set, and travel with their items (32 bits of each hash), once for each different group. A group of more than `BLOCK` sets, or of
 more than `BLOCK_BYTES` of items, is dealt into blocks; each pair of blocks leaves a forest of its own, so no link is lost.
 
 Defined cases: null and empty texts have the empty set, which has no keys: they are one set anyway.
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_runs, materialize
+from .common import in_beside, key_runs, materialize, slices, write_beside
 
 BANDS, ROWS = 25, 5
 BLOCK, BLOCK_BYTES = 2048, 32 << 20
@@ -92,8 +92,26 @@ def runs_of(keys: np.ndarray, hot=None) -> list[tuple[int, int]]:
     return list(zip(starts[more].tolist(), sizes[more].tolist()))
 
 
-def links(own: DataFrame, least: float = 0.8) -> DataFrame:
-    """own (name, keys, items) -> edges (a, b) between the names of distinct sets: a spanning forest of the links, group by group."""
+def sets_of(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
+    """name and items of the sets of the numbered rows that wanted (_row) names."""
+
+    def run(batches):
+        for batch in slices(batches, 1 << 20):
+            names, items = [], []
+            for body in batch.column(0).to_pylist():
+                own = np.unique(hashes(body, shingle))
+                names.append(set_name(own))
+                items.append(packed(own))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(items, pa.binary())], names=["name", "items"])
+
+    path = write_beside(wanted, "wanted")
+    rows = docs.where(in_beside(path)(F.col("_row"))).select(F.col(f"`{text}`").cast("binary").alias("body"))
+    return rows.mapInArrow(run, "name long, items binary")
+
+
+def links(own: DataFrame, docs: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """own (name, keys, size and _row of numbered docs) -> edges (a, b) between the names of distinct sets: a spanning forest
+    of the links, group by group."""
 
     def shared(batches):
         hot = None
@@ -120,8 +138,9 @@ def links(own: DataFrame, least: float = 0.8) -> DataFrame:
                 a, b = np.array(edges, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    sets = own.select("name", "keys", "items").dropDuplicates(["name"])
-    keys = sets.select(F.explode("keys").alias("key"), "name", F.octet_length("items").cast("long").alias("size"))
+    keyed = own.groupBy("name").agg(F.first("keys").alias("keys"), F.first("size").alias("size"), F.min("_row").alias("_row"))
+    keyed = materialize(keyed, "keyed")
+    keys = keyed.select(F.explode("keys").alias("key"), "name", "size")
     groups = materialize(keys.repartition("key").sortWithinPartitions("key", "name").mapInArrow(shared, "key long, name long, size long").distinct(), "groups")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
     large = groups.groupBy("key").agg(blocks.alias("blocks")).where("blocks > 1")
@@ -130,5 +149,6 @@ def links(own: DataFrame, least: float = 0.8) -> DataFrame:
     split = dealt.where("blocks is not null").select("key", "name", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("block <> other")
     pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
     members = dealt.where("blocks is null").select("key", "name").unionByName(split.select(pair.alias("key"), "name"))
-    rows = members.join(sets.select("name", "items"), "name").select("key", "name", "items")
+    sets = sets_of(docs, text, shingle, keyed.join(groups.select("name").distinct(), "name", "left_semi").select("_row"))
+    rows = members.join(sets, "name").select("key", "name", "items")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(verified, "a long, b long").distinct()

@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 4, most:
 
 
 def sketches(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """doc_id, _row and print of each row of numbered docs, and name, keys and items of its shingle set (see `shingle_sets`)."""
+    """doc_id, _row and print of each row of numbered docs, and name, keys and size (in bytes) of its shingle set (see `shingle_sets`)."""
 
     def run(batches):
         for batch in slices(batches, 1 << 20):
@@ -189,11 +189,11 @@ def sketches(docs: DataFrame, text: str, shingle: int) -> DataFrame:
                 prints.append(fingerprint(own))
                 sets.append(np.unique(own))
             columns = [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array([shingle_sets.set_name(x) for x in sets], pa.int64())]
-            columns += [pa.array([shingle_sets.band_keys(x) for x in sets], pa.list_(pa.int64())), pa.array([shingle_sets.packed(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "print", "name", "keys", "items"])
+            columns += [pa.array([shingle_sets.band_keys(x) for x in sets], pa.list_(pa.int64())), pa.array([4 * len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "print", "name", "keys", "size"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return doc_text(docs, "_row", text=text).mapInArrow(run, f"doc_id {kind}, _row long, print long, name long, keys array<long>, items binary")
+    return doc_text(docs, "_row", text=text).mapInArrow(run, f"doc_id {kind}, _row long, print long, name long, keys array<long>, size long")
 
 
 def keep_one(docs: DataFrame, text: str = "text", shingle: int = 5, most: int = 4, least: float = 0.8) -> DataFrame:
@@ -212,7 +212,7 @@ def keep_one(docs: DataFrame, text: str = "text", shingle: int = 5, most: int =
     shared = pairs.groupBy("print").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("print")
     needed = by_print.select(F.col("a").alias("print")).union(by_print.select("b")).union(shared).distinct()
     edges = pairs.join(needed, "print", "left_semi").select(F.col("name").alias("a"), node(F.col("print")).alias("b"))
-    edges = edges.union(by_print.select(node(F.col("a")), node(F.col("b")))).union(shingle_sets.links(own, least))
+    edges = edges.union(by_print.select(node(F.col("a")), node(F.col("b")))).union(shingle_sets.links(own, docs, text, shingle, least))
     nodes = components(edges)
     names = pairs.groupBy("name").agg(F.min("first").alias("first"))
     grouped = names.join(nodes, F.col("name") == F.col("node"), "left").select(F.coalesce("root", "name").alias("root"), "first")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sievework.llm import class_lm, decontamination, line_dedup, packing, quality_rules, quotation_threads, sharding, simhash_golay, token_counts, warc_index
-from sievework.llm.queries import QUERIES
+from sievework.llm.queries import ORACLE_SQL, QUERIES
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "the quick brown fox jumps over the lazy dog, and so on until the line is long enough to count"
@@ -97,6 +97,26 @@ def test_sharding_is_a_shuffle(spark):
         assert abs(len(part) - 2000) < 200
 
 
+def test_sharding_takes_equal_rows_and_maps(spark, tmp_path):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the very same row").alias("text"), F.create_map(F.lit("a"), F.lit(1)).alias("slot"))
+    docs = docs.union(spark.range(500).select("id", F.concat(F.lit("t"), "id"), F.create_map(F.concat(F.lit("k"), "id"), F.lit(2))))
+    docs = docs.select("doc_id", "text", F.col("slot").alias("extra"))
+    path = f"{tmp_path}/shards"
+    out = sharding.shard(docs, 4, bucket_bytes=4000, path=path)
+    whole = out.select("doc_id", "text", "shard", "slot", F.map_entries("extra").alias("e")).collect()
+    same([(r["doc_id"], r["text"], str(r["e"])) for r in whole], [(r["doc_id"], r["text"], str(r["e"])) for r in docs.select("doc_id", "text", F.map_entries("extra").alias("e")).collect()])
+    slots = defaultdict(list)
+    for r in whole:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    # what is on disk holds no bucket far beyond its bytes, and the shards as folders
+    written = spark.read.parquet(path)
+    assert {r["shard"] for r in written.select("shard").distinct().collect()} == set(slots)
+    assert written.groupBy("shard", "bucket", "part").count().agg(F.max("count")).first()[0] < 4 * 4000 / 18
+    with pytest.raises(ValueError):
+        sharding.shard(docs.withColumn("deep", F.array("extra")))
+
+
 def warc_expected(pages, least=0):
     sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
     first = {}
@@ -115,13 +135,16 @@ def warc_expected(pages, least=0):
 def test_warc(spark, sf, tmp_path):
     real = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     odd = [(1, "http://www.Example.com:80/a?b=1#c", "same"), (2, "HTTPS://user@b.example.com/x\r\ny", "same"), (3, None, "same"), (4, "x", ""), (5, "x", None), (None, "x", "same"), (7, "http://é.com/ü", "z" * 200_000), (1, "again", "same")]
-    for least, pages in ((0, real), (0, odd), (10, odd)):
+    # one id and URL with several payloads, each decided by its own; one URL over several blocks
+    twins = [(1, "a", "A"), (5, "b", "A"), (5, "b", "B"), (2, "c", "C"), (7, "d", "A"), (7, "d", "C"), (7, "d", "C"), *[(100 + i, "http://one.example/", f"page {i % 40}" * 30) for i in range(1200)]]
+    for least, pages in ((0, real), (0, odd), (10, odd), (0, twins)):
         df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"key": F.lit(1), "kind": F.lit("k")})
         got = rows(warc_index.round_trip(df, least).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
         same(got, warc_expected(pages, least))
     blocks = warc_index.write_archives(spark.createDataFrame(real, "page_id long, url string, html string"), f"file://{tmp_path}/a", block_lines=3)
     asked = [real[3][1], real[7][1], "http://nowhere.example/"]
-    found = rows(warc_index.look_up(blocks, asked).select("page_id", "url"))
+    wanted = spark.createDataFrame([(u,) for u in asked], "u string").select(warc_index.sort_key(F.col("u")).alias("key"))
+    found = rows(warc_index.look_up(blocks, wanted).select("page_id", "url"))
     same(found, [(p, u) for p, u, _ in real if u in asked])
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc_index.round_trip(none).count() == 0
@@ -176,6 +199,13 @@ def test_byte_units_match_the_library():
             assert e.ids(text) == e.whole(text)
 
     check()
+    long = "".join(f"{i * 7919 % 100003}aB{'xyz'[i % 3]}" for i in range(4000))
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = encoder(public_tokenizers.path(name))
+        texts = [long, long + " don't" + long[:900] + "'s1", "a " * 3000 + long, "é" * 700 + "1a", "它" * 300, "", "x" * 600]
+        assert [e.ids(t) for t in texts] == [e.whole(t) for t in texts]
+        assert e.counts(texts, chunk=1000) == [len(e.whole(t)) // 4 for t in texts] == e.counts(texts)
+        assert all(len(u) <= 256 for u in (*e.first, *e.next, *e.sizes.known))
     e = encoder(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("1\t1\n\xa0", "a\tb ", "\na\x85b", " a\tb"):  # other white space can make up for a missing word
         assert e.ids(text) == e.whole(text)
@@ -198,18 +228,47 @@ def test_class_lm(spark, sf, hard, empty):
         n, v = sum(counts.values()), len(counts)
         want = Counter((d, fold(d), len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 3)) for d, ws in texts)
         assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 3)) for r in got) == want
+        # every word has a class; that of a word outside the units gains most by taking it
+        held = {bytes(r["word"]): (r["n"], r["cls"]) for r in model.vocabulary.collect()}
+        assert {w: c for w, (c, _) in held.items()} == {w.encode(): c for w, c in counts.items()}
+        cls = lambda w: held[w][1] if w in held else int(model.by_ending[class_lm.ending(w)])
+        unit_class = {w: int(model.cls[u]) for w, u in model.given.items()}
+        assert all(held[w][1] == c for w, c in unit_class.items() if w in held)
+        beside, pairs = defaultdict(Counter), np.zeros((model.classes, model.classes))
+        for d, ws in texts:
+            if not fold(d):
+                line = [b" ", *[w.encode() for w in ws]]
+                for u, v in zip(line, line[1:]):
+                    if u in unit_class and v in unit_class:
+                        pairs[unit_class[u], unit_class[v]] += 1
+                    elif u in unit_class:
+                        beside[v][unit_class[u] + model.classes] += 1
+                    elif v in unit_class:
+                        beside[u][unit_class[v]] += 1
+        f = lambda x: x * np.log(max(x, 1))
+        for w in list(beside)[:400]:
+            gain = []
+            for k in range(1, model.classes):
+                right = sum(n for c, n in beside[w].items() if c < model.classes)
+                left = sum(beside[w].values()) - right
+                cells = [(pairs[k, c] if c < model.classes else pairs[c - model.classes, k], n) for c, n in beside[w].items()]
+                gain.append(sum(f(x + n) - f(x) for x, n in cells) - f(pairs[k].sum() + right) + f(pairs[k].sum()) - f(pairs[:, k].sum() + left) + f(pairs[:, k].sum()))
+            assert gain[held[w][1] - 1] >= max(gain) - 1e-6
+        # transitions count every bigram with a unit in it
+        for w, near in beside.items():
+            for c, n in near.items():
+                pairs[(held[w][1], c) if c < model.classes else (c - model.classes, held[w][1])] += n
+        assert (pairs == model.pairs).all()
         # the score, token by token
-        unit = class_lm.UnitMap(model.given, model.units)
         kinds, mass = Counter(), Counter()
-        for w, c in counts.items():
-            k = model.cls[unit[w.encode() if w != " " else b" "]]
+        for w, (c, k) in held.items():
             kinds[k] += 1
             mass[k] += c
         scores = Counter()
         for d, ws in texts:
-            before, total = model.cls[0], 0.0
+            before, total = 0, 0.0
             for w in ws:
-                k = model.cls[unit[w.encode()]]
+                k = cls(w.encode())
                 total += model.transitions[before, k]
                 if w != " ":
                     total += np.log10((counts[w] - model.discount if counts[w] else model.discount * kinds[k] + 0.5) / (mass[k] + 0.5))
@@ -372,8 +431,8 @@ def test_decontamination(spark, sf, hard, empty):
     for docs, items in ((docs_of(spark, sf), bench), (hard, small)):
         plain = [tuple(r) for r in items.select("item_id", "text").collect()]
         want = Counter((r["doc_id"], *plain_hits(r["text"], plain)) for r in docs.select("doc_id", "text").collect())
-        for block in (500_000, 7):
-            out = decontamination.decontaminate(docs, items, block_windows=block if items is small else max(block, 400))
+        for block in (64 << 20, 700 if items is small else 100_000):
+            out = decontamination.decontaminate(docs, items, block_bytes=block)
             got = rows(out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
             assert Counter(got) == want
     cut = decontamination.cut_spans(decontamination.decontaminate(hard, small).select("doc_id", "text", "spans"))
@@ -407,6 +466,50 @@ def test_quotation_threads(spark, sf):
     assert quotation_threads.threads(df.limit(0)).count() == 0
 
 
+def test_passages_of_several_lines(spark, tmp_path):
+    import duckdb
+
+    talk = [
+        (1, 0, "user", "Thanks.\nBest regards"),
+        (1, 1, "user", "First point, made at length.\n\nThanks.\nSecond point."),
+        (1, 2, "user", "First point, made at length."),
+        (1, 3, "bot", "> First point, made at length.\n>\n> Thanks.\n> Second point.\nI see both."),  # the whole of turn 1, with turn 0's line in it
+        (1, 4, "bot", "> Thanks.\nyou're welcome"),  # one line alone: the earliest that has it
+        (1, 5, "user", ">> Thanks.\n>> Best regards\n> I see both.\nboth levels"),
+        (1, 6, "user", "> first POINT made at length\n> never said\nhalf found"),
+        (2, 0, "user", "> Thanks.\nother conversation"), (2, 1, "user", None), (2, 2, "user", ""), (3, 0, "user", "a\r\nb"), (3, 1, "user", "> a\r\n> b\r\nc"),
+    ]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["n_quoted"], r["n_linked"]) for r in quotation_threads.threads(df).collect()}
+    assert got[1, 3] == (1, 3, 3) and got[1, 4] == (0, 1, 1) and got[1, 5] == (3, 3, 3) and got[1, 6] == (1, 2, 1)
+    assert got[2, 0] == (None, 1, 0) and got[3, 1] == (0, 2, 2)
+    ordered = [(r["conv_id"], r["thread_turn"], r["turn"]) for r in quotation_threads.as_conversations(quotation_threads.threads(df)).collect()]
+    assert ordered == sorted(ordered)
+    df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    query = QUERIES["op9_quotation_threads"](spark, str(tmp_path))
+    same(rows(query), stated(con, "op9_quotation_threads", query.columns))
+
+
+def stated(con, name, columns):
+    """The rows of a DuckDB statement, with their columns in this order."""
+    found = con.execute(ORACLE_SQL[name]).fetchall()
+    at = [[d[0] for d in con.description].index(c) for c in columns]
+    return [tuple(r[i] for i in at) for r in found]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_statements(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations", "labels"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    query = QUERIES[name](spark, sf)
+    same(rows(query), stated(con, name, query.columns))
+
+
 def plain_print(text, size=4):
     ws = words(lower(text))
     if not ws:
