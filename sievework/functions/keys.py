@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Alternative spellings of the fifteen conditions, and their order.
+#: The fifteen conditions in their order, and three groups of them.
 CONDITIONS = ["clean", "jpeg_90", "jpeg_70", "jpeg_50", "jpeg_30", "blur_05", "blur_10", "blur_20", "resize_050", "resize_025", "noise_002", "noise_005", "noise_010", "jitter_pm20", "crop_80"]
 GROUPS = {"clean_jpeg": CONDITIONS[:5], "blur_resize": CONDITIONS[5:10], "noise_color_crop": CONDITIONS[10:]}
 
@@ -60,7 +60,8 @@ def normalization_plan(key: Column, form: Column, seed: int) -> Column:
     quality = lambda purpose: (70 + F.floor(draw(purpose) * 27)).cast("int")
     lossless, extra = draw("lossless") < 0.30, draw("extra") < 0.5
     added = F.when(lossless, 0).otherwise(F.when(extra, 2).otherwise(1))
-    return F.struct(F.when(lossless, -1).otherwise(quality("final")).alias("final_quality"), added.alias("n_extra"), lossless.alias("lossless"), (native_history(form) + added).alias("total_history"))
+    qualities = F.when(lossless, F.expr("cast(array() as array<int>)")).when(extra, F.array(quality("first"), quality("final"))).otherwise(F.array(quality("final")))
+    return F.struct(F.when(lossless, -1).otherwise(quality("final")).alias("final_quality"), added.alias("n_extra"), lossless.alias("lossless"), (native_history(form) + added).alias("total_history"), qualities.alias("qualities"))
 
 
 def jpeg_quality(table: Column, standard: list[int]) -> Column:
@@ -68,7 +69,7 @@ def jpeg_quality(table: Column, standard: list[int]) -> Column:
     ratio = F.zip_with(table, F.array(*[F.lit(float(x)) for x in standard]), lambda a, b: 100.0 * a / b)
     scale = F.aggregate(ratio, F.lit(0.0), lambda a, x: a + x) / len(standard)
     quality = F.when(scale >= 100, 5000.0 / scale).otherwise((200.0 - scale) / 2)
-    return F.when(F.size(table) == len(standard), F.least(F.lit(100), F.greatest(F.lit(1), F.bround(quality).cast("int")))).otherwise(-1)
+    return F.when(F.size(table) == len(standard), F.least(F.lit(100), F.greatest(F.lit(1), F.bround(F.round(quality, 9)).cast("int")))).otherwise(-1)
 
 
 def calibrated(logit: Column, temperature: float | None, alpha: float | None) -> Column:

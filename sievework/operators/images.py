@@ -2,7 +2,8 @@
 
 Pixels are uint8 arrays of height x width x 3. Transforms are pure functions of (pixels, parameters, seed), so a lost task
 gives the same bytes again. Pictures come in as PNG or JPEG. `jpeg` gives the pixels after colour conversion, 4:2:0
-subsampling and quantised 8x8 cosine blocks, and every condition is encoded as PNG; `jpeg_bytes` makes a JPEG file.
+subsampling and quantised 8x8 cosine blocks; `jpeg_bytes` makes a JPEG file. Conditions of the kind jpeg come out as
+JPEG files, encoded once, all others as PNG.
 """
 
 import hashlib
@@ -11,10 +12,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import LUMA
+from ..functions.keys import LUMA, jpeg_quality, native_history, uniform
+from .headers import read_header
 from .jpeg import COSINE, jpeg_decode, jpeg_encode
 
 #: Kind and parameter of each evaluation condition, the last one outside the standard fifteen.
@@ -36,9 +38,19 @@ CONDITIONS = {
     "crop_80": ("crop", 0.8),
     "crop_80_area": ("crop", 0.8**0.5),
 }
-#: Chances of none, one or two distortions, and the weight of each family.
-HOW_MANY = (0.30, 0.55, 0.15)
-FAMILIES = {"jpeg": 0.30, "resize": 0.20, "blur": 0.15, "noise": 0.15, "jitter": 0.10, "crop": 0.10}
+#: Shares of pictures with at most none, one and two distortions.
+UP_TO = (0.30, 0.85, 1.0)
+#: Weight of each family of distortions, and the range of its parameter.
+DISTORTIONS = {
+    "jpeg": (0.30, 25.0, 101.0),
+    "resize": (0.20, 0.20, 1.00),
+    "blur": (0.15, 0.0, 2.3),
+    "noise": (0.15, 0.0, 0.11),
+    "jitter": (0.10, 0.75, 1.25),
+    "crop": (0.10, 0.75, 1.00),
+}
+#: Mean and standard deviation of the channels that tensors are scaled by.
+CHANNEL_MEAN, CHANNEL_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 #: The standard chroma quantisation table is 99 but for this corner.
 CHROMA_CORNER = [[17, 18, 24, 47], [18, 21, 26, 66], [24, 26, 56, 99], [47, 66, 99, 99]]
 VERSION = "2.0"
@@ -199,10 +211,11 @@ def window(pixels: np.ndarray, width: int, height: int, x: int, y: int) -> np.nd
     return pixels[y : y + height, x : x + width]
 
 
-def centre_crop(pixels: np.ndarray, fraction: float) -> np.ndarray:
-    height, width, _ = pixels.shape
-    w, h = max(1, round(width * fraction)), max(1, round(height * fraction))
-    return window(pixels, w, h, (width - w) // 2, (height - h) // 2)
+def part(pixels: np.ndarray, fraction: float, across: float = 0.5, down: float = 0.5) -> np.ndarray:
+    """A window whose sides are `fraction` of the picture's; `across` and `down` share out the room beside it."""
+    size = np.maximum(1, np.rint(np.array(pixels.shape[:2]) * fraction).astype(int))
+    y, x = ((pixels.shape[:2] - size) * (down, across)).astype(int).tolist()
+    return window(pixels, int(size[1]), int(size[0]), x, y)
 
 
 def quantisation(quality: float, standard) -> np.ndarray:
@@ -257,39 +270,137 @@ def apply(pixels: np.ndarray, condition: str, seed: int) -> np.ndarray:
         return noise(pixels, x, rng)
     if kind == "jitter":
         return jitter(pixels, *rng.uniform(1 - x, 1 + x, 3))
-    return centre_crop(pixels, x) if kind == "crop" else pixels
+    return part(pixels, x) if kind == "crop" else pixels
+
+
+def encoded(pixels: np.ndarray, condition: str, seed: int) -> tuple[bytes, int, int]:
+    """The file of a condition, its width and height: JPEG, compressed once, for the kind jpeg, else PNG."""
+    kind, x = CONDITIONS[condition]
+    if kind == "jpeg":
+        return jpeg_bytes(pixels, x, LUMA), pixels.shape[1], pixels.shape[0]
+    got = apply(pixels, condition, seed)
+    return png_encode(got), got.shape[1], got.shape[0]
+
+
+def distortion_plan(key: Column, seed: int) -> Column:
+    """What training does to a picture: an array of (family, value, a, b, c), drawn by keyed hashes, so that it is a plan like
+    any other column. Families come by weighted order (the greatest log u / weight first); where noise and JPEG are both
+    drawn, one hash decides which is first. a, b, c in [0, 1) are for what a family needs beside its value."""
+    draw = lambda *purpose: uniform(key, F.lit("|".join(purpose)), F.lit(seed))
+    steps = []
+    for family, (weight, low, high) in DISTORTIONS.items():
+        more = [draw(family, x).alias(x) for x in "abc"]
+        value = F.lit(low) + draw(family, "value") * (high - low)
+        steps.append(F.struct((-F.log(1 - draw(family, "order")) / weight).alias("late"), F.lit(family).alias("family"), value.alias("value"), *more))
+    chance = draw("number")
+    number = sum((F.when(chance >= share, 1).otherwise(0) for share in UP_TO), F.lit(0))
+    picked = F.slice(F.array_sort(F.array(*steps)), 1, number)
+    both = F.exists(picked, lambda x: x["family"] == "jpeg") & F.exists(picked, lambda x: x["family"] == "noise")
+    early = F.when(draw("noise first") < 0.5, "noise").otherwise("jpeg")
+    swapped = F.concat(F.filter(picked, lambda x: x["family"] == early), F.filter(picked, lambda x: x["family"] != early))
+    ordered = F.when(both, swapped).otherwise(picked)
+    return F.transform(ordered, lambda x: F.struct(x["family"].alias("family"), x["value"].alias("value"), *[x[c].alias(c) for c in "abc"]))
+
+
+def _again(p, value, a, b, c):
+    """One JPEG compression, or, for half of the pictures, a second one of another quality."""
+    once = jpeg(p, int(value), LUMA)
+    low, high = DISTORTIONS["jpeg"][1:]
+    return jpeg(once, int(low + b * (high - low)), LUMA) if a < 0.5 else once
+
+
+def _resized(p, value, a, b, c):
+    """Smaller, and for half of the pictures back to the old size."""
+    height, width = p.shape[:2]
+    return down_up(p, value) if a < 0.5 else scaled(p, max(1, round(width * value)), max(1, round(height * value)))
+
+
+def _grained(p, value, a, b, c):
+    return noise(p, value, np.random.default_rng(int(a * (1 << 32))))
 
 
-def distort(pixels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """None, one or two families by their weights; with noise and JPEG both, either comes first half of the time."""
-    names = list(FAMILIES)
-    picked = list(rng.choice(names, rng.choice(3, p=HOW_MANY), replace=False, p=list(FAMILIES.values())))
-    if {"jpeg", "noise"} <= set(picked) and rng.random() < 0.5:
-        picked = ["noise", "jpeg"]
-    for name in picked:
-        pixels = _distortion(name, pixels, rng)
+def _toned(p, value, a, b, c):
+    low, high = DISTORTIONS["jitter"][1:]
+    return jitter(p, value, low + a * (high - low), low + b * (high - low))
+
+
+STEPS = {"jpeg": _again, "resize": _resized, "blur": lambda p, value, a, b, c: blur(p, value), "noise": _grained, "jitter": _toned, "crop": lambda p, value, a, b, c: part(p, value, a, b)}
+
+
+def distort(pixels: np.ndarray, plan: list) -> np.ndarray:
+    for family, *values in plan:
+        pixels = STEPS[family](pixels, *values)
     return pixels
 
 
-def _distortion(name: str, pixels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    height, width, _ = pixels.shape
-    if name == "jpeg":
-        for _ in range(1 + int(rng.random() < 0.5)):
-            pixels = jpeg(pixels, int(rng.integers(25, 101)), LUMA)
-        return pixels
-    if name == "resize":
-        factor = rng.uniform(0.2, 1.0)
-        small = scaled(pixels, max(1, round(width * factor)), max(1, round(height * factor)))
-        return scaled(small, width, height) if rng.random() < 0.5 else small
-    if name == "blur":
-        return blur(pixels, rng.uniform(0.0, 2.3))
-    if name == "noise":
-        return noise(pixels, rng.uniform(0.0, 0.11), rng)
-    if name == "jitter":
-        return jitter(pixels, *rng.uniform(0.75, 1.25, 3))
-    fraction = rng.uniform(0.75, 1.0)
-    w, h = max(1, round(width * fraction)), max(1, round(height * fraction))
-    return window(pixels, w, h, int(rng.integers(0, width - w + 1)), int(rng.integers(0, height - h + 1)))
+def distorted(images: DataFrame, key: str, content: str, seed: int = 17) -> DataFrame:
+    """key, content (PNG), families (joined by +) and error of each picture under its own plan."""
+    rows = images.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content"), distortion_plan(F.col(key), seed).alias("plan"))
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for name, body, plan in zip(frame["key"], frame["content"], frame["plan"]):
+                steps = [(x["family"], x["value"], x["a"], x["b"], x["c"]) for x in plan]
+                families = "+".join(x[0] for x in steps)
+                try:
+                    out.append((name, png_encode(distort(decode(body), steps)), families, None))
+                except Unreadable as e:
+                    out.append((name, None, families, str(e)))
+            yield pd.DataFrame(out, columns=["key", "content", "families", "error"])
+
+    return rows.mapInPandas(run, "key string, content binary, families string, error string")
+
+
+def normalised(images: DataFrame, key: str, content: str, plan: Column) -> DataFrame:
+    """Each picture re-encoded by its plan (see `functions.keys.normalization_plan`): key, content, format, width, height,
+    file_bytes, jpeg_quality, n_recompress and error. Lossless plans give PNG, others the JPEG file of the last quality."""
+    rows = images.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content"), plan.alias("plan")).select("key", "content", "plan.*")
+    names = ["key", "content", "format", "width", "height", "file_bytes", "jpeg_quality", "n_recompress", "error"]
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for name, body, history, qualities in zip(frame["key"], frame["content"], frame["total_history"], frame["qualities"]):
+                try:
+                    pixels = decode(body)
+                    *earlier, last = [int(q) for q in qualities] or [-1]
+                    for quality in earlier:
+                        pixels = jpeg(pixels, quality, LUMA)
+                    done = png_encode(pixels) if last < 0 else jpeg_bytes(pixels, last, LUMA)
+                    out.append((name, done, "png" if last < 0 else "jpeg", pixels.shape[1], pixels.shape[0], len(done), last, int(history), None))
+                except Unreadable as e:
+                    out.append((name, None, None, None, None, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names[3:8]})
+
+    kinds = "key string, content binary, format string, width long, height long, file_bytes long, jpeg_quality long, n_recompress long, error string"
+    return rows.mapInPandas(run, kinds)
+
+
+def tensor(pixels: np.ndarray) -> np.ndarray:
+    """Channels first, scaled to the channels' mean and standard deviation, as 32-bit floats."""
+    x = pixels.astype(np.float32) / np.float32(255)
+    return np.ascontiguousarray(((x - np.float32(CHANNEL_MEAN)) / np.float32(CHANNEL_STD)).transpose(2, 0, 1))
+
+
+def tensors(images: DataFrame, key: str, content: str, side: int, seed: int | None = None) -> DataFrame:
+    """key, error and the tensor (side x side, three channels, flat) of the middle of each picture, or, with a seed, of a
+    window drawn by keyed hashes; smaller pictures are padded by reflection, none is resized."""
+    place = [F.lit(0.5), F.lit(0.5)] if seed is None else [uniform(F.col(key), F.lit("crop " + x), F.lit(seed)) for x in "xy"]
+    rows = images.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content"), place[0].alias("x"), place[1].alias("y"))
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for name, body, x, y in zip(frame["key"], frame["content"], frame["x"], frame["y"]):
+                try:
+                    p = padded(decode(body), side)
+                    out.append((name, tensor(window(p, side, side, int(x * (p.shape[1] - side)), int(y * (p.shape[0] - side)))).ravel(), None))
+                except Unreadable as e:
+                    out.append((name, None, str(e)))
+            yield pd.DataFrame(out, columns=["key", "tensor", "error"])
+
+    return rows.mapInPandas(run, "key string, tensor array<float>, error string")
 
 
 def padded(pixels: np.ndarray, side: int) -> np.ndarray:
@@ -313,7 +424,7 @@ def registry(spark: SparkSession) -> DataFrame:
 
 
 def fan_out(images: DataFrame, key: str, content: str, seed: int = 17, standard: bool = True) -> DataFrame:
-    """Every image under every condition: key, condition, content (PNG), width, height and error (null where it worked).
+    """Every image under every condition: key, condition, content (see `encoded`), width, height and error (null where it worked).
 
     The sixteen conditions are a broadcast table; images never shuffle. Null or unreadable content gives a row with its error."""
     known = registry(images.sparkSession)
@@ -326,8 +437,7 @@ def fan_out(images: DataFrame, key: str, content: str, seed: int = 17, standard:
                 try:
                     if last is None or body != last:
                         pixels, last = decode(body), body
-                    got = apply(pixels, condition, seed_of(name, condition, seed))
-                    rows.append((name, condition, png_encode(got), got.shape[1], got.shape[0], None))
+                    rows.append((name, condition, *encoded(pixels, condition, seed_of(name, condition, seed)), None))
                     held += len(rows[-1][2])
                 except Unreadable as e:
                     rows.append((name, condition, None, None, None, str(e)))
@@ -371,6 +481,32 @@ def describe(images: DataFrame, key: str, content: str) -> DataFrame:
     return rows.mapInPandas(run, "key string, sha256 string, phash string, width int, height int, file_bytes long, error string")
 
 
+def manifest_rows(images: DataFrame, key: str, content: str, **more: Column) -> DataFrame:
+    """The thirteen columns of a manifest for each image; label, source, generator_family and split are given as columns."""
+    own = images.select(F.col(key).cast("string").alias("path"), F.col(content).alias("content"), *[more.get(c, F.lit(None).cast(t)).cast(t).alias(c) for c, t in (("label", "tinyint"), ("source", "string"), ("generator_family", "string"), ("split", "string"))])
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                body = row.content
+                form, width, height, luma, sha, phash = None, None, None, [], None, None
+                if body is not None:
+                    sha = hashlib.sha256(body).hexdigest()
+                    try:
+                        form, width, height, luma = read_header(body)
+                        phash = f"{perceptual_hash(decode(body)):016x}"
+                    except ValueError:
+                        pass
+                out.append((row.path, sha, phash, row.label, row.source, row.generator_family, width, height, form, None if body is None else len(body), luma, row.split))
+            yield pd.DataFrame(out, columns=names).astype({"label": "Int8", "width": "Int32", "height": "Int32", "file_bytes": "Int64"})
+
+    names = ["path", "sha256", "phash", "label", "source", "generator_family", "width", "height", "format", "file_bytes", "luma", "split"]
+    kinds = "path string, sha256 string, phash string, label tinyint, source string, generator_family string, width int, height int, format string, file_bytes long, luma array<int>, split string"
+    quality, history = jpeg_quality(F.col("luma"), LUMA).cast("smallint"), native_history(F.col("format")).cast("smallint")
+    return own.mapInPandas(run, kinds).select(*names[:-2], quality.alias("jpeg_quality"), history.alias("n_recompress"), "split")
+
+
 def five_views(images: DataFrame, key: str, content: str, side: int) -> DataFrame:
     """Five rows an image: key, view and content; unreadable images give none."""
     rows = images.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content"))

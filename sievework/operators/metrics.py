@@ -1,28 +1,37 @@
 """Classifier metrics from one table of scores.
 
-Rows are first reduced to distinct scores with counts of both classes; the cumulative frames then run over those,
-partitioned by the grouping keys, so no window sees raw rows and conditions or families are just keys.
+Rows are first reduced to distinct scores with counts of both classes; running sums over those go bucket by bucket (see
+`ranks`), so no task sorts a whole condition, and conditions or families are just keys. Where a class is missing, what
+needs it is null.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import joined, running, value_buckets
+
 
 def cumulative(scored: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each distinct score `sc`: p, n (rows of both classes), cp, cn (so far, descending), tp, tn (all), rn, k, and the next row's p, n."""
-    counts = scored.groupBy(*by, "sc").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("sc"))
-    so_far, whole = down.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    return counts.select(
-        *by, "sc", "p", "n",
-        F.sum("p").over(so_far).alias("cp"), F.sum("n").over(so_far).alias("cn"), F.sum("p").over(whole).alias("tp"), F.sum("n").over(whole).alias("tn"),
-        F.row_number().over(down).alias("rn"), F.count("*").over(whole).alias("k"), F.lead("p").over(down).alias("p1"), F.lead("n").over(down).alias("n1"),
+    """One row for each distinct score `sc`: p, n (rows of both classes), cp, cn (so far, descending), tp, tn (all), rn, k,
+    the next row's p1, n1 and the score `before` it."""
+    counts = scored.groupBy(*by, "sc").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).withColumn("one", F.lit(1))
+    counts = value_buckets(counts, "sc")
+    frame = running(counts, by, "sc", {"cp": "p", "cn": "n", "rn": "one"})
+    edge = Window.partitionBy(*by).orderBy(F.desc("_b"))
+    ends = counts.groupBy(*by, "_b").agg(F.max_by(F.struct("p", "n"), "sc").alias("_top"), F.min("sc").alias("_low"))
+    ends = ends.select(*by, "_b", F.lead("_top").over(edge).alias("_next"), F.lag("_low").over(edge).alias("_above"))
+    inside = Window.partitionBy(*by, "_b").orderBy(F.desc("sc"))
+    near = frame.withColumns({"p1": F.lead("p").over(inside), "n1": F.lead("n").over(inside), "before": F.lag("sc").over(inside)})
+    near = joined(near, ends, [*by, "_b"])
+    return near.select(
+        *by, "sc", "p", "n", "cp", "cn", F.col("cp_all").alias("tp"), F.col("cn_all").alias("tn"), "rn", F.col("rn_all").alias("k"),
+        F.coalesce("p1", "_next.p").alias("p1"), F.coalesce("n1", "_next.n").alias("n1"), F.coalesce("before", "_above").alias("before"),
     )
 
 
-AUROC = "case when max(tp) > 0 and max(tn) > 0 then sum(p * ((tn - cn) + n / 2.0d)) / (cast(max(tp) as double) * max(tn)) end"
-AVERAGE_PRECISION = "case when max(tp) > 0 and max(tn) > 0 then sum((cast(p as double) / tp) * (cast(cp as double) / (cp + cn))) end"
-FPR_AT = "case when max(tp) > 0 and max(tn) > 0 then coalesce(min(case when cast(cp as double) / tp >= {tpr} {more} then cast(cn as double) / tn end), 1.0d) end"
+AUROC = "try_divide(sum(p * ((tn - cn) + n / 2.0d)), cast(max(tp) as double) * max(tn))"
+AVERAGE_PRECISION = "case when max(tn) > 0 then sum(try_divide(cast(p as double), tp) * try_divide(cast(cp as double), cp + cn)) end"
+FPR_AT = "case when max(tp) > 0 and max(tn) > 0 then coalesce(min(case when try_divide(cast(cp as double), tp) >= {tpr} {more} then try_divide(cast(cn as double), tn) end), 1.0d) end"
 PRUNED = "and (rn = 1 or rn = k or p <> p1 or n <> n1)"
 
 
@@ -33,12 +42,12 @@ def rank_metrics(scored: DataFrame, by: list[str], tpr: float = 0.95) -> DataFra
 
 
 def auroc_by_ranks(scored: DataFrame, by: list[str]) -> DataFrame:
-    """The Mann-Whitney form with average ranks of tied scores."""
-    counts = scored.groupBy(*by, "sc").agg(F.sum("y").alias("p"), F.count("*").alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy("sc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", below + (F.col("c") + 1) / 2)
-    pos, neg = F.sum("p"), F.sum(F.col("c") - F.col("p"))
-    return ranked.groupBy(*by).agg(((F.sum(F.col("rank") * F.col("p")) - pos * (pos + 1) / 2) / (pos * neg)).alias("auroc"))
+    """The Mann-Whitney form with average ranks of tied scores; null where a class is missing."""
+    c = F.col("p") + F.col("n")
+    below = F.col("tp") + F.col("tn") - F.col("cp") - F.col("cn")
+    ranked = cumulative(scored, by).select(*by, "p", "n", (below + (c + 1) / 2).alias("rank"))
+    pos, neg = F.sum("p"), F.sum("n")
+    return ranked.groupBy(*by).agg(F.try_divide(F.sum(F.col("rank") * F.col("p")) - pos * (pos + 1) / 2, pos * neg).alias("auroc"))
 
 
 def threshold_metrics(scored: DataFrame, by: list[str], tau: float) -> DataFrame:
@@ -76,24 +85,37 @@ def bundle(scored: DataFrame, by: list[str], tau: float) -> DataFrame:
     return rank_metrics(scored, by).join(threshold_metrics(scored, by, tau), by).join(calibration_error(scored, by), by)
 
 
-def per_family(scored: DataFrame, tau: float) -> DataFrame:
-    """Each family of fakes against all real rows. The real rows reduce to distinct scores before they meet the families."""
-    counts = scored.groupBy("family", "y", "sc").count()
-    families = counts.where("y = 1").select("family").distinct()
-    real = counts.where("y = 0").select("y", "sc", "count").groupBy("y", "sc").agg(F.sum("count").alias("count")).crossJoin(families)
-    own = counts.where("y = 1").unionByName(real)
-    grown = own.groupBy("family", "sc").agg(F.sum(F.col("y") * F.col("count")).alias("p"), F.sum((1 - F.col("y")) * F.col("count")).alias("n"))
-    down, whole = Window.partitionBy("family").orderBy(F.desc("sc")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("family")
-    frame = grown.select("family", "sc", "p", "n", F.sum("p").over(down).alias("cp"), F.sum("n").over(down).alias("cn"), F.sum("p").over(whole).alias("tp"), F.sum("n").over(whole).alias("tn"))
-    recall = F.sum(F.when(F.col("sc") >= tau, F.col("p")).otherwise(0)) / F.sum("p")
-    quiet = F.sum(F.when(F.col("sc") < tau, F.col("n")).otherwise(0)) / F.sum("n")
-    return frame.groupBy("family").agg(F.sum("p").alias("n_fake"), F.sum("n").alias("n_real"), F.expr(AUROC).alias("auroc"), F.expr(AVERAGE_PRECISION).alias("ap"), ((recall + quiet) / 2).alias("bacc"))
+def per_family(scored: DataFrame, tau: float, bins: int = 15) -> DataFrame:
+    """Each family of fakes against all real rows. Fakes and reals run once along the scores: a fake score needs only how
+    many reals lie above it, so the reals are not repeated for each family."""
+    counts = scored.groupBy(F.when(F.col("y") == 1, F.col("family")).alias("family"), "y", "sc").agg(F.count("*").alias("c"))
+    counts = value_buckets(counts.select("family", "y", "sc", (F.col("c") * F.col("y")).alias("p"), (F.col("c") * (1 - F.col("y"))).alias("n")), "sc")
+    line = running(counts, [], "sc", {"cn": "n"}).withColumn("tied", F.sum("n").over(Window.partitionBy("_b", "sc")))
+    quiet = scored.where("y = 0").agg(F.try_divide(F.count_if(F.col("sc") < tau), F.count("*")).alias("quiet"))
+    fakes = line.where("y = 1").select("family", "sc", "_b", "p", F.col("tied").alias("n"), "cn", F.col("cn_all").alias("tn"))
+    frame = running(fakes, ["family"], "sc", {"cp": "p"}).withColumnRenamed("cp_all", "tp")
+    recall = F.try_divide(F.sum(F.when(F.col("sc") >= tau, F.col("p")).otherwise(0)), F.sum("p"))
+    whole = F.expr(FPR_AT.format(tpr="0.95d", more="")).alias("fpr95")
+    found = frame.groupBy("family").agg(F.sum("p").alias("n_fake"), F.max("tn").alias("n_real"), F.expr(AUROC).alias("auroc"), F.expr(AVERAGE_PRECISION).alias("ap"), whole, recall.alias("recall"))
+    found = found.join(F.broadcast(quiet)).withColumn("bacc", F.coalesce((F.col("recall") + F.col("quiet")) / 2, "recall")).drop("recall", "quiet")
+    return found.join(family_calibration(scored, bins), "family")
+
+
+def family_calibration(scored: DataFrame, bins: int = 15) -> DataFrame:
+    """family, brier and ece of each family of fakes with all reals: sums by bin of the one meet those of the other."""
+    binned = scored.select(F.when(F.col("y") == 1, F.col("family")).alias("family"), "y", "sc", bin_of(F.col("sc"), bins).alias("bin"))
+    sums = binned.groupBy("family", "y", "bin").agg(F.count("*").alias("n"), F.sum("sc").alias("s"), F.sum(F.pow(F.col("sc") - F.col("y"), 2)).alias("q"))
+    fakes, reals = sums.where("y = 1").drop("y"), sums.where("y = 0").select("bin", F.col("n").alias("rn"), F.col("s").alias("rs"), F.col("q").alias("rq"))
+    grid = fakes.select("family").distinct().select("family", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    cells = grid.join(fakes, ["family", "bin"], "left").join(F.broadcast(reals), "bin", "left").fillna(0, ["n", "s", "q", "rn", "rs", "rq"])
+    n, gap = F.col("n") + F.col("rn"), F.abs(F.col("s") + F.col("rs") - F.col("n"))
+    return cells.groupBy("family").agg(F.try_divide(F.sum(F.col("q") + F.col("rq")), F.sum(n)).alias("brier"), F.try_divide(F.sum(gap), F.sum(n)).alias("ece"))
 
 
 def delta_vs(table: DataFrame, key: str, base: str, metric: str) -> DataFrame:
-    """The metric less that of the base row (null where there is none)."""
-    first = table.where(F.col(key) == base).select(F.col(metric).alias("_base"))
-    return table.join(F.broadcast(first.limit(1)), F.lit(True), "left").withColumn(f"delta_{metric}", F.col(metric) - F.col("_base")).drop("_base")
+    """The metric less that of the base row (null where there is none). The table is a few result rows, computed once."""
+    first = F.max(F.when(F.col(key) == base, F.col(metric))).over(Window.partitionBy())
+    return table.withColumn(f"delta_{metric}", F.col(metric) - first)
 
 
 def worst(table: DataFrame, key: str, metric: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..operators import curation, decision, metrics, probes
-from .views import EVENTS, MANIFEST, SCORED, frame_sql, manifest, scores, table, vector_hash
+from ..functions import rules as R
+from ..operators import curation, decision, metrics, probes, ranks
+from .views import LABELLED, MANIFEST, SCORED, frame_sql, labelled, manifest, scores, table, vector_hash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,6 +55,17 @@ def auroc_rank(spark, sf):
     return r6(metrics.auroc_by_ranks(scores(spark, sf), C))
 
 
+ONE_CLASS = FRAME.replace("CASE event_type", "CASE event_id % 6 WHEN 1 THEN 'fakes only' WHEN 2 THEN 'reals only' ELSE CASE event_type").replace("END AS condition", "END END AS condition")
+BOTH = "CASE WHEN max(tp) > 0 AND max(tn) > 0 THEN {} END"
+
+
+@query(f"{ONE_CLASS} SELECT condition, round({BOTH.format(AUROC)}, 6) AS auroc, round({BOTH.format(AP)}, 6) AS ap, round({BOTH.format(FPR)}, 6) AS fpr95 FROM c GROUP BY condition")
+def one_class_metrics(spark, sf):
+    """Two of the conditions hold one class only; what needs both is null there."""
+    group = F.when(F.col("id") % 6 == 1, "fakes only").when(F.col("id") % 6 == 2, "reals only").otherwise(F.col("condition"))
+    return r6(metrics.rank_metrics(scores(spark, sf).withColumn("condition", group), C).select("condition", "auroc", "ap", "fpr95"))
+
+
 @query(f"WITH {SCORED} SELECT condition, round({BACC}, 6) AS bacc FROM scored GROUP BY condition")
 def bacc_by_condition(spark, sf):
     return r6(metrics.threshold_metrics(scores(spark, sf), C, TAU).select("condition", "bacc"))
@@ -133,8 +145,9 @@ def delta_vs_clean(spark, sf):
 @query(f"""WITH {SCORED}, f AS (SELECT DISTINCT family FROM scored WHERE y = 1), e AS (SELECT family, y, sc FROM scored WHERE y = 1 UNION ALL SELECT f.family, y, sc FROM scored, f WHERE y = 0),
  g AS (SELECT family, sc, sum(y) AS p, sum(1 - y) AS n FROM e GROUP BY ALL),
  c AS (SELECT *, sum(p) OVER (PARTITION BY family ORDER BY sc DESC) AS cp, sum(n) OVER (PARTITION BY family ORDER BY sc DESC) AS cn, sum(p) OVER (PARTITION BY family) AS tp, sum(n) OVER (PARTITION BY family) AS tn FROM g),
- a AS (SELECT family, {AUROC} AS auroc, {AP} AS ap FROM c GROUP BY family), t AS (SELECT family, sum(y)::BIGINT AS n_fake, sum(1 - y)::BIGINT AS n_real, {BACC} AS bacc FROM e GROUP BY family)
-SELECT family, n_fake, n_real, round(auroc, 6) AS auroc, round(ap, 6) AS ap, round(bacc, 6) AS bacc FROM a JOIN t USING (family)""")
+ a AS (SELECT family, {AUROC} AS auroc, {AP} AS ap, {FPR} AS fpr95 FROM c GROUP BY family), t AS (SELECT family, sum(y)::BIGINT AS n_fake, sum(1 - y)::BIGINT AS n_real, {BACC} AS bacc, avg((sc - y) ** 2) AS brier FROM e GROUP BY family),
+ b AS (SELECT family, bin, count(*) AS n, avg(sc) AS ms, avg(y::DOUBLE) AS rate FROM (SELECT *, {' + '.join(f'(sc >= {k}*(1.0::DOUBLE/15))::INT' for k in range(1, 15))} AS bin FROM e) GROUP BY ALL), x AS (SELECT family, sum(n * abs(ms - rate)) / sum(n) AS ece FROM b GROUP BY family)
+SELECT family, n_fake, n_real, round(auroc, 6) AS auroc, round(ap, 6) AS ap, round(fpr95, 6) AS fpr95, round(bacc, 6) AS bacc, round(brier, 6) AS brier, round(ece, 6) AS ece FROM a JOIN t USING (family) JOIN x USING (family)""")
 def per_generator_metrics(spark, sf):
     return r6(metrics.per_family(scores(spark, sf), TAU))
 
@@ -174,23 +187,10 @@ def fit_temperature(spark, sf):
     return spark.createDataFrame([(t, a, loss)], "temperature double, alpha double, nll double")
 
 
-PICK = "('0x' || substr(md5(b || '|' || condition || '|' || y || '|' || i), 1, 8))::BIGINT"
-
-
-@query(f"""WITH {SCORED}, k AS (SELECT condition, y, count(*) AS n, count(*) FILTER ((sc >= {TAU}) = (y = 1)) AS h FROM scored GROUP BY ALL),
- d AS (SELECT condition, y, n, h, b, unnest(range(n)) AS i FROM k, (SELECT unnest(range(20)) AS b)),
- s AS (SELECT condition, b, y, avg(({PICK} % n < h)::INT) AS recall FROM d GROUP BY ALL), v AS (SELECT condition, b, avg(recall) AS bacc FROM s GROUP BY ALL)
-SELECT condition, round(quantile_cont(bacc, 0.025), 6) AS low, round(quantile_cont(bacc, 0.975), 6) AS high FROM v GROUP BY condition""")
+@query()
 def bootstrap_bacc_ci(spark, sf):
-    """Resampling within class: balanced accuracy needs only how many of a class are right, so draws hit that compressed table."""
-    right = (F.col("sc") >= TAU) == (F.col("y") == 1)
-    classes = scores(spark, sf).groupBy("condition", "y").agg(F.count("*").alias("n"), F.count_if(right).alias("h"))
-    draws = classes.crossJoin(F.broadcast(spark.range(20).withColumnRenamed("id", "b"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    word = F.concat_ws("|", *[F.col(c).cast("string") for c in ("b", "condition", "y", "i")])
-    pick = F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long")
-    recall = draws.groupBy("condition", "b", "y").agg(F.avg((pick % F.col("n") < F.col("h")).cast("int")).alias("recall"))
-    value = recall.groupBy("condition", "b").agg(F.avg("recall").alias("bacc"))
-    return r6(value.groupBy("condition").agg(F.percentile("bacc", F.lit(0.025)).alias("low"), F.percentile("bacc", F.lit(0.975)).alias("high")))
+    """A thousand resamples within class, drawn from the counts of right rows."""
+    return r6(decision.bootstrap_accuracy(scores(spark, sf), C, TAU))
 
 
 @query(f"WITH {SCORED} SELECT id, round((1 / (1 + exp(-z)) + 1 / (1 + exp(-(z + 0.25) / 1.5))) / 2, 6) AS score FROM scored")
@@ -204,11 +204,15 @@ def tta_mean(spark, sf):
     return r6(table(spark, sf, "events").groupBy("user_id").agg(F.avg(F.col("value") / (F.col("value") + 50.0)).alias("score"), F.count("*").alias("views")))
 
 
-CURVE = f"""WITH {SCORED}, g AS (SELECT unnest(range(1, 100)) AS k), t AS (SELECT k / 100.0::DOUBLE AS pt FROM g), n AS (SELECT condition, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM scored GROUP BY condition),
+def _curve(steps: int) -> str:
+    return f"""WITH {SCORED}, g AS (SELECT unnest(range(1, {steps})) AS k), t AS (SELECT k / {steps}.0::DOUBLE AS pt FROM g), n AS (SELECT condition, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM scored GROUP BY condition),
  f AS (SELECT n.condition, pt, n, pos, count(*) FILTER (sc >= pt AND y = 1) AS tp, count(*) FILTER (sc >= pt AND y = 0) AS fp FROM n, t, scored s WHERE s.condition = n.condition GROUP BY ALL),
  v AS (SELECT condition, pt, tp, fp, tp / n - fp / n * (pt / (1 - pt)) AS net_benefit, pos / n - (1 - pos / n) * (pt / (1 - pt)) AS treat_all FROM f)"""
 
 
+CURVE = _curve(100)
+
+
 @query(f"{CURVE} SELECT condition, pt, tp, fp, round(net_benefit, 6) AS net_benefit FROM v")
 def net_benefit_grid(spark, sf):
     return r6(decision.net_benefit(scores(spark, sf), C).select("condition", "pt", "tp", "fp", "net_benefit"))
@@ -224,9 +228,9 @@ def cost_ratio_table(spark, sf):
     return r6(spark.createDataFrame([(float(k),) for k in (0.5, 1, 2, 5, 10, 50, 100)], "k double").withColumn("threshold", F.col("k") / (F.col("k") + 1)))
 
 
-@query(f"{CURVE} SELECT condition, min(pt) FILTER (round(net_benefit, 9) < 0) AS first_negative, first(pt ORDER BY round(net_benefit, 9), pt) AS lowest_at FROM v GROUP BY condition")
+@query(f"{_curve(1000)} SELECT condition, min(pt) FILTER (round(net_benefit, 9) < 0) AS first_negative, first(pt ORDER BY round(net_benefit, 9), pt) AS lowest_at FROM v GROUP BY condition")
 def first_negative_scan(spark, sf):
-    curve = decision.net_benefit(scores(spark, sf), C).withColumn("net_benefit", F.round("net_benefit", 9))
+    curve = decision.net_benefit(scores(spark, sf), C, 1000).withColumn("net_benefit", F.round("net_benefit", 9))
     return decision.first_negative(curve, C).select("condition", "first_negative", "lowest_at")
 
 
@@ -247,16 +251,6 @@ def deny_exact(spark, sf):
     return docs.join(deny, "sha", "left").agg(F.count("*").alias("rows"), F.count("hit").alias("denied"))
 
 
-@query(f"WITH {MANIFEST} SELECT doc_id, CASE WHEN lower(family) = 'fr' OR lower(source) = 'src3' OR sha IN (SELECT sha256(text) FROM benchmark) OR path IN (SELECT path FROM m WHERE doc_id % 50 = 0) THEN 'denied' ELSE 'unassigned' END AS split FROM m")
-def deny_mark(spark, sf):
-    """Gates mark, never drop: family, source, exact hash, path key."""
-    m = manifest(spark, sf)
-    deny = table(spark, sf, "benchmark").select(F.sha2("text", 256).alias("sha")).distinct().withColumn("by_hash", F.lit(True))
-    paths = m.where("doc_id % 50 = 0").select("path").distinct().withColumn("by_path", F.lit(True))
-    hit = (F.lower("family") == "fr") | (F.lower("source") == "src3") | F.col("by_hash").isNotNull() | F.col("by_path").isNotNull()
-    return m.join(deny, "sha", "left").join(paths, "path", "left").select("doc_id", F.when(hit, "denied").otherwise("unassigned").alias("split"))
-
-
 VECTORS = """e AS (SELECT vec_id, label, embedding AS v, list_sort(embedding) AS s FROM embeddings WHERE len(embedding) = 64),
  b AS (SELECT vec_id, label, list_transform(v, lambda x: (x::DOUBLE > (s[32]::DOUBLE + s[33]::DOUBLE) / 2)::INT) AS bits FROM e),
  q AS (SELECT a.vec_id, min(list_sum(list_transform(list_zip(a.bits, d.bits), lambda z: abs(z[1] - z[2])))) AS nearest FROM b a, b d WHERE d.label = 0 AND a.label <> 0 GROUP BY a.vec_id)"""
@@ -278,11 +272,33 @@ def deny_near_duplicate_banded(spark, sf):
     return left.join(hit, "vec_id", "left").select("vec_id", F.coalesce("hit", F.lit(0)).alias("denied"))
 
 
-@query("SELECT page_id FROM pages WHERE lower(split_part(split_part(url, '://', 2), '/', 2)) IN ('fr', 'de')")
-def deny_path_key(spark, sf):
-    key = F.lower(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(2)))
-    deny = spark.createDataFrame([("fr",), ("de",)], "key string")
-    return table(spark, sf, "pages").select("page_id", key.alias("key")).join(F.broadcast(deny), "key", "left_semi").select("page_id")
+MARKED = f"""WITH {MANIFEST}, {VECTORS.split(',\n q AS')[0]}, q AS (SELECT a.vec_id, min(list_sum(list_transform(list_zip(a.bits, d.bits), lambda z: abs(z[1] - z[2])))) AS nearest FROM b a, b d WHERE d.vec_id % 10 = 0 GROUP BY a.vec_id),
+ w AS (SELECT m.*, nearest FROM m LEFT JOIN q ON vec_id = doc_id),
+ g AS (SELECT doc_id, label, CASE WHEN lower(coalesce(family, '')) = 'fr' OR lower(source) = 'src3' OR sha IN (SELECT sha256(text) FROM benchmark) OR path IN (SELECT path FROM m WHERE doc_id % 50 = 0) OR nearest <= 4 THEN 'denied' ELSE 'unassigned' END AS split FROM w)"""
+
+
+def marked(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest with each row's gates: family, source, path key, content hash, and a perceptual hash within 4 bits."""
+    m = manifest(spark, sf).join(vector_hash(spark, sf).select(F.col("vec_id").alias("doc_id"), "h"), "doc_id", "left")
+    hashes = vector_hash(spark, sf).where("vec_id % 10 = 0").select("h")
+    deny = table(spark, sf, "benchmark").select(F.sha2("text", 256).alias("sha"))
+    return curation.mark_denied(m, deny, m.where("doc_id % 50 = 0").select("path"), hashes, ["fr"], ["src3"])
+
+
+@query(f"{MARKED} SELECT doc_id, split FROM g")
+def deny_mark(spark, sf):
+    """Gates mark, never drop."""
+    return marked(spark, sf).select("doc_id", "split")
+
+
+@query(f"{MARKED} SELECT doc_id, label FROM g WHERE split <> 'denied'")
+def not_denied(spark, sf):
+    return curation.of_split(marked(spark, sf)).select("doc_id", "label")
+
+
+@query(f"{MARKED} SELECT doc_id FROM g WHERE split = 'denied'")
+def one_split(spark, sf):
+    return curation.of_split(marked(spark, sf), "denied").select("doc_id")
 
 
 GATES = f"WITH {MANIFEST}, g AS (SELECT (family = 'fr')::INT AS f, (source = 'src3')::INT AS s, (sha IN (SELECT sha256(text) FROM benchmark))::INT AS h FROM m)"
@@ -325,24 +341,24 @@ def bucket_cap(spark, sf):
     return curation.cap(manifest(spark, sf), "source", "doc_id", 5).select("doc_id", "source")
 
 
-@query(f"WITH {MANIFEST}, r AS (SELECT doc_id, label, height, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS k FROM m) SELECT doc_id, label FROM r WHERE k <= 30 AND height >= 100")
+@query(f"WITH {LABELLED}, r AS (SELECT doc_id, label, height, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS k FROM l) SELECT doc_id, label FROM r WHERE k <= 30 AND height >= 100")
 def first_k_per_label(spark, sf):
     """The cap counts rows before the size filter."""
-    return curation.first_rows(manifest(spark, sf), ["label"], ["doc_id"], 30).where("height >= 100").select("doc_id", "label")
+    return curation.first_rows(labelled(spark, sf), ["label"], ["doc_id"], 30).where("height >= 100").select("doc_id", "label")
 
 
-QUOTA = f"""WITH {MANIFEST}, s AS (SELECT label, lang, count(*) AS c FROM m GROUP BY ALL), t AS (SELECT label, sum(c) AS total FROM s GROUP BY label), x AS (SELECT s.*, c * (SELECT min(total) FROM t)::DOUBLE / total AS exact, (SELECT min(total) FROM t) AS target FROM s JOIN t USING (label)),
+QUOTA = f"""WITH {LABELLED}, s AS (SELECT label, lang, count(*) AS c FROM l GROUP BY ALL), t AS (SELECT label, sum(c) AS total FROM s GROUP BY label), x AS (SELECT s.*, c * (SELECT min(total) FROM t)::DOUBLE / total AS exact, (SELECT min(total) FROM t) AS target FROM s JOIN t USING (label)),
  f AS (SELECT *, floor(exact)::BIGINT AS fl FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY exact - fl DESC, lang) AS rk, target - sum(fl) OVER (PARTITION BY label) AS short FROM f)"""
 
 
 @query(f"{QUOTA} SELECT label, lang, c AS count, fl + (rk <= short)::INT AS quota FROM k")
 def class_balance_quota(spark, sf):
-    return curation.quotas(manifest(spark, sf), "label", "lang").withColumn("quota", F.col("quota").cast("long"))
+    return curation.quotas(labelled(spark, sf), "label", "lang").withColumn("quota", F.col("quota").cast("long"))
 
 
-@query(f"{QUOTA}, r AS (SELECT m.doc_id, m.label, m.lang, row_number() OVER (PARTITION BY m.label, m.lang ORDER BY sha256(doc_id || '|balance|17'), doc_id) AS rn FROM m) SELECT doc_id, r.label FROM r JOIN k ON r.label = k.label AND r.lang = k.lang WHERE rn <= fl + (rk <= short)::INT")
+@query(f"{QUOTA}, r AS (SELECT doc_id, label, lang, row_number() OVER (PARTITION BY label, lang ORDER BY sha256(doc_id || '|balance|17'), doc_id) AS rn FROM l) SELECT doc_id, r.label FROM r JOIN k ON r.label = k.label AND r.lang = k.lang WHERE rn <= fl + (rk <= short)::INT")
 def class_balance(spark, sf):
-    return curation.balance(manifest(spark, sf), "label", "lang", "doc_id").select("doc_id", "label")
+    return curation.balance(labelled(spark, sf), "label", "lang", "doc_id").select("doc_id", "label")
 
 
 SPLIT = """WITH g AS (SELECT conv_id, min_by(role, turn) AS bucket FROM conversations GROUP BY conv_id), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY sha256(conv_id || '|split|17'), conv_id) AS k, count(*) OVER (PARTITION BY bucket) AS n FROM g),
@@ -361,29 +377,26 @@ def split_overlap_audit(spark, sf):
     return per.agg(F.count("*").alias("groups"), F.count_if(F.col("n") > 1).alias("straddling"))
 
 
-@query(f"""WITH {MANIFEST}, e AS (SELECT lang, list_sort(list_distinct(quantile_cont(ln(1 + bytes::DOUBLE), [{', '.join(f'{i}/40.0' for i in range(41))}]))) AS edges FROM m GROUP BY lang),
- b AS (SELECT m.*, len(list_filter(edges[2:greatest(len(edges) - 1, 1)], lambda x: round(x, 9) <= round(ln(1 + bytes::DOUBLE), 9))) AS bin FROM m JOIN e USING (lang)),
- r AS (SELECT lang, bin, label, least(count(*) FILTER (label = 0) OVER (PARTITION BY lang, bin), count(*) FILTER (label = 1) OVER (PARTITION BY lang, bin)) AS least_n FROM b)
-SELECT label, count(*) AS cells_rows, sum(least_n > 0)::BIGINT AS rows_with_match FROM r GROUP BY label""", "matched_cells")
+CELLS = f"""WITH {LABELLED}, e AS (SELECT lang, list_sort(list_distinct(quantile_cont(ln(1 + bytes::DOUBLE), [{', '.join(f'{i}/40.0' for i in range(41))}]))) AS edges FROM l GROUP BY lang),
+ b AS (SELECT l.*, len(list_filter(edges[2:greatest(len(edges) - 1, 1)], lambda x: round(x, 9) <= round(ln(1 + bytes::DOUBLE), 9)))::INT AS bin FROM l JOIN e USING (lang)),
+ r AS (SELECT *, least(count(*) FILTER (label = 0) OVER (PARTITION BY lang, bin), count(*) FILTER (label = 1) OVER (PARTITION BY lang, bin)) AS least_n,
+       row_number() OVER (PARTITION BY lang, bin, label ORDER BY sha256(doc_id || '|match|17'), doc_id) AS rn FROM b)"""
+
+
+@query(f"{CELLS} SELECT label, count(*) AS cells_rows, sum((least_n > 0)::INT)::BIGINT AS rows_with_match FROM r GROUP BY label")
 def matched_cells(spark, sf):
-    m = manifest(spark, sf)
-    x = F.log1p(F.col("bytes").cast("double"))
-    edges = m.groupBy("lang").agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / 40) for i in range(41)]))).alias("edges"))
-    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    b = m.join(F.broadcast(edges), "lang").withColumn("bin", F.size(F.filter(inner, lambda e: F.round(e, 9) <= F.round(x, 9))))
-    cell = Window.partitionBy("lang", "bin")
-    least = F.least(F.count_if(F.col("label") == 0).over(cell), F.count_if(F.col("label") == 1).over(cell))
-    return b.withColumn("least_n", least).groupBy("label").agg(F.count("*").alias("cells_rows"), F.count_if(F.col("least_n") > 0).alias("rows_with_match"))
+    cells = curation.cell_least(curation.quantile_bins(labelled(spark, sf), "lang", "bytes"), "lang", "label")
+    return cells.groupBy("label").agg(F.count("*").alias("cells_rows"), F.count_if(F.col("_least") > 0).alias("rows_with_match"))
 
 
-@query()
+@query(f"{CELLS} SELECT doc_id, lang, bin, label FROM r WHERE rn <= least_n")
 def matched_selection(spark, sf):
-    return curation.matched(manifest(spark, sf), "lang", "bytes", "label", "doc_id").select("doc_id", "lang", "bin", "label")
+    return curation.matched(labelled(spark, sf), "lang", "bytes", "label", "doc_id").select("doc_id", "lang", "bin", "label")
 
 
-@query(f"WITH {MANIFEST}, r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256(doc_id || '|sample|17'), doc_id) AS k FROM m) SELECT doc_id, label FROM r WHERE k <= 20")
+@query(f"WITH {LABELLED}, r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256(doc_id || '|sample|17'), doc_id) AS k FROM l) SELECT doc_id, label FROM r WHERE k <= 20")
 def stratified_sample(spark, sf):
-    return curation.first_rows(manifest(spark, sf), ["label"], [K.keyed_hash(F.col("doc_id"), "sample", 17), F.col("doc_id")], 20).select("doc_id", "label")
+    return curation.first_rows(labelled(spark, sf), ["label"], [K.keyed_hash(F.col("doc_id"), "sample", 17), F.col("doc_id")], 20).select("doc_id", "label")
 
 
 def U(key: str, purpose: str) -> str:
@@ -399,18 +412,9 @@ def mixture_assignment(spark, sf):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY sha256(doc_id || '|epoch|17|3'), doc_id) AS place FROM labels QUALIFY place > 100")
 def epoch_order(spark, sf):
-    """The order of an epoch from the 101st place on. Places come from a range sort and per-partition counts, not from one window."""
-    keyed = table(spark, sf, "labels").select("doc_id", K.keyed_hash(F.col("doc_id"), "epoch", 17, 3).alias("h"))
-    return numbered(keyed, ["h", "doc_id"]).where("place > 100").select("doc_id", "place")
-
-
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Global places by order: buckets by the leading hex digits of the hash, a window in each, and the sums of the earlier buckets."""
-    own = df.withColumn("_b", F.substring(order[0], 1, 3))
-    counts = own.groupBy("_b").count()
-    before = counts.select("_b", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return own.withColumn("_in", inside).join(F.broadcast(before), "_b").withColumn("place", F.col("_before") + F.col("_in")).drop("_b", "_in", "_before")
+    """The order of an epoch from the 101st place on. Places come from buckets of the hash and their counts, not from one window."""
+    placed = ranks.hash_places(table(spark, sf, "labels").select("doc_id"), [], K.keyed_hash(F.col("doc_id"), "epoch", 17, 3), "doc_id")
+    return placed.where("place > 100").select("doc_id", "place")
 
 
 @query(f"WITH {MANIFEST}, a AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY doc_id) AS k FROM m) SELECT count(*) AS raw, count(*) FILTER (least(width, height) >= 100) AS large, count(*) FILTER (k = 1 AND least(width, height) >= 100) AS first FROM a")
@@ -451,37 +455,81 @@ def path_key(spark, sf):
     return table(spark, sf, "pages").select("page_id", K.path_key(F.col("url"), "https:/").alias("key"))
 
 
-@query("SELECT doc_id, CASE WHEN upper(lang) = 'FR' THEN 'language' WHEN n_chars < 300 THEN 'short' WHEN contains('/' || source || '/', '/src3/') THEN 'source' END AS reason FROM documents")
+ARCHITECTURES = [*R.FAMILIES, "dalle", "unheard"]
+PARTS = ["SD/x", "dalle3/y", "DALL-E", "imgs/dall_e", "Midjourney", "stable_diffusion_xl", "plain", "ADM", "guided-ddim", "VQDM", "glide", "flux", "GAN_based", "photos"]
+LABEL_ROWS = f"""f AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'dalle2.csv' WHEN 1 THEN 'dalle3.csv' ELSE 'set.csv' END AS file, {ARCHITECTURES}[1 + doc_id % {len(ARCHITECTURES)}] AS architecture,
+ ['GAN', 'dalle', 'Diffusion', 'Other', 'Real'][1 + (doc_id // 3) % 5] AS category, doc_id % 4 <> 0 AS is_fake, source || '/' || {PARTS}[1 + (doc_id // 2) % {len(PARTS)}] || '/' || lang || '.png' AS path FROM documents)"""
+FAMILY = f"CASE WHEN NOT is_fake THEN '' WHEN architecture IN {tuple(R.FAMILIES)} THEN map {R.FAMILIES}[architecture] ELSE 'other' END".replace("map {", "MAP {")
+
+
+def label_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows as label files have them, dealt over the documents."""
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), (1 + at).cast("int"))
+    i = F.col("doc_id")
+    third, half = F.floor(i / 3), F.floor(i / 2)
+    return table(spark, sf, "documents").select(
+        "doc_id", F.when(i % 9 == 0, "dalle2.csv").when(i % 9 == 1, "dalle3.csv").otherwise("set.csv").alias("file"), pick(ARCHITECTURES, i % len(ARCHITECTURES)).alias("architecture"),
+        pick(["GAN", "dalle", "Diffusion", "Other", "Real"], third % 5).alias("category"), (i % 4 != 0).alias("is_fake"), F.concat_ws("/", "source", pick(PARTS, half % len(PARTS)), F.concat("lang", F.lit(".png"))).alias("path"),
+    )
+
+
+def _tokens(column: str, tokens: list[str]) -> str:
+    return " OR ".join(f"contains({column}, '{t}')" for t in tokens)
+
+
+@query(f"""WITH {LABEL_ROWS} SELECT doc_id, CASE WHEN file IN {tuple(R.PROTECTED_FILES)} THEN 'file' WHEN upper(architecture) = 'DALLE' THEN 'architecture' WHEN upper(category) = 'DALLE' THEN 'category'
+ WHEN {FAMILY} = 'dalle' THEN 'family' WHEN {_tokens("'/' || lower(path)", R.PROTECTED_TOKENS)} THEN 'path' END AS reason FROM f""")
 def protected_reason(spark, sf):
-    rules = [(F.upper("lang") == "FR", "language"), (F.col("n_chars") < 300, "short"), (F.contains(F.concat(F.lit("/"), "source", F.lit("/")), F.lit("/src3/")), "source")]
-    return table(spark, sf, "documents").select("doc_id", K.first_rule(*rules).alias("reason"))
+    c = F.col
+    return label_rows(spark, sf).select("doc_id", R.protected_by(c("file"), c("architecture"), c("category"), c("is_fake"), F.lower("path")).alias("reason"))
 
 
-@query(f"WITH {MANIFEST} SELECT doc_id, CASE WHEN label = 0 THEN '' WHEN lang = 'en' THEN 'english' WHEN lang = 'fr' THEN 'french' ELSE 'other' END AS family FROM m")
+@query(f"WITH {LABEL_ROWS} SELECT doc_id, {FAMILY} AS family FROM f")
 def family_map(spark, sf):
-    known = F.create_map(F.lit("en"), F.lit("english"), F.lit("fr"), F.lit("french"))
-    return manifest(spark, sf).select("doc_id", F.when(F.col("label") == 0, "").otherwise(F.coalesce(F.try_element_at(known, F.col("lang")), F.lit("other"))).alias("family"))
+    return label_rows(spark, sf).select("doc_id", R.family_of(F.col("architecture"), F.col("is_fake")).alias("family"))
 
 
-@query("SELECT page_id, CASE WHEN contains(lower(url), 'blog') THEN 'blog' WHEN contains(lower(url), '/fr/') THEN 'french' WHEN contains(lower(url), '.org') THEN 'org' ELSE 'other' END AS family FROM pages")
+@query(f"WITH {LABEL_ROWS} SELECT doc_id, CASE {' '.join(f"WHEN contains(lower(path), '{t}') THEN '{v}'" for t, v in R.PATH_TOKENS)} ELSE 'other' END AS family FROM f")
 def family_from_path(spark, sf):
-    u = F.lower("url")
-    has = lambda x: F.contains(u, F.lit(x))
-    return table(spark, sf, "pages").select("page_id", F.coalesce(K.first_rule((has("blog"), "blog"), (has("/fr/"), "french"), (has(".org"), "org")), F.lit("other")).alias("family"))
+    return label_rows(spark, sf).select("doc_id", R.family_from_path(F.col("path")).alias("family"))
+
+
+SPELLINGS = [*R.ALIASES, *R.RESULT_ALIASES, *K.CONDITIONS, R.EXTRA_CONDITION, "sepia"]
+SPELLED = f"n AS (SELECT event_id, {SPELLINGS}[1 + event_id % {len(SPELLINGS)}] AS name FROM events), o AS (SELECT *, CASE name {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in (R.ALIASES | R.RESULT_ALIASES).items())} ELSE name END AS condition FROM n)"
+
+
+def spelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Events under every spelling of every condition, and one unknown name."""
+    names = F.array(*[F.lit(x) for x in SPELLINGS])
+    return table(spark, sf, "events").select("event_id", F.element_at(names, (1 + F.col("event_id") % len(SPELLINGS)).cast("int")).alias("name"))
 
 
-@query(f"SELECT event_id, CASE event_type {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in EVENTS.items())} ELSE event_type END AS condition FROM events")
+@query(f"WITH {SPELLED} SELECT event_id, condition FROM o")
 def alias_canonical(spark, sf):
-    names = F.create_map(*[F.lit(x) for kv in EVENTS.items() for x in kv])
-    return table(spark, sf, "events").select("event_id", F.coalesce(F.try_element_at(names, F.col("event_type")), F.col("event_type")).alias("condition"))
+    return spelled(spark, sf).select("event_id", R.canonical(F.col("name")).alias("condition"))
 
 
-@query(f"WITH u AS (SELECT doc_id, {U('doc_id', 'lossless')} < 0.3 AS lossless, {U('doc_id', 'extra')} < 0.5 AS extra, (70 + floor({U('doc_id', 'final')} * 27))::INT AS q, (lower(lang) IN ('jpeg', 'jpg'))::INT AS h FROM documents) SELECT doc_id, CASE WHEN lossless THEN -1 ELSE q END AS final_quality, CASE WHEN lossless THEN 0 WHEN extra THEN 2 ELSE 1 END AS n_extra, lossless, h + CASE WHEN lossless THEN 0 WHEN extra THEN 2 ELSE 1 END AS total_history FROM u")
+@query(f"WITH {SPELLED} SELECT condition, count(*) AS n FROM o WHERE condition IN {tuple([*K.CONDITIONS, R.EXTRA_CONDITION])} GROUP BY condition")
+def condition_subset(spark, sf):
+    """The fifteen conditions and one that was asked for; others are left out."""
+    own = spelled(spark, sf).select(R.canonical(F.col("name")).alias("condition"))
+    return own.where(F.col("condition").isin(R.wanted_conditions([R.EXTRA_CONDITION]))).groupBy("condition").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT g AS name, c AS condition FROM (SELECT unnest({list(K.GROUPS)}) AS g), (SELECT unnest({K.CONDITIONS}) AS c) WHERE " + " OR ".join(f"(g = '{g}' AND c IN {tuple(v)})" for g, v in K.GROUPS.items()))
+def condition_groups(spark, sf):
+    return spark.createDataFrame([(g, c) for g in K.GROUPS for c in R.resolve_conditions(f"group:{g}")], "name string, condition string")
+
+
+@query(f"WITH u AS (SELECT doc_id, {U('doc_id', 'lossless')} < 0.3 AS lossless, {U('doc_id', 'extra')} < 0.5 AS extra, (70 + floor({U('doc_id', 'final')} * 27))::INT AS q, (lower(lang) IN ('jpeg', 'jpg'))::INT AS h FROM documents) SELECT doc_id, CASE WHEN lossless THEN -1 ELSE q END AS final_quality, CASE WHEN lossless THEN 0 WHEN extra THEN 2 ELSE 1 END AS n_extra, lossless, h + CASE WHEN lossless THEN 0 WHEN extra THEN 2 ELSE 1 END AS total_history, CASE WHEN lossless THEN '' WHEN extra THEN (70 + floor({U('doc_id', 'first')} * 27))::INT || ',' || q ELSE q::VARCHAR END AS qualities FROM u")
 def normalization_plan(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", K.normalization_plan(F.col("doc_id"), F.col("lang"), 17).alias("p")).select("doc_id", "p.*")
+    return table(spark, sf, "documents").select("doc_id", K.normalization_plan(F.col("doc_id"), F.col("lang"), 17).alias("p")).select("doc_id", "p.*").withColumn("qualities", F.array_join(F.col("qualities").cast("array<string>"), ","))
 
 
-@query()
+@query(f"""WITH q AS (SELECT unnest(range(1, 101))::INT AS quality), s AS (SELECT quality, CASE WHEN quality < 50 THEN 5000.0::DOUBLE / quality ELSE 200.0::DOUBLE - 2 * quality END AS s FROM q),
+ t AS (SELECT quality, x, least(255.0, greatest(1.0, floor((x * s + 50) / 100)))::DOUBLE AS v FROM s, (SELECT unnest({K.LUMA})::DOUBLE AS x)),
+ m AS (SELECT quality, avg(100.0 * v / x) AS scale FROM t GROUP BY quality)
+SELECT quality, least(100, greatest(1, round_even(round(CASE WHEN scale >= 100 THEN 5000.0 / scale ELSE (200.0 - scale) / 2 END, 9), 0)))::INT AS estimate FROM m""")
 def jpeg_quality_from_table(spark, sf):
     """Tables scaled from the standard one to qualities 1 to 100, and the quality read back from each."""
     s = F.when(F.col("id") < 50, 5000.0 / F.col("id")).otherwise(200.0 - 2 * F.col("id"))
@@ -530,24 +578,24 @@ def value_counts(spark, sf):
 
 @query("SELECT lang, median(n_chars::DOUBLE) AS middle FROM documents GROUP BY lang")
 def group_medians(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang").agg(F.median(F.col("n_chars").cast("double")).alias("middle"))
+    return ranks.quantiles(table(spark, sf, "documents"), ["lang"], F.col("n_chars"), [0.5]).select("lang", F.col("edge").alias("middle"))
 
 
 @query("SELECT k, round(quantile_cont(x, k / 40.0), 6) AS edge FROM (SELECT ln(1 + n_chars::DOUBLE) AS x FROM documents), (SELECT unnest(range(41))::INT AS k) GROUP BY k".replace("quantile_cont(x, k / 40.0)", "list_extract(quantile_cont(x, [" + ", ".join(f"{i}/40.0" for i in range(41)) + "]), k + 1)"))
 def quantile_edges(spark, sf):
-    x = F.log1p(F.col("n_chars").cast("double"))
-    edges = table(spark, sf, "documents").agg(F.percentile(x, F.array(*[F.lit(i / 40) for i in range(41)])).alias("e"))
-    return r6(edges.select(F.posexplode("e").alias("k", "edge")))
+    return r6(ranks.quantiles(table(spark, sf, "documents"), [], F.log1p(F.col("n_chars").cast("double")), [i / 40 for i in range(41)]))
 
 
 @query("WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events) SELECT round(avg(value), 6) AS mean, round(median(value), 6) AS median, max(CASE WHEN i = round_even(0.95 * (n - 1), 0) THEN value END) AS p95, min(value) AS least, max(value) AS most FROM r")
 def latency_summary(spark, sf):
-    """p95 is the value at the rounded place (half to even) of the sorted values, found by counts of distinct values."""
-    counts = table(spark, sf, "events").where("value is not null").groupBy("value").count()
-    run = counts.select("value", "count", F.sum("count").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("count").over(Window.partitionBy()).alias("n"))
-    whole = table(spark, sf, "events").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("least"), F.max("value").alias("most"))
-    p95 = run.agg(F.min(F.when(F.col("upto") > F.bround(0.95 * (F.col("n") - 1)), F.col("value"))).alias("p95"))
-    return whole.join(p95).select(F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "p95", "least", "most")
+    """p95 is the value at the rounded place (half to even) of the sorted values, found by running counts of distinct values."""
+    values = table(spark, sf, "events").where("value is not null").select("value")
+    counts = ranks.value_buckets(values.groupBy("value").count(), "value")
+    run = ranks.running(counts, [], "value", {"upto": "count"}, descending=False)
+    p95 = run.agg(F.min(F.when(F.col("upto") > F.bround(0.95 * (F.col("upto_all") - 1)), F.col("value"))).alias("p95"))
+    whole = values.agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    middle = ranks.quantiles(values, [], F.col("value"), [0.5]).select(F.col("edge").alias("median"))
+    return whole.join(p95).join(middle).select(F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "p95", "least", "most")
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS unlabelled, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS orphans, (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS \"both\"")
@@ -568,9 +616,9 @@ def top_k_errors(spark, sf):
     return r6(s.where("y = 0").orderBy(F.desc("sc"), "id").limit(12).union(s.where("y = 1").orderBy("sc", "id").limit(12)))
 
 
-@query(f"WITH {SCORED} SELECT condition, count(*) AS n FROM scored WHERE id % 97 = 0 GROUP BY condition HAVING count(*) < 100")
+@query(f"WITH {SCORED} SELECT condition, count(*) AS n FROM scored GROUP BY condition HAVING count(*) < 100")
 def thin_conditions(spark, sf):
-    return scores(spark, sf).where("id % 97 = 0").groupBy("condition").agg(F.count("*").alias("n")).where("n < 100")
+    return decision.thin(scores(spark, sf), C)
 
 
 @query(f"WITH {SCORED} SELECT c AS condition FROM (SELECT unnest({K.CONDITIONS}) AS c) WHERE c NOT IN (SELECT condition FROM scored WHERE condition IS NOT NULL)")
@@ -579,9 +627,9 @@ def missing_conditions(spark, sf):
     return known.join(scores(spark, sf).select("condition").distinct(), "condition", "left_anti")
 
 
-@query(f"WITH {MANIFEST} SELECT doc_id, ((row_number() OVER (PARTITION BY label ORDER BY sha256(doc_id || '|fold|17'), doc_id) - 1) % 5)::INT AS fold FROM m")
+@query(f"WITH {LABELLED} SELECT doc_id, ((row_number() OVER (PARTITION BY label ORDER BY sha256(doc_id || '|fold|17'), doc_id) - 1) % 5)::INT AS fold FROM l")
 def probe_folds(spark, sf):
-    return probes.folds(manifest(spark, sf), "label", "doc_id").select("doc_id", "fold")
+    return probes.folds(labelled(spark, sf), "label", "doc_id").select("doc_id", "fold")
 
 
 @query("SELECT bool_and(isnan(v) OR v < 0.6) AS passes FROM (SELECT unnest(['nan'::DOUBLE, 0.59, 0.2]) AS v)")
@@ -591,12 +639,17 @@ def gate_verdict(spark, sf):
 
 @query()
 def metadata_probe(spark, sf):
-    m = manifest(spark, sf).withColumns({"size": F.log1p(F.col("bytes").cast("double")), "w": F.col("width").cast("double"), "h": F.col("height").cast("double")})
-    found = [(name, probes.probe(m, cols, "label", "doc_id")) for name, cols in (("file_size", ["size"]), ("dimensions", ["w", "h"]))]
+    m = labelled(spark, sf).withColumns({"size": F.log1p(F.col("bytes").cast("double")), "w": F.col("width").cast("double"), "h": F.col("height").cast("double")})
+    m = m.withColumn("quality", K.normalization_plan(F.col("doc_id"), F.col("lang"), 17)["final_quality"].cast("double"))
+    found = [(name, probes.probe(m, cols, "label", "doc_id")) for name, cols in (("file_size", ["size"]), ("dimensions", ["w", "h"]), ("jpeg_quality", ["quality"]))]
     return spark.createDataFrame(found, "probe string, bacc double")
 
 
 @query()
 def embedding_probe(spark, sf):
+    """Two halves of the classes as reals and fakes; neighbours by number as matched pairs."""
     own = table(spark, sf, "embeddings").where(F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return spark.createDataFrame([("label_all", probes.probe(own, "embedding", "label", "vec_id"))], "probe string, bacc double")
+    own = own.withColumn("fake", (F.col("label") >= 5).cast("int"))
+    links = own.select("vec_id", (F.col("vec_id") + 1).alias("parent"))
+    found = probes.contrasts(own, links, "embedding", "fake", "label", "vec_id", "parent")
+    return spark.createDataFrame(list(found.items()), "probe string, bacc double")

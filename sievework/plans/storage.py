@@ -18,8 +18,12 @@ from .views import MANIFEST, SCORED, manifest, scores, table
 
 
 def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the folder that driver and executors share; one is made only in local runs."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sievework-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/sievework-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
@@ -28,19 +32,20 @@ def scratch(spark: SparkSession, label: str) -> str:
 # Scans
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, count(*) - 1 AS last FROM documents")
+@query("SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, count(*) AS places FROM documents")
 def row_group_scan(spark, sf):
     rows = scans.parquet_rows(spark, f"{sf}/documents.parquet", ["doc_id"])
-    return rows.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.max("row").alias("last"))
+    return rows.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.count_distinct("file", "row").alias("places"))
 
 
-@query("SELECT doc_id * 3 AS wanted, (doc_id * 3 < (SELECT count(*) FROM documents)) AS found FROM documents")
+@query("SELECT doc_id, doc_id % 3 > 0 AS found, CASE WHEN doc_id % 3 > 0 THEN n_chars END AS n_chars FROM documents")
 def point_lookup(spark, sf):
-    """References file#row resolved by one join; a place beyond the file is not found."""
-    rows = scans.parquet_rows(spark, f"{sf}/documents.parquet", ["n_chars"])
-    name = rows.select("file").limit(1)
-    wanted = table(spark, sf, "documents").select((F.col("doc_id") * 3).alias("wanted")).join(F.broadcast(name)).select("wanted", F.concat_ws("#", "file", F.col("wanted").cast("string")).alias("ref"))
-    return scans.lookup_rows(rows.withColumn("hit", F.lit(True)), wanted, "ref").select("wanted", F.coalesce("hit", F.lit(False)).alias("found"))
+    """Every row by its reference path#place, a third of them beyond the end of any file, resolved by one join on whole paths."""
+    rows = scans.parquet_rows(spark, f"{sf}/documents.parquet", ["doc_id", "n_chars"])
+    place = F.col("row") + F.when(F.col("doc_id") % 3 == 0, 1 << 40).otherwise(0)
+    wanted = rows.select("doc_id", F.concat_ws("#", "file", place.cast("string")).alias("ref"))
+    found = scans.lookup_rows(rows.select("file", "row", "n_chars", F.lit(True).alias("hit")), wanted, "ref")
+    return found.select("doc_id", F.coalesce("hit", F.lit(False)).alias("found"), "n_chars")
 
 
 @query("SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS k FROM labels) WHERE k <= 50 AND doc_id % 2 = 0")
@@ -141,7 +146,7 @@ def extract_blobs(spark, sf):
     return spark.read.parquet(path).agg(F.count("*").alias("blobs")).join(refs.agg(F.count("*").alias("refs")))
 
 
-@query()
+@query("""SELECT '{' || chr(10) || ' "rows": ' || count(*) || ',' || chr(10) || ' "sources": ' || count(DISTINCT source) || chr(10) || '}' AS receipt, TRUE AS done FROM documents""")
 def receipt(spark, sf):
     path = scratch(spark, "receipt") + ".json"
     row = sinks.write_receipt(table(spark, sf, "documents").agg(F.count("*").alias("rows"), F.count_distinct("source").alias("sources")), path)
@@ -183,6 +188,44 @@ def image_manifest(spark, sf):
     return images.describe(_pictures(spark, sf), "key", "content")
 
 
+@query(f"SELECT family, count(*) AS n FROM (SELECT unnest(string_split(families, '+')) AS family FROM ({{}})) WHERE family <> '' GROUP BY family".format("""
+ WITH u AS (SELECT doc_id, f, w, -ln(1 - ('0x' || substr(md5(doc_id || '|' || f || '|order|17'), 1, 8))::BIGINT / 4294967296.0::DOUBLE) / w AS late,
+   ('0x' || substr(md5(doc_id || '|number|17'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS chance FROM documents, (SELECT unnest(['jpeg', 'resize', 'blur', 'noise', 'jitter', 'crop']) AS f, unnest([0.30, 0.20, 0.15, 0.15, 0.10, 0.10]::DOUBLE[]) AS w)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY late) AS k FROM u)
+ SELECT doc_id, string_agg(f, '+') AS families FROM r WHERE k <= (chance >= 0.30)::INT + (chance >= 0.85)::INT GROUP BY doc_id"""))
+def distortion_families(spark, sf):
+    """How often the plan of a document holds each family of training distortions."""
+    plan = images.distortion_plan(F.col("doc_id"), 17)
+    return table(spark, sf, "documents").select(F.explode(plan).alias("x")).groupBy(F.col("x.family").alias("family")).agg(F.count("*").alias("n"))
+
+
+@query()
+def distorted_images(spark, sf):
+    return images.distorted(_pictures(spark, sf), "key", "content").select("key", "families", F.length("content").alias("bytes"), "error")
+
+
+@query()
+def normalised_images(spark, sf):
+    plan = K.normalization_plan(F.col("key"), F.lit("png"), 17)
+    return images.normalised(_pictures(spark, sf), "key", "content", plan).drop("content")
+
+
+@query(f"WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0) SELECT vec_id, sum(least(255, greatest(0, trunc(128 + 64 * x))))::BIGINT AS grey FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM v) GROUP BY vec_id")
+def image_tensors(spark, sf):
+    """The first channel's sum of each picture's tensor, scaled back to bytes."""
+    made = images.tensors(_pictures(spark, sf), "key", "content", 8).where("error is null")
+    plane = F.slice("tensor", 1, 64)
+    total = F.aggregate(plane, F.lit(0.0), lambda a, x: a + x)
+    own = made.select(F.col("key").cast("long").alias("vec_id"), F.round((total * images.CHANNEL_STD[0] + 64 * images.CHANNEL_MEAN[0]) * 255).cast("long").alias("grey"))
+    finite = table(spark, sf, "embeddings").where(F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))).select("vec_id")
+    return own.join(finite, "vec_id", "left_semi")
+
+
+@query()
+def image_rows(spark, sf):
+    return images.manifest_rows(_pictures(spark, sf), "key", "content", label=F.lit(1), source=F.lit("vectors"))
+
+
 @query(f"SELECT v::INT AS view, {SQUARE} AS images FROM (SELECT unnest(range(5)) AS v)")
 def five_crop_views(spark, sf):
     return images.five_views(_pictures(spark, sf), "key", "content", 6).groupBy("view").agg(F.count("*").alias("images"))

@@ -34,7 +34,7 @@ def frame_sql(by: str = "condition") -> str:
 
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    rows = docs.join(labels, "doc_id")
+    rows = docs.join(labels, "doc_id", "left")
     n_words = F.size(F.split(F.col("text"), " ", -1))
     return rows.select(
         "doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.sha2("text", 256).alias("sha"),
@@ -45,7 +45,14 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 MANIFEST = """m AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS path, sha256(text) AS sha, quality::INT AS label,
  CASE WHEN quality = 1 THEN lang ELSE '' END AS family, source, lang, n_chars AS bytes, n_chars::INT AS width, len(string_split(text, ' '))::INT AS height
- FROM documents JOIN labels USING (doc_id))"""
+ FROM documents LEFT JOIN labels USING (doc_id))"""
+
+#: The rows of the manifest that have a label, for what balances, matches or deals by it.
+LABELLED = MANIFEST + ", l AS (SELECT * FROM m WHERE label IS NOT NULL)"
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return manifest(spark, sf).where("label is not null")
 
 
 def vector_hash(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,9 +13,10 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Appends rows whose key the table lacks (of repeated keys one row); the number appended. Running it twice changes nothing."""
+    """Appends rows whose key the table lacks; the number appended. Of rows that repeat a key, the one whose hash over all
+    columns is least is taken, so any run takes the same. Running it twice changes nothing."""
     spark = df.sparkSession
-    rows = df.dropDuplicates([key])
+    rows = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(F.xxhash64(*df.columns), F.hash(*df.columns))).alias("_row")).select("_row.*")
     if store.exists(spark, path):
         have = spark.read.parquet(path).select(F.col(key).alias("_have"))
         rows = rows.join(have, F.col(key).eqNullSafe(F.col("_have")), "left_anti")
@@ -83,6 +84,20 @@ def is_done(spark: SparkSession, path: str, print_: str) -> bool:
     return text is not None and json.loads(text).get("fingerprint") == print_
 
 
+def pending(items: DataFrame, markers: str, key: str, print_: str) -> DataFrame:
+    """Items without a marker of this fingerprint: what a run that is taken up again still has to do."""
+    spark = items.sparkSession
+    if not store.exists(spark, markers):
+        return items
+    done = spark.read.parquet(markers).where(F.col("fingerprint") == print_).select(F.col(key).alias("_done")).distinct()
+    return items.join(done, F.col(key).eqNullSafe(F.col("_done")), "left_anti")
+
+
+def mark_items(items: DataFrame, markers: str, key: str, print_: str) -> None:
+    """Written after the items' results, so that a crash leaves them pending."""
+    items.select(key, F.lit(print_).alias("fingerprint")).distinct().write.mode("append").parquet(markers)
+
+
 def extract_blobs(rows: DataFrame, wanted: DataFrame, on: list[str], content: str, path: str) -> DataFrame:
     """Bytes of the wanted rows, unchanged, appended to a table keyed by their SHA-256; gives `on`, and the sha256 of each."""
     own = rows.join(wanted.select(*on).distinct(), on, "left_semi").withColumn("sha256", F.sha2(content, 256))

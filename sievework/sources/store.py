@@ -22,11 +22,25 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def rename(spark: SparkSession, old: str, new: str) -> None:
-    """old takes the place of new, which is removed first."""
-    delete(spark, new)
+    """old takes the place of new. A file does so in one step, where the store can overwrite by renaming; a folder is moved
+    aside first and removed last, so that at every moment the old or the new one is there under one of two names."""
     where, fs = _at(spark, old)
-    if not fs.rename(where, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new)):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new)
+    if not fs.exists(target):
+        if not fs.rename(where, target):
+            raise OSError(f"cannot rename {old} to {new}")
+        return
+    if not fs.getFileStatus(where).isDirectory():
+        jvm = spark.sparkContext._jvm
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(where), fs.makeQualified(target), options)
+        return
+    aside = new.rstrip("/") + ".replaced"
+    delete(spark, aside)
+    if not fs.rename(target, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(aside)) or not fs.rename(where, target):
         raise OSError(f"cannot rename {old} to {new}")
+    delete(spark, aside)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.functions.keys import LUMA
+from sievework.functions.keys import LUMA, normalization_plan
 from sievework.operators import headers, images, jpeg, validation
 from sievework.sources import archives, scans, sinks, store
 
@@ -25,8 +25,8 @@ def test_archives(spark, tmp_path):
     (tmp_path / "cut.zip").write_bytes(whole[: len(whole) // 2])
     (tmp_path / "bad.zip").write_bytes(whole.replace(b"12345", b"12349"))
     paths = spark.createDataFrame([(str(tmp_path / f"{n}.zip"),) for n in ("good", "empty", "cut", "bad", "none")], "archive string")
-    found = {(r.archive.rsplit("/")[-1], r.member, r.size, bytes(r.content)) for r in archives.members(paths.where("archive like '%good%' or archive like '%cut%'")).collect()}
-    assert found == {("good.zip", "a/x.PNG", 5, b"12345")}
+    found = {(r.archive.rsplit("/")[-1], r.member, r.size, r.content and bytes(r.content), r.error is None) for r in archives.members(paths).collect()}
+    assert found == {("good.zip", "a/x.PNG", 5, b"12345", True), ("bad.zip", "a/x.PNG", 5, None, False), ("cut.zip", None, None, None, False), ("none.zip", None, None, None, False)}
     state = {r.archive.rsplit("/")[-1]: (r.state, r.n) for r in archives.states(paths).collect()}
     assert state == {"good.zip": ("OK", 2), "empty.zip": ("EMPTY", 0), "cut.zip": ("INCOMPLETE", 0), "bad.zip": ("INCOMPLETE", 0), "none.zip": ("MISSING", 0)}
     checked = {r.archive.rsplit("/")[-1]: (r.ok, r.bad, r.bad_pct) for r in archives.verify(paths).collect()}
@@ -153,10 +153,16 @@ def test_transforms():
     assert errors == sorted(errors)
     assert p.std() > images.blur(p, 0.5).std() > images.blur(p, 1.0).std() > images.blur(p, 2.0).std()
     assert abs(images.noise(np.full((200, 200, 3), 128, np.uint8), 0.05, np.random.default_rng(0)).std() - 12.75) < 0.2
-    for seed in range(60):
-        got = images.distort(p, np.random.default_rng(seed))
-        assert got.dtype == np.uint8 and min(got.shape[:2]) >= 1
-        assert got.tobytes() == images.distort(p, np.random.default_rng(seed)).tobytes()
+    rng = np.random.default_rng(2)
+    for family, (_, low, high) in images.DISTORTIONS.items():
+        for _ in range(8):
+            plan = [(family, rng.uniform(low, high), *rng.random(3))]
+            got = images.distort(p, plan)
+            assert got.dtype == np.uint8 and min(got.shape[:2]) >= 1
+            assert got.tobytes() == images.distort(p, plan).tobytes()
+    assert images.part(p, 0.8).shape == (30, 23, 3) and (images.part(p, 0.8) == p[3:33, 3:26]).all()
+    whole = images.tensor(np.full((2, 3, 3), 255, np.uint8))
+    assert whole.shape == (3, 2, 3) and np.allclose(whole[:, 0, 0], [(1 - m) / d for m, d in zip(images.CHANNEL_MEAN, images.CHANNEL_STD)])
     assert images.padded(p[:3, :2], 64).shape == (64, 64, 3) and images.padded(p[:1, :1], 8).shape == (8, 8, 3)
     assert [v.shape for v in images.views(p, 16)] == [(16, 16, 3)] * 5
     smooth = images.scaled(picture(4, 4), 64, 64)
@@ -164,6 +170,44 @@ def test_transforms():
     assert near <= 6
 
 
+def test_distortion_plans(spark):
+    plans = spark.range(4000).select(images.distortion_plan(F.col("id"), 17).alias("p")).collect()
+    counts = np.bincount([len(r.p) for r in plans], minlength=3) / 4000
+    assert np.abs(counts - [0.30, 0.55, 0.15]).max() < 0.03
+    ones = [r.p[0].family for r in plans if len(r.p) == 1]
+    for family, (weight, low, high) in images.DISTORTIONS.items():
+        assert abs(ones.count(family) / len(ones) - weight) < 0.03
+        values = [x.value for r in plans for x in r.p if x.family == family]
+        assert low <= min(values) and max(values) <= high and abs(np.mean(values) - (low + high) / 2) < 0.05 * (high - low)
+    both = [r.p[0].family for r in plans if {x.family for x in r.p} == {"jpeg", "noise"}]
+    assert 0.3 < both.count("noise") / len(both) < 0.7
+
+
+def test_normalised_and_tensors(spark):
+    own = images.synthetic(spark, 12, 24).select("key", "content").union(spark.createDataFrame([("bad", bytearray(b"x"))], "key string, content binary"))
+    plan = normalization_plan(F.col("key"), F.lit("png"), 17)
+    wanted = {r.key: r.p for r in own.select("key", plan.alias("p")).collect()}
+    for r in images.normalised(own, "key", "content", plan).collect():
+        p = wanted[r.key]
+        if r.key == "bad":
+            assert r.error and r.content is None
+            continue
+        assert (r.format, r.jpeg_quality, r.n_recompress) == ("png" if p.lossless else "jpeg", p.final_quality, p.total_history)
+        assert len(p.qualities) == p.n_extra and r.file_bytes == len(r.content) and (r.width, r.height) == (24, 24)
+        head = headers.read_header(bytes(r.content))
+        assert head[:3] == (r.format, 24, 24)
+    found = headers.image_headers(images.normalised(own, "key", "content", plan).where("error is null").select("key", "content"), "key", "content").collect()
+    assert all(r.jpeg_quality == -1 if wanted[r.key].lossless else abs(r.jpeg_quality - wanted[r.key].final_quality) <= 1 for r in found)
+    found = images.tensors(own, "key", "content", 16).collect()
+    assert all(r.error if r.key == "bad" else len(r.tensor) == 3 * 16 * 16 for r in found)
+    drawn = {r.key: r.tensor for r in images.tensors(own, "key", "content", 16, 3).collect()}
+    assert any(drawn[r.key] != r.tensor for r in found if r.key != "bad")
+    files = images.fan_out(own.where("key = '1'"), "key", "content").collect()
+    assert {r.condition: headers.read_header(bytes(r.content))[0] for r in files} == {c: "jpeg" if c.startswith("jpeg") else "png" for c in images.CONDITIONS if c != "crop_80_area"}
+    rows = images.manifest_rows(own, "key", "content", label=F.lit(1), source=F.lit("s")).collect()
+    assert len(rows[0]) == 13 and {(r.format, r.width, r.n_recompress, r.label) for r in rows} == {("png", 24, 0, 1), (None, None, 0, 1)}
+
+
 def test_image_tables(spark):
     own = images.synthetic(spark, 3, 16).select("key", "content").union(spark.createDataFrame([("none", None), ("bad", bytearray(b"x"))], "key string, content binary"))
     done = images.fan_out(own, "key", "content")
