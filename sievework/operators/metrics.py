@@ -8,14 +8,14 @@ needs it is null.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import joined, running, value_buckets
+from .ranks import joined, running, value_buckets, value_edges
 
 
 def cumulative(scored: DataFrame, by: list[str]) -> DataFrame:
     """One row for each distinct score `sc`: p, n (rows of both classes), cp, cn (so far, descending), tp, tn (all), rn, k,
     the next row's p1, n1 and the score `before` it."""
     counts = scored.groupBy(*by, "sc").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).withColumn("one", F.lit(1))
-    counts = value_buckets(counts, "sc")
+    counts = value_buckets(counts, "sc", value_edges(scored, "sc"))
     frame = running(counts, by, "sc", {"cp": "p", "cn": "n", "rn": "one"})
     edge = Window.partitionBy(*by).orderBy(F.desc("_b"))
     ends = counts.groupBy(*by, "_b").agg(F.max_by(F.struct("p", "n"), "sc").alias("_top"), F.min("sc").alias("_low"))
@@ -89,7 +89,7 @@ def per_family(scored: DataFrame, tau: float, bins: int = 15) -> DataFrame:
     """Each family of fakes against all real rows. Fakes and reals run once along the scores: a fake score needs only how
     many reals lie above it, so the reals are not repeated for each family."""
     counts = scored.groupBy(F.when(F.col("y") == 1, F.col("family")).alias("family"), "y", "sc").agg(F.count("*").alias("c"))
-    counts = value_buckets(counts.select("family", "y", "sc", (F.col("c") * F.col("y")).alias("p"), (F.col("c") * (1 - F.col("y"))).alias("n")), "sc")
+    counts = value_buckets(counts.select("family", "y", "sc", (F.col("c") * F.col("y")).alias("p"), (F.col("c") * (1 - F.col("y"))).alias("n")), "sc", value_edges(scored, "sc"))
     line = running(counts, [], "sc", {"cn": "n"}).withColumn("tied", F.sum("n").over(Window.partitionBy("_b", "sc")))
     quiet = scored.where("y = 0").agg(F.try_divide(F.count_if(F.col("sc") < tau), F.count("*")).alias("quiet"))
     fakes = line.where("y = 1").select("family", "sc", "_b", "p", F.col("tied").alias("n"), "cn", F.col("cn_all").alias("tn"))

@@ -25,11 +25,16 @@ def joined(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner")
     return left.join(right, same(left, right, by), how).drop(*[f"_k_{c}" for c in by])
 
 
-def value_buckets(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
-    """df with `_b`, a bucket number that does not fall as `value` grows; equal values share one. The driver gets the edges."""
+def value_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
+    """Approximate quantiles that cut `value` into buckets: one aggregate without a shuffle of rows; the driver gets them.
+    They only balance work; no result depends on them."""
     buckets = buckets or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("e")).first()["e"]
-    edges = sorted({float(e) for e in found or [] if e == e})
+    return sorted({float(e) for e in found or [] if e == e})
+
+
+def value_buckets(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
+    """df with `_b`, a bucket number that does not fall as `value` grows; equal values share one."""
     if not edges:
         return df.withColumn("_b", F.lit(0.0))
     return Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol=value, outputCol="_b", handleInvalid="keep").transform(df)
@@ -62,8 +67,9 @@ def hash_places(df: DataFrame, by: list[str], digest: Column, key: str, name: st
 def quantiles(df: DataFrame, by: list[str], value: Column, shares: list[float]) -> DataFrame:
     """by, k and edge: the exact quantile at shares[k], linear between neighbours. Nulls don't count; distinct values are
     rows, never the state of one aggregate."""
-    counts = df.select(*by, value.cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    run = running(value_buckets(counts, "_v"), by, "_v", {"_upto": "_c"}, descending=False)
+    values = df.select(*by, value.cast("double").alias("_v")).where("_v is not null")
+    counts = values.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    run = running(value_buckets(counts, "_v", value_edges(values, "_v")), by, "_v", {"_upto": "_c"}, descending=False)
     last = (F.col("_upto_all") - 1).cast("double")
     wanted = F.array(*[F.struct(F.lit(k).alias("k"), (last * s).alias("at")) for k, s in enumerate(shares)])
     holds = lambda i: (i >= F.col("_upto") - F.col("_c")) & (i < F.col("_upto"))

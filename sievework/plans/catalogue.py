@@ -590,7 +590,7 @@ def quantile_edges(spark, sf):
 def latency_summary(spark, sf):
     """p95 is the value at the rounded place (half to even) of the sorted values, found by running counts of distinct values."""
     values = table(spark, sf, "events").where("value is not null").select("value")
-    counts = ranks.value_buckets(values.groupBy("value").count(), "value")
+    counts = ranks.value_buckets(values.groupBy("value").count(), "value", ranks.value_edges(values, "value"))
     run = ranks.running(counts, [], "value", {"upto": "count"}, descending=False)
     p95 = run.agg(F.min(F.when(F.col("upto") > F.bround(0.95 * (F.col("upto_all") - 1)), F.col("value"))).alias("p95"))
     whole = values.agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
