@@ -18,7 +18,20 @@ from pyspark.sql import functions as F
 SPACE = b" \t\n\r\x0b\x0c"
 
 
+#: Bytes of an Arrow batch between the JVM and Python; rows are whole texts, so their number bounds nothing.
+BATCH_BYTES = 2 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's limit of an Arrow batch to `BATCH_BYTES`, unless a lower one is set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, "")
+    if not (held.isdigit() and 0 < int(held) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -91,6 +104,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     The rows stay as long as the application; `clean_shared` removes them.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

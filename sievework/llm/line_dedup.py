@@ -197,7 +197,7 @@ def candidates(docs: DataFrame, min_chars: int, most: int, text: str) -> DataFra
                     for seed, p, q, own in plan:
                         keys.append(digest(wide[p:q], seed) & ~SEGMENT | seed % (most + 1))
                         ids.append(i | own)
-                if len(keys) > 400_000:
+                if len(keys) > 100_000:
                     yield key_batch(keys, ids)
                     keys, ids = [], []
             if keys:
