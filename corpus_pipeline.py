@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import decontamination, line_dedup, packing, quality_rules, simhash_golay
-from sievework.llm.common import materialize, release, table, taking
+from sievework.llm.common import bounded_batches, materialize, release, table, taking
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 _MADE: list[str] = []
@@ -21,6 +21,7 @@ _MADE: list[str] = []
 def stage(function: Callable) -> Callable:
     @functools.wraps(function)
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
         release(docs, _MADE)
         with taking(_MADE):
             return function(spark, docs, sf_dir)
