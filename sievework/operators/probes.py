@@ -62,6 +62,14 @@ def contrasts(rows: DataFrame, links: DataFrame, features: str, label: str, grou
     return out
 
 
+def gate(rows: DataFrame, metadata: dict[str, list[str]], label: str, key: str, embeddings: DataFrame | None = None, features: str = "embedding") -> dict[str, float]:
+    """The probes of metadata, and that of embeddings (by key) where there are any; without them the others still run."""
+    out = {name: probe(rows, columns, label, key) for name, columns in metadata.items()}
+    if embeddings is not None:
+        out["embedding"] = probe(rows.select(key, label).join(embeddings.select(key, features), key), features, label, key)
+    return out
+
+
 def gate_code(values: dict[str, float], gate: float = 0.6) -> int:
     """The exit code of the gate: 1 if any value reaches it, else 0; NaN passes."""
     return int(any(v >= gate for v in values.values()))

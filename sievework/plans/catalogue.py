@@ -126,10 +126,11 @@ def metrics_bundle(spark, sf):
     return r6(matrix(spark, sf))
 
 
-@query(f"{MATRIX} SELECT condition, round(auroc, 6) AS auroc, round(bacc, 6) AS bacc, round(ece, 6) AS ece, n, round(bacc - (SELECT bacc FROM m WHERE condition = 'clean'), 6) AS delta_bacc, (condition <> 'clean')::INT AS place FROM m")
+@query(f"{MATRIX} SELECT condition, round(auroc, 6) AS auroc, round(bacc, 6) AS bacc, round(ece, 6) AS ece, n, round(bacc - (SELECT bacc FROM m WHERE condition = 'clean'), 6) AS delta_bacc, (list_position({K.CONDITIONS}, condition) - 1)::INT AS place FROM m")
 def robustness_matrix(spark, sf):
     own = metrics.delta_vs(matrix(spark, sf), "condition", "clean", "bacc")
-    return r6(own.select("condition", "auroc", "bacc", "ece", "n", "delta_bacc", F.when(F.col("condition") == "clean", 0).otherwise(1).alias("place"))).orderBy("place", "condition")
+    place = (F.array_position(F.array(*[F.lit(c) for c in K.CONDITIONS]), F.col("condition")) - 1).cast("int")
+    return r6(own.select("condition", "auroc", "bacc", "ece", "n", "delta_bacc", place.alias("place"))).orderBy("place", "condition")
 
 
 @query(f"{MATRIX} SELECT round(min(bacc), 6) AS worst_bacc, first(condition ORDER BY bacc, condition) AS worst_condition FROM m")

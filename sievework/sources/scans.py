@@ -11,7 +11,7 @@ from ..functions.keys import path_key
 from ..functions.rules import family_from_path, family_of, protected_by
 from ..operators.curation import first_rows
 from . import archives
-from .store import read_text
+from .store import exists, read_text
 
 RESULT = "condition string, n long, threshold double, calibration struct<temperature:double,alpha:double,threshold:double>, predictions array<struct<image_id:string,path:string,label:int,generator_family:string,pred:double>>"
 
@@ -146,6 +146,16 @@ def condition_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("stem", "condition", F.coalesce("calibration.threshold", "threshold").alias("threshold"), F.explode_outer("predictions").alias("p")).select("stem", "condition", "threshold", "p.*")
 
 
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A parquet table, or None where there is none: what needs it is left out by the caller."""
+    return spark.read.parquet(path) if exists(spark, path) else None
+
+
+def items_of(spark: SparkSession, path: str, conditions: list[str]) -> DataFrame:
+    """The items of the conditions asked for; the filter reaches the scan."""
+    return spark.read.parquet(path).where(F.col("condition").isin(conditions))
+
+
 def load_config(spark: SparkSession, path: str) -> dict:
     """A configuration from JSON, or from YAML where a YAML reader is installed; it must be a mapping."""
     text = read_text(spark, path)

@@ -198,6 +198,12 @@ def test_scoring_loop(spark):
     assert got == {**{i: 2.0 * i - 0.5 for i in range(700)}, 700: None}
 
 
+def test_items_of_conditions(spark, tmp_path):
+    spark.createDataFrame([("clean", 1), ("jpeg_30", 2), ("sepia", 3)], "condition string, id int").write.parquet(f"{tmp_path}/items")
+    assert sorted(r["id"] for r in scans.items_of(spark, f"{tmp_path}/items", rules.resolve_conditions("clean_jpeg")).collect()) == [1, 2]
+    assert scans.table_or_none(spark, f"{tmp_path}/items").count() == 3
+
+
 def test_markers_and_appends(spark, tmp_path):
     items = spark.createDataFrame([("a",), ("b",)], "k string")
     path = str(tmp_path / "markers")
@@ -231,4 +237,7 @@ def test_probe_contrasts(spark):
     assert min(got[k] for k in ("label_all", "label_matched", "real_source", "fake_family")) > 0.9 and abs(got["content_gap"]) < 0.05
     none = probes.contrasts(df, links.limit(3), "x", "fake", "label", "id", "parent")
     assert np.isnan(none["label_matched"]) and np.isnan(none["content_gap"])
+    meta = df.withColumn("size", F.col("id").cast("double"))
+    assert set(probes.gate(meta, {"size": ["size"]}, "fake", "id", scans.table_or_none(spark, "/tmp/no such table"))) == {"size"}
+    assert probes.gate(meta.drop("x"), {"size": ["size"]}, "fake", "id", df.select("id", "x"), "x")["embedding"] > 0.9
     assert probes.gate_code({"a": 0.59, "b": float("nan")}) == 0 and probes.gate_code({"a": 0.6}) == 1
