@@ -25,7 +25,7 @@ BATCH_BYTES = 2 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Sets the session's limit of an Arrow batch to `BATCH_BYTES`, unless a lower one is set."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(name, "")
+    held = spark.conf.get(name, None) or ""
     if not (held.isdigit() and 0 < int(held) <= BATCH_BYTES):
         spark.conf.set(name, str(BATCH_BYTES))
 
@@ -139,6 +139,8 @@ class Beside:
         files = store.get_file_info(fs.FileSelector(f"{path}/_part={part}", allow_not_found=True))
         found = [pq.read_table(f.path, filesystem=store, partitioning=None) for f in files if f.path.endswith(".parquet")]
         self.part, self.table = part, pa.concat_tables(found) if found else None
+        if len(found) > 1:
+            self.table = self.table.sort_by("_row")
         self.rows = np.asarray(self.table["_row"]) if found else np.zeros(0, np.int64)
 
     def places(self, rows: np.ndarray):
