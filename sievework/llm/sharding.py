@@ -72,17 +72,17 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int =
     parts = F.ceil(F.sum("bytes") / bucket_bytes).cast("int")
     large = materialize(placed.groupBy("shard", "bucket").agg(parts.alias("parts")).where("parts > 3"), "large")
     few = large.limit(FEW + 1).count()
+    keys = ["shard", "bucket"]
     if few:
-        again = placed.join(F.broadcast(large) if few <= FEW else large, ["shard", "bucket"], "left")
+        again = placed.join(F.broadcast(large) if few <= FEW else large, keys, "left")
         placed = again.withColumn("part", F.coalesce(F.pmod(F.xxhash64(F.lit(seed + 3), F.monotonically_increasing_id()), F.col("parts")), F.lit(0)).cast("int"))
-    else:
-        placed = placed.withColumn("part", F.lit(0))
+        keys.append("part")
     whole = (
-        placed.repartition(min(int(shards * buckets), 1 << 20), "shard", "bucket", "part")
-        .groupBy("shard", "bucket", "part")
+        placed.repartition(min(int(shards * buckets), 1 << 20), *keys)
+        .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("record")).alias("records"))
-        .sortWithinPartitions("shard", "bucket", "part")
-        .select("shard", "bucket", "part", F.shuffle("records", seed).alias("records"))
+        .sortWithinPartitions(*keys)
+        .select("shard", "bucket", F.col("part") if few else F.lit(0).alias("part"), F.shuffle("records", seed).alias("records"))
     )
     rows = whole.select("shard", "bucket", "part", F.posexplode("records").alias("place", "record"))
     back = [F.map_from_entries(f"record.c{i}").alias(f"c{i}") if isinstance(f.dataType, T.MapType) else F.col(f"record.c{i}").alias(f"c{i}") for i, f in enumerate(docs.schema.fields)]
