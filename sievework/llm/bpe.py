@@ -60,7 +60,7 @@ def lone_spaces(text: str) -> bool:
 class Units(dict):
     """Ids of units, as little-endian unsigned 32-bit bytes, by unit. Two generations of at most `most` units bound its memory."""
 
-    def __init__(self, encoder, prefix: str = "", most: int = 150_000):
+    def __init__(self, encoder, prefix: str = "", most: int = 100_000):
         self.encoder, self.prefix, self.most, self.old = encoder, prefix, most, {}
 
     def __missing__(self, unit: str) -> bytes:
@@ -105,18 +105,20 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        spec = json.loads(open(path, encoding="utf-8").read())
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        steps = json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
+        # the steps before the model, as the library states them; the file itself, with its vocabulary, is not parsed here
+        state = lambda step: json.loads(step.__getstate__()) if step is not None else None
+        before, pre = state(self.tokenizer.normalizer), state(self.tokenizer.pre_tokenizer)
+        steps = json.dumps([before, pre])
         #: word: white space is dropped; byte: a space opens the next token.
         self.word = '"Removed"' in steps and '"Lowercase"' in steps
-        self.byte = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and spec["pre_tokenizer"].get("use_regex", True)
-        added = spec.get("added_tokens", [])
-        if any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in added):
+        self.byte = before is None and (pre or {}).get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        if any(t.lstrip or t.rstrip or re.search(r"\s", t.content) for t in added):
             self.word = self.byte = False
-        self.cuts = (self.word or self.byte) and not any(SAFE.search(t["content"]) for t in added)
+        self.cuts = (self.word or self.byte) and not any(SAFE.search(t.content) for t in added)
         self.model = self.tokenizer.model
         self.first, self.next, self.sizes = Units(self), Units(self, " "), Lengths(self)
         self.lines = self.whole("\n") if self.byte else b""

@@ -1,6 +1,7 @@
 """What the operators share: reading tables, the shared folder, written intermediate tables, Arrow helpers."""
 
 import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -79,8 +80,9 @@ def read_paths(df: DataFrame) -> list[str]:
 
 
 def release(df: DataFrame, paths: list[str]) -> None:
-    """Removes those of the paths that df doesn't read, from the store and from the list; shuffle files of what nothing refers
-    to any more go as well."""
+    """Removes those of the paths that df doesn't read, from the store and from the list. Shuffle files of what nothing refers
+    to any more go as well, and executors collect their garbage: a heap that earlier stages made large is given back, which
+    leaves room for the Python workers of the next one."""
     spark = df.sparkSession
     held = read_paths(df)
     for path in list(paths):
@@ -90,6 +92,8 @@ def release(df: DataFrame, paths: list[str]) -> None:
             paths.remove(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).where("reflect('java.lang.System', 'gc') is not null").count()
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -165,7 +169,7 @@ def in_beside(path: str):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         beside = Beside(path)
-        for rows in batches:
+        for rows in trimming(batches):
             out = np.zeros(len(rows), bool)
             for a, b, places in beside.runs(np.asarray(rows)):
                 out[a:b] = places >= 0
@@ -221,6 +225,22 @@ def doc_text(df: DataFrame, *more: str, text: str = "text") -> DataFrame:
     return df.select("doc_id", *more, F.col(text).cast("binary").alias("body"))
 
 
+def trim() -> None:
+    """Gives memory that a worker no longer uses back to the system: workers stay, with what earlier tasks left free."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimming(batches):
+    """The batches, then a `trim`."""
+    try:
+        yield from batches
+    finally:
+        trim()
+
+
 def by_bytes(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Consecutive slices of rows of about `most` bytes; a longer row is a slice of its own."""
     out, start, total = [], 0, 0
@@ -236,7 +256,7 @@ def by_bytes(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 def slices(batches, most: int = 8 << 20):
     """Record batches cut by the bytes of their column `body`, so that Python holds few rows of long texts at a time."""
-    for batch in batches:
+    for batch in trimming(batches):
         body = batch.column(batch.schema.get_field_index("body"))
         sizes = np.asarray(pc.fill_null(pc.binary_length(body), 0))
         for a, b in by_bytes(sizes, most):
@@ -247,7 +267,7 @@ def key_runs(batches, key: str = "key", most: int | None = None):
     """Batches sorted by `key` come back cut where the key changes, so that no key straddles two batches; but a key of more
     than `most` rows comes in several batches that hold nothing else."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in trimming(batches):
         if not batch.num_rows:
             continue
         if most and sum(b.num_rows for b in held) > most:

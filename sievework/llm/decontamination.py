@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Beside, by_bytes, materialize, numbered, slices, without, write_beside
+from .common import Beside, by_bytes, materialize, numbered, slices, trimming, without, write_beside
 
 #: Lower-cases A-Z and turns every other ASCII character that is neither digit nor letter into a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -117,7 +117,7 @@ def scanning(sent, token: str):
             _SCANNERS.clear()
             _SCANNERS[token] = Scanner(sent.value)
         scanner = _SCANNERS[token]
-        for texts in batches:
+        for texts in trimming(batches):
             out = []
             sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
             for lo, hi in by_bytes(sizes, 8 << 20):
@@ -135,7 +135,7 @@ def gathered(path: str):
 
     def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         beside = Beside(path)
-        for texts, rows in batches:
+        for texts, rows in trimming(batches):
             hits: dict[int, dict] = {}
             for a, _, places in beside.runs(np.asarray(rows)):
                 at = np.flatnonzero(places >= 0)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Beside, doc_text, key_runs, materialize, numbered, slices, without, write_beside
+from .common import Beside, doc_text, key_runs, materialize, numbered, slices, trimming, without, write_beside
 
 RESULTS = ("n_lines", "n_exact", "n_near", "n_links", "removed")
 MAP_BITS = 1 << 24
@@ -382,7 +382,7 @@ def kept_lines(path: str):
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         beside = Beside(path)
-        for bodies, rows in batches:
+        for bodies, rows in trimming(batches):
             numbers = np.zeros((len(rows), 4), np.int64)
             gone: list[list[int]] = [[]] * len(rows)
             for a, b, places in beside.runs(np.asarray(rows)):

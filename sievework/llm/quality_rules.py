@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, by_bytes, materialize
+from .common import SPACE, by_bytes, materialize, trimming
 
 SYMBOLS = b"#*$%&|<>"
 FEW = 100_000
@@ -86,7 +86,7 @@ def features(docs: DataFrame, stratum: str = "lang", text: str = "text", carry:
     """doc_id, stratum and the counts of `FEATURES` of each whole text, and the columns `carry` of its row as a struct `carried`."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in trimming(batches):
             out = np.zeros((len(texts), len(FEATURES)), np.int64)
             sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
             for a, b in by_bytes(sizes, 8 << 20):

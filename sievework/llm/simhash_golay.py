@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_sets
-from .common import by_bytes, doc_text, in_beside, key_runs, materialize, numbered, slices, write_beside
+from .common import by_bytes, doc_text, in_beside, key_runs, materialize, numbered, slices, trimming, write_beside
 from .components import components
 
 #: Fixed values of the (23,12) binary Golay code: its generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -97,7 +97,7 @@ def print_of(shingle: int = 4):
     """An Arrow function: the fingerprint of each text (as bytes), as a signed long."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in trimming(batches):
             out = np.zeros(len(texts), np.uint64)
             sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
             for a, b in by_bytes(sizes, 8 << 20):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import by_bytes, without
+from .common import by_bytes, trimming, without
 
 
 def token_length(path: str, slice_bytes: int = 1 << 20):
@@ -27,7 +27,7 @@ def token_length(path: str, slice_bytes: int = 1 << 20):
 
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counts = encoder(path).counts
-        for texts in batches:
+        for texts in trimming(batches):
             sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
             out: list[int] = []
             for a, b in by_bytes(sizes, slice_bytes):
