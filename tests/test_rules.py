@@ -136,6 +136,11 @@ def test_ensemble_mean_of_zero(spark, tmp_path):
     assert got == want and ("0.0", "0.0") in got
 
 
+def test_losses_of_zero(spark, tmp_path):
+    got, want = of_events(spark, tmp_path, "losses", ZEROS)
+    assert got == want and ("0.0", "nan", "nan") in got and ("1.0", "inf", "inf") in got
+
+
 def test_gates(spark):
     rows = spark.createDataFrame([("a", "p1", "DALLE", "s", 0b1111), ("b", "p2", "sd", "Bad", 1 << 40), ("c", "p3", None, None, 1 << 20), ("d", "p4", "sd", "s", None), ("e", "p5", "sd", "s", 0b11111)], "sha string, path string, family string, source string, h long")
     none = rows.where("false")
