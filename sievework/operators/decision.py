@@ -86,9 +86,15 @@ def nll_grid(logits: DataFrame, temperatures: list[float], alphas: list[float])
 
 def fit_temperature(logits: DataFrame, rounds: int = 40) -> tuple[float, float, float]:
     """Temperature, alpha and loss: the best of a coarse grid, then coordinate steps that halve when nothing improves.
-    Each round is one aggregate over five candidates."""
+    Each round is one aggregate over five candidates.
+
+    Rows of infinite logits are left out of the fit and its loss: no temperature changes theirs. Without others the fit is
+    (1, 0), with a loss of NaN."""
+    logits = logits.where(F.abs("z") < float("inf"))
     grid = nll_grid(logits, [0.05 * 400 ** (i / 59) for i in range(60)], [-5 + 0.25 * i for i in range(41)])
     best = grid.orderBy("nll", "t", "a").first()
+    if best is None:
+        return 1.0, 0.0, math.nan
     t, a, loss, step = best["t"], best["a"], best["nll"], 0.25
     for _ in range(rounds):
         tried = nll_grid(logits, sorted({t, t * (1 + step), t / (1 + step)}), sorted({a, a + step, a - step})).orderBy("nll", "t", "a").first()

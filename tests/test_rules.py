@@ -141,6 +141,26 @@ def test_losses_of_zero(spark, tmp_path):
     assert got == want and ("0.0", "nan", "nan") in got and ("1.0", "inf", "inf") in got
 
 
+def test_nll_grid_of_zero(spark, tmp_path):
+    got, want = of_events(spark, tmp_path, "nll_grid", ZEROS)
+    assert got == want and {x[2] for x in got} == {"nan"}
+    got, want = of_events(spark, tmp_path, "nll_grid", ZEROS[1:2] * 2 + ZEROS[2:])
+    assert got == want
+    lone = ([0.5, 0.0, 7.25], [0.5, 120.5, 7.25])  # a zero of label 1 only: infinite losses; none: finite ones
+    for values, finite in zip(lone, (False, True)):
+        got, want = of_events(spark, tmp_path, "nll_grid", values)
+        assert got == want and all((x[2] != "inf") == finite for x in got)
+
+
+def test_fit_leaves_out_infinite_logits(spark):
+    rows = [(z, y) for z, y in ((-1.5, 0), (2.0, 1), (0.5, 0), (-0.25, 1), (1.0, 1), (-2.0, 0))]
+    logits = lambda more: spark.createDataFrame(rows + more, "z double, y long")
+    infinite = [(float("-inf"), 0), (float("inf"), 1), (float("-inf"), 1)]
+    assert decision.fit_temperature(logits(infinite), 3) == pytest.approx(decision.fit_temperature(logits([]), 3))
+    t, a, loss = decision.fit_temperature(logits(infinite).where("abs(z) > 9"), 3)
+    assert (t, a) == (1.0, 0.0) and loss != loss
+
+
 def test_gates(spark):
     rows = spark.createDataFrame([("a", "p1", "DALLE", "s", 0b1111), ("b", "p2", "sd", "Bad", 1 << 40), ("c", "p3", None, None, 1 << 20), ("d", "p4", "sd", "s", None), ("e", "p5", "sd", "s", 0b11111)], "sha string, path string, family string, source string, h long")
     none = rows.where("false")
