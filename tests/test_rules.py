@@ -161,6 +161,11 @@ def test_fit_leaves_out_infinite_logits(spark):
     assert (t, a) == (1.0, 0.0) and loss != loss
 
 
+def test_nll_grid_best_of_zero(spark, tmp_path):
+    got, want = of_events(spark, tmp_path, "nll_grid_best", ZEROS)
+    assert got == want == [("0.5", "-1.0", "nan")]
+
+
 def test_gates(spark):
     rows = spark.createDataFrame([("a", "p1", "DALLE", "s", 0b1111), ("b", "p2", "sd", "Bad", 1 << 40), ("c", "p3", None, None, 1 << 20), ("d", "p4", "sd", "s", None), ("e", "p5", "sd", "s", 0b11111)], "sha string, path string, family string, source string, h long")
     none = rows.where("false")
