@@ -117,11 +117,16 @@ def near_hashes(left: DataFrame, deny: DataFrame, most: int, small: int = 20_000
 
 
 def near_hashes_banded(left: DataFrame, deny: DataFrame, most: int) -> DataFrame:
+    return left.join(near_pairs_banded(left, deny, most).select("h").distinct(), "h", "left_semi")
+
+
+def near_pairs_banded(left: DataFrame, deny: DataFrame, most: int) -> DataFrame:
+    """h of left and g of deny, at most `most` bits apart; a pair comes once for each band in which it agrees."""
     if most > 7:
         raise ValueError("bands of fewer than eight bits select too little")
     hashes = deny.select(F.col("h").alias("g")).distinct()
     found = left.select("h").distinct().select("h", bands(F.col("h"), most).alias("band")).join(hashes.select("g", bands(F.col("g"), most).alias("band")), "band")
-    return left.join(found.where(hamming64(F.col("h"), F.col("g")) <= most).select("h").distinct(), "h", "left_semi")
+    return found.where(hamming64(F.col("h"), F.col("g")) <= most).select("h", "g")
 
 
 def bands(h: Column, most: int) -> Column:

@@ -166,6 +166,22 @@ def test_nll_grid_best_of_zero(spark, tmp_path):
     assert got == want == [("0.5", "-1.0", "nan")]
 
 
+def test_planted_copies_near_other_vectors(spark, tmp_path):
+    """Copies of five flipped bits that lie within four bits of another vector's hash, and ids that occur twice."""
+    from sievework.plans import catalogue
+
+    base = np.array([1.0, -1.0] * 32, np.float32)
+    vectors = {5: base, 14: base.copy(), 1: base * 2}
+    for k in (0, 9, 18, 27, 36):  # the bits that id 5 has flipped
+        vectors[14][k] *= -1
+    rows = [(i, v.tolist(), 0) for i, v in vectors.items()] + [(1, vectors[1].tolist(), 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in catalogue.QUERIES["deny_near_duplicate_banded"](spark, str(tmp_path)).collect())
+    assert got == sorted(c.execute(catalogue.ORACLE_SQL["deny_near_duplicate_banded"]).fetchall()) and (5, 0) in got
+
+
 def test_gates(spark):
     rows = spark.createDataFrame([("a", "p1", "DALLE", "s", 0b1111), ("b", "p2", "sd", "Bad", 1 << 40), ("c", "p3", None, None, 1 << 20), ("d", "p4", "sd", "s", None), ("e", "p5", "sd", "s", 0b11111)], "sha string, path string, family string, source string, h long")
     none = rows.where("false")
