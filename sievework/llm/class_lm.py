@@ -11,13 +11,14 @@ classes grows with the third root of the vocabulary. Words that never stand besi
 the commonest class of the words with their last two bytes. The end stays a class of its own.
 
 Emissions: a known word has (count - d) / mass of its class; what the discount d = n1 / (n1 + 2 n2) frees, d times the
-class's distinct words (and half a count), is the class's chance of an unknown word. Transitions are counted over the
-bigrams that hold a frequent word and smoothed by the classes' own shares (`prior` counts). So probabilities sum to one
-over the known words and one unknown of each class.
-
-Scoring: the `head` most frequent words go to the workers as a bounded table with their classes; each text is read once,
-what its frequent words decide is scored there, and each other token leaves one row with its place and the classes beside
-it, which is joined to the counts and classes of all words and comes back to its text. Those words are rare
+class's distinct words (and half a count), is the class's chance of an unknown word. Transitions are counted over every
+bigram of the training side, once all words have classes, and smoothed by the classes' own shares (`prior` counts). So
+probabilities sum to one over the known words and one unknown of each class.
+
+Class sequences: the `head` most frequent words go to the workers as a bounded table with their classes; each text is read
+once and becomes a byte a token, the class, with the sums that need no transitions. Each token outside the head leaves one
+row with its place, which is joined to the counts and classes of all words and comes back to its text. The sequences are
+written; the transitions are counted from those of the training side, and scores follow from them. Words outside the head are rare
 by construction (at most N / head training tokens each); a word frequent only in texts that are scored, not in training,
 is a hot key of one side of that join, which adaptive execution splits.
 
@@ -37,11 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, key_runs, materialize, slices
+from .common import is_held_out, key_runs, materialize, slices, trimming
 
 #: The end as a token; no word holds a space.
 END = b" "
-ROWS = "row long, place int, word binary, before int, after int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+ROWS = "row long, place int, word binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, emit double, classes binary"
 #: Groups of words by their last two bytes, for words without a class of their own.
 ENDINGS = 512
 
@@ -275,7 +276,8 @@ def frequent(words: DataFrame, most: int) -> list:
 
 
 class ClassModel:
-    """What training leaves: counts and classes of all words as a table (word, n, cls), and numbers of bounded size."""
+    """What training leaves: counts and classes of all words as a table (word, n, cls), the class sequences of docs, and
+    numbers of bounded size. `pairs` are the class bigrams that hold a unit, which place words; `bigrams` are all."""
 
     def __init__(self, docs: DataFrame, text: str = "text", units: int = 2048, head: int = 200_000, prior: float = 50.0):
         train = training(docs, text)
@@ -294,8 +296,6 @@ class ClassModel:
             at = (r["cls"], r["code"]) if r["code"] < self.classes else (r["code"] - self.classes, r["cls"])
             self.pairs[at] += r["n"]
         self.vocabulary, self.by_ending = self.with_classes(counted, moved.where("word is not null").select("word", "cls"))
-        share = (self.pairs.sum(0) + 1) / (self.pairs.sum() + self.classes)
-        self.transitions = np.log10((self.pairs + prior * share) / (self.pairs.sum(1, keepdims=True) + prior))
         mass, kinds = np.zeros(self.classes), np.zeros(self.classes)
         for r in self.vocabulary.groupBy("cls").agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds")).collect():
             mass[r["cls"]], kinds[r["cls"]] = r["tokens"], r["kinds"]
@@ -310,6 +310,10 @@ class ClassModel:
         self.head_emit[0] = 0.0  # the end is its class's only member
         if not self.tokens:
             self.head_base[0] = -math.log10(self.base_mass)
+        self.docs, self.text, self.sequences = docs, text, sequences(docs, self, text)
+        self.bigrams = class_bigrams(self.sequences.where("not held_out"), self.classes)
+        share = (self.bigrams.sum(0) + 1) / (self.bigrams.sum() + self.classes)
+        self.transitions = np.log10((self.bigrams + prior * share) / (self.bigrams.sum(1, keepdims=True) + prior))
 
     def with_classes(self, counted: DataFrame, moved: DataFrame) -> tuple[DataFrame, np.ndarray]:
         """(word, n and cls of all words; the commonest class of each ending, from at most ENDINGS * classes counts)."""
@@ -342,31 +346,27 @@ class ClassModel:
         return r["n"] if r else 0
 
 
-def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id as long)."""
+def sequences(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
+    """doc_id (as long), held_out, n_tokens, n_known, base_score, emit (the sum over tokens of log10 P(word | class)) and
+    classes (a byte a token, the end last) of each row of docs; written."""
     context = docs.sparkSession.sparkContext
-    sent = context.broadcast({k: getattr(model, k) for k in ("transitions", "head", "head_cls", "head_base", "head_emit")} | {"trained": model.tokens > 0})
-    small = context.broadcast({k: getattr(model, k) for k in ("transitions", "log_mass", "unknown", "by_ending", "discount", "base_mass")})
+    sent = context.broadcast({k: getattr(model, k) for k in ("head", "head_cls", "head_base", "head_emit")} | {"trained": model.tokens > 0})
+    small = context.broadcast({k: getattr(model, k) for k in ("log_mass", "unknown", "by_ending", "discount", "base_mass")})
 
     def run(batches):
         m = sent.value
-        head = m["head"].get
+        head, head_cls = m["head"].get, m["head_cls"].astype(np.uint8)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
         for batch in slices(batches, 2 << 20):
             out = []
             for doc_id, held_out, body in zip(*[c.to_pylist() for c in batch.columns]):
                 words = words_of(body)
                 words.append(END)
                 at = np.fromiter(map(head, words, repeat(-1)), np.int64, len(words))
-                often = at >= 0
-                cls = np.where(often, m["head_cls"][at], -1)
-                before, after = np.concatenate([[0], cls[:-1]]), np.append(cls[1:], -1)
-                known, both = at[often], often & (before >= 0)
-                total = float(m["transitions"][before[both], cls[both]].sum() + m["head_emit"][known].sum())
-                out.append((row, -1, END + row.to_bytes(8, "big"), -1, -1, doc_id, held_out, len(words), int(len(known)) if m["trained"] else 0, float(m["head_base"][known].sum()), total))
-                rare = np.flatnonzero(~often)
-                out += [(row, i, words[i], b, a, None, None, 0, 0, 0.0, 0.0) for i, b, a in zip(rare.tolist(), before[rare].tolist(), after[rare].tolist())]
+                known = at[at >= 0]
+                out.append((row, -1, END + row.to_bytes(8, "big"), doc_id, held_out, len(words), int(len(known)) if m["trained"] else 0, float(m["head_base"][known].sum()), float(m["head_emit"][known].sum()), head_cls[at].tobytes()))
+                out += [(row, i, words[i], None, None, 0, 0, 0.0, 0.0, None) for i in np.flatnonzero(at < 0).tolist()]
                 row += 1
                 if len(out) > 100_000:
                     yield batch_of(out, kinds)
@@ -380,24 +380,69 @@ def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
     def total(batches):
         m = small.value
         for batch in key_runs(batches, "row"):
-            row, place, before, after, n, cls = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("row", "place", "before", "after", "n", "cls"))
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+            row, place, n, cls = (np.asarray(column(c)) for c in ("row", "place", "n", "cls"))
             rare, seen = place >= 0, n > 0
             cls = cls.astype(np.int64)
             lost = np.flatnonzero(rare & (cls < 0))  # words that training does not know
-            words = batch.column(batch.schema.get_field_index("word"))
-            cls[lost] = m["by_ending"][[ending(w) for w in words.take(pa.array(lost)).to_pylist()]] if len(lost) else 0
+            cls[lost] = m["by_ending"][[ending(w) for w in column("word").take(pa.array(lost)).to_pylist()]] if len(lost) else 0
             emit = np.where(seen, np.log10(np.maximum(n - m["discount"], 1e-9)), np.log10(m["unknown"][cls])) - m["log_mass"][cls]
-            previous = np.where(before >= 0, before, np.concatenate([[0], cls[:-1]]))  # a rare word before it is the row before it
-            move = m["transitions"][previous, cls] + np.where(after >= 0, m["transitions"][cls, after], 0.0)
-            starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            sums = lambda own, x: pa.array(np.asarray(batch.column(batch.schema.get_field_index(own)))[starts] + np.add.reduceat(np.where(rare, x, 0), starts))  # noqa: E731, B023
-            columns = [batch.column(batch.schema.get_field_index(c)).take(pa.array(starts)) for c in ("doc_id", "held_out", "n_tokens")]
-            columns += [sums("n_known", seen.astype(np.int64)), sums("base", np.log10((n + 1) / m["base_mass"])), sums("score", emit + move)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            first = np.concatenate([[True], row[1:] != row[:-1]])
+            starts = np.flatnonzero(first)
+            flat, ends = flattened(column("classes").take(pa.array(starts)))
+            flat = flat.copy()
+            flat[(np.append(0, ends[:-1])[np.cumsum(first) - 1] + place)[rare]] = cls[rare]
+            line = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(flat)])
+            sums = lambda own, x: pa.array(np.asarray(column(own))[starts] + np.add.reduceat(np.where(rare, x, 0), starts))  # noqa: E731, B023
+            columns = [column(c).take(pa.array(starts)) for c in ("doc_id", "held_out", "n_tokens")]
+            columns += [sums("n_known", seen.astype(np.int64)), sums("base", np.log10((n + 1) / m["base_mass"])), sums("emit", emit), line]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emit", "classes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.col(f"`{text}`").cast("binary").alias("body")).mapInArrow(run, ROWS)
-    joined = rows.join(model.vocabulary, "word", "left").select("row", "place", F.when(F.col("n").isNull(), F.col("word")).alias("word"), "before", "after", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(-1)).alias("cls"), "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
-    done = joined.repartition("row").sortWithinPartitions("row", "place").mapInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    joined = rows.join(model.vocabulary, "word", "left").select("row", "place", F.when(F.col("n").isNull(), F.col("word")).alias("word"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(-1)).alias("cls"), "doc_id", "held_out", "n_tokens", "n_known", "base", "emit", "classes")
+    done = joined.repartition("row").sortWithinPartitions("row", "place").mapInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emit double, classes binary")
+    return materialize(done, "sequences")
+
+
+def flattened(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of class sequences, one after the other, and where each ends."""
+    offsets = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1].astype(np.int64)
+    return np.frombuffer(lines.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+
+
+def class_bigrams(held: DataFrame, classes: int) -> np.ndarray:
+    """How often each class follows each other in all the sequences; classes^2 numbers come to the driver. Every sequence ends
+    with the end, class 0, which so stands before the next one as well."""
+
+    def run(batches):
+        total = np.zeros(classes**2, np.int64)
+        for batch in trimming(batches):
+            if batch.num_rows:
+                flat, _ = flattened(batch.column(0))
+                total += np.bincount(np.append(0, flat[:-1]).astype(np.int64) * classes + flat, minlength=classes**2)
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(total[code])], names=["code", "n"])
+
+    got = held.select("classes").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes**2, np.int64)
+    out[np.asarray(got["code"])] = np.asarray(got["n"])
+    return out.reshape(classes, classes)
+
+
+def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id as long)."""
+    held = model.sequences if docs is model.docs and text == model.text else sequences(docs, model, text)
+    sent = docs.sparkSession.sparkContext.broadcast(model.transitions)
+
+    def run(batches):
+        for batch in trimming(batches):
+            if batch.num_rows:
+                flat, ends = flattened(batch.column(6))
+                moves = sent.value[np.append(0, flat[:-1]), flat]
+                total = np.asarray(batch.column(5)) + np.add.reduceat(moves, np.append(0, ends[:-1]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(total)], names=[*batch.schema.names[:5], "score"])
+
+    done = held.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

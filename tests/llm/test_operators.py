@@ -282,6 +282,28 @@ def test_class_lm(spark, sf, hard, empty):
     assert held["perplexity"] < held["base_perplexity"]
 
 
+def test_transitions_count_every_bigram(spark):
+    """Also those of two rare words, in the head or outside it, known by another pass."""
+    r = np.random.default_rng(11)
+    texts = [" ".join(["the", "of"] * 3 + [f"w{k}" for k in r.integers(0, 40, r.integers(0, 30))]) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string").repartition(3)
+    model = class_lm.ClassModel(docs, units=3, head=10)
+    cls = {bytes(x["word"]): x["cls"] for x in model.vocabulary.collect()}
+    want = np.zeros((model.classes, model.classes), np.int64)
+    for i, t in enumerate([*texts, "", ""]):
+        if not fold(i):
+            line = [0, *[cls[w.encode()] for w in t.split()], 0]
+            np.add.at(want, (line[:-1], line[1:]), 1)
+    assert len(model.given) <= 3 and want.sum() == model.tokens > model.pairs.sum()
+    assert (model.bigrams == want).all()
+    share = (want.sum(0) + 1) / (want.sum() + model.classes)
+    assert np.allclose(10.0**model.transitions, (want + 50 * share) / (want.sum(1, keepdims=True) + 50))
+    half = docs.where("doc_id % 2 = 0")  # scoring other documents than the model's
+    got = {x["doc_id"]: x["score"] for x in class_lm.score(docs, model).collect()}
+    part = {x["doc_id"]: x["score"] for x in class_lm.score(half, model).collect()}
+    assert part == pytest.approx({i: got[i] for i in part}) and len(part) == 31
+
+
 def test_exchange_grows_the_likelihood():
     r = np.random.default_rng(3)
     hidden = r.integers(1, 5, 64)
